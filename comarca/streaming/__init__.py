@@ -1,0 +1 @@
+"""Empty on purpose: the registers are batch files, no question here needs a stream."""
