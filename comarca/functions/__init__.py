@@ -3,6 +3,7 @@
 from comarca.functions.dates import founding_year, parse_date
 from comarca.functions.ids import compose_id, standardize_id
 from comarca.functions.measures import log10_safe, per_thousand
+from comarca.functions.numbers import parse_integer
 from comarca.functions.text import email_domain, email_domains, normalize_text, regex_clean
 
 __all__ = [
@@ -13,6 +14,7 @@ __all__ = [
     "log10_safe",
     "normalize_text",
     "parse_date",
+    "parse_integer",
     "per_thousand",
     "regex_clean",
     "standardize_id",

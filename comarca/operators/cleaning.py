@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from comarca.functions import parse_date
+from comarca.functions import parse_date, parse_integer
+from comarca.functions.numbers import INTEGRAL
 
 
 def project(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -20,19 +21,18 @@ def project(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 
 def unify(df: DataFrame, schema: Mapping[str, str | Sequence[str]]) -> DataFrame:
-    """Bring columns to one type.
+    """Bring text columns to one type.
 
     A value of ``schema`` is a type name, or a list of date formats tried in
     order. Text that does not fit becomes NULL instead of failing the job.
     """
-    return df.withColumns(
-        {
-            name: F.trim(F.col(name)).try_cast(target)
-            if isinstance(target, str)
-            else parse_date(F.trim(F.col(name)), target)
-            for name, target in schema.items()
-        }
-    )
+
+    def typed(text: Column, target: str | Sequence[str]) -> Column:
+        if not isinstance(target, str):
+            return parse_date(text, target)
+        return parse_integer(text, target) if target in INTEGRAL else text.try_cast(target)
+
+    return df.withColumns({c: typed(F.trim(F.col(c)), t) for c, t in schema.items()})
 
 
 def null_sentinel(df: DataFrame, cols: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,29 +72,41 @@ def check_fd(df: DataFrame, lhs: Sequence[str], rhs: Sequence[str]) -> DataFrame
     )
 
 
-def fd_profile(df: DataFrame, lhs: Sequence[str], rhs: Sequence[str]) -> DataFrame:
-    """One row on the dependency ``lhs -> rhs``.
+def fd_profile(
+    df: DataFrame, dependencies: Sequence[tuple[Sequence[str], Sequence[str]]]
+) -> DataFrame:
+    """One row per dependency ``lhs -> rhs``, all of them from one pass over ``df``.
 
     ``n_violating`` groups of ``lhs`` have several values of ``rhs``: zero means
     that the dependency holds. ``n_repeated`` groups have several rows: zero
-    means that ``lhs`` is itself a candidate key.
+    means that ``lhs`` is itself a candidate key. NULL counts as a value.
     """
+
+    def values(cols: Sequence[str]) -> Column:
+        return F.array(*[F.col(c).cast("string") for c in cols])
+
+    def label(side: int) -> Column:
+        names = F.array(*[F.lit(",".join(d[side])) for d in dependencies])
+        return F.get(names, F.col("test"))
+
+    tested = [
+        F.struct(F.lit(i).alias("test"), values(lhs).alias("x"), values(rhs).alias("y"))
+        for i, (lhs, rhs) in enumerate(dependencies)
+    ]
     return (
-        df.groupBy(*lhs, *rhs)
+        df.select(F.inline(F.array(*tested)))
+        .groupBy("test", "x", "y")
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*lhs)
+        .groupBy("test", "x")
         .agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_rows"))
+        .groupBy("test")
         .agg(
             F.count(F.lit(1)).alias("n_groups"),
             F.count_if(F.col("n_values") > 1).alias("n_violating"),
             F.count_if(F.col("n_rows") > 1).alias("n_repeated"),
         )
         .select(
-            F.lit(",".join(lhs)).alias("lhs"),
-            F.lit(",".join(rhs)).alias("rhs"),
-            "n_groups",
-            "n_violating",
-            "n_repeated",
+            label(0).alias("lhs"), label(1).alias("rhs"), "n_groups", "n_violating", "n_repeated"
         )
     )
 
@@ -102,20 +114,17 @@ def fd_profile(df: DataFrame, lhs: Sequence[str], rhs: Sequence[str]) -> DataFra
 def check_normal_forms(df: DataFrame, key: Sequence[str], attributes: Sequence[str]) -> DataFrame:
     """Partial (2NF) and transitive (3NF) dependencies of a table with the given key.
 
-    One row per tested dependency. ``breaks`` names the form it breaks: a proper
-    part of the key, or an attribute that is no candidate key itself, which
-    determines another attribute.
+    One row per tested dependency. ``breaks`` names the form it breaks, NULL if
+    none: a proper part of the key, or an attribute that is no candidate key
+    itself, must not determine another attribute.
     """
     parts = [list(p) for size in range(1, len(key)) for p in combinations(key, size)]
-    tests = [("2NF", p, a) for p in parts for a in attributes]
-    tests += [("3NF", [x], a) for x in attributes for a in attributes if x != a]
+    partial = [(p, [a]) for p in parts for a in attributes]
+    transitive = [([x], [a]) for x in attributes for a in attributes if x != a]
     holds_off_key = (F.col("n_violating") == 0) & (F.col("n_repeated") > 0)
-    return reduce(
-        DataFrame.unionByName,
-        [
-            fd_profile(df, lhs, [rhs]).withColumn("breaks", F.when(holds_off_key, F.lit(form)))
-            for form, lhs, rhs in tests
-        ],
+    form = F.when(F.col("lhs").isin(*attributes), "3NF").otherwise("2NF")
+    return fd_profile(df, partial + transitive).withColumn(
+        "breaks", F.when(holds_off_key, form)
     )
 
 

@@ -31,16 +31,6 @@ DEP_WIDTH = 3
 SENTINELS = ("", "-", "S/D", "s/d")
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy")
 
-TABLES = (
-    "provinces",
-    "departments",
-    "levels",
-    "schools",
-    "school_levels",
-    "libraries",
-    "population",
-)
-
 
 def _clean(
     register: DataFrame, prov_width: int, dep_width: int, sentinels: Sequence[str]
@@ -83,7 +73,9 @@ def build_model(
     return {
         "provinces": dim_extract(codes, ["prov_id", "prov_name"]),
         "departments": dim_extract(codes, ["dep_id", "dep_name", "prov_id"]),
-        "levels": dim_extract(school_levels, ["level_id"]),
+        "levels": schools.sparkSession.createDataFrame(
+            [(name,) for name in levels.values()], "level_id string"
+        ),
         "schools": schools.select("school_id", "dep_id"),
         "school_levels": school_levels,
         "libraries": unify(libraries, {"founded": date_formats}).select(
@@ -122,4 +114,4 @@ def store_model(
     """Write every table as Parquet and CSV and register it for ``spark.sql``."""
     for name, df in model.items():
         write_model(df, directory, name)
-    register_model(spark, directory, model, prefix)
+    register_model(spark, directory, {name: df.schema for name, df in model.items()}, prefix)

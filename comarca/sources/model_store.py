@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from comarca.sources.csv import CSV_OPTIONS
 
@@ -47,13 +48,17 @@ def write_model(
     )
 
 
-def read_model(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+def read_model(
+    spark: SparkSession, directory: str, name: str, schema: StructType | str | None = None
+) -> DataFrame:
+    """A model table; with its schema given, no job runs to read one from a file."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{directory}/{name}.parquet")
 
 
 def register_model(
-    spark: SparkSession, directory: str, names: Iterable[str], prefix: str = ""
+    spark: SparkSession, directory: str, schemas: Mapping[str, StructType | str], prefix: str = ""
 ) -> None:
     """Make the model tables of a folder known to ``spark.sql`` as ``<prefix><name>``."""
-    for name in names:
-        read_model(spark, directory, name).createOrReplaceTempView(prefix + name)
+    for name, schema in schemas.items():
+        read_model(spark, directory, name, schema).createOrReplaceTempView(prefix + name)
