@@ -40,14 +40,16 @@ def loglog_excluded(integrated: DataFrame) -> DataFrame:
     )
 
 
-def relationship_corr(integrated: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson correlation over all departments, one row.
+def relationship_corr(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson correlation over the rows that have both values: one row (n, r).
 
-    Not ``corr``: that divides by zero, and so fails under ANSI, when a column
-    is constant. Here the result is NULL then.
+    NULL when a column is constant. ``corr`` would divide by zero there, which
+    fails under ANSI; and rounding can leave a constant column with a deviation
+    just above zero, so its range is what decides.
     """
     spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return integrated.agg(
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return df.dropna(subset=[x, y]).agg(
         F.count(F.lit(1)).alias("n"),
-        (F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))).alias("r"),
+        F.when(varies, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))).alias("r"),
     )
