@@ -25,8 +25,12 @@ def regex_clean(col: Column, pattern: str, replacement: str = "") -> Column:
 
 
 def email_domain(col: Column) -> Column:
-    """Domain of the first address in a value, lower case; NULL when there is none."""
-    return F.nullif(F.lower(F.regexp_extract(col, DOMAIN_PATTERN, 1)), F.lit(""))
+    """Domain of the first address in a value, lower case; NULL when there is none.
+
+    Most values hold no ``@`` and are not searched for the pattern.
+    """
+    domain = F.lower(F.regexp_extract(col, DOMAIN_PATTERN, 1))
+    return F.when(col.contains("@"), F.nullif(domain, F.lit("")))
 
 
 def email_domains(col: Column) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # One row per province or per level is far below this; at about 100 bytes a row
 # the broadcast stays near 10 MB.
 BROADCAST_ROWS = 100_000
+# A key with more rows than this is shared out over several tasks. There can be
+# no more such keys than rows / HOT_ROWS: 200,000 in a trillion rows.
+HOT_ROWS = 5_000_000
 SALTS = 64
 
 
@@ -31,21 +34,37 @@ def lookup_join(
     spread: str,
     bound: DataFrame | None = None,
     rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Left join of many rows to a dimension with at most one row per ``on``.
 
     The dimension is broadcast if ``bound`` (by default the dimension itself; a
     cheaper frame with at least as many rows will do) is counted to have at most
-    ``rows`` rows. Beyond that the facts of one key are spread over ``salts``
-    partitions by a hash of ``spread`` and the dimension is repeated per salt, so
-    a hot key is still shared out; no row is lost either way.
+    ``rows`` rows. Beyond that both sides are shuffled, and the rows of a hot key
+    are dealt to ``salts`` tasks by a hash of ``spread``, with a copy of the one
+    dimension row for each. Rows without a key are dealt out too: they match
+    nothing, but may be many. All rows are kept either way.
     """
     if within(dim if bound is None else bound, rows):
         return facts.join(F.broadcast(dim), on, "left")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [on, "_salt"], "left").drop("_salt")
+    hot = (
+        facts.groupBy(on)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > hot_rows)
+        .select(on, F.lit(salts).alias("_salts"))
+    )
+    n_salts = F.coalesce("_salts", F.lit(1))
+    tasks = F.when(F.col(on).isNull(), F.lit(salts)).otherwise(n_salts)
+    dealt = facts.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), tasks).cast("int")
+    )
+    copied = dim.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), n_salts - 1))
+    )
+    return (
+        dealt.drop("_salts").join(copied.drop("_salts"), [on, "_salt"], "left").drop("_salt")
+    )
 
 
 def with_geo(dep: DataFrame, prov: DataFrame) -> DataFrame:

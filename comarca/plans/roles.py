@@ -108,7 +108,8 @@ def raw_registers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The same roles as all-text registers, the way they arrive before cleaning.
 
     Codes lack their leading zeros, names have accents and stray spaces, dates
-    come in two formats and an unknown level is a placeholder.
+    come in two formats and an unset level flag is a placeholder. The rows are
+    only joined and written, so Spark splits a hot key by itself (skew join).
     """
     text = "string"
     dep = departments(spark, sf_dir)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from comarca.operators import departments, distribution, mail, relationship
 from comarca.operators.cleaning import filter_since
+from comarca.plans.model import build_model, store_model
+from comarca.sources import read_model, write_model
 
 # Fixed value: libraries are counted from this founding year on.
 SINCE_YEAR = 1950
@@ -19,11 +20,14 @@ def study(
     levels: Mapping[str, str],
     bands: Mapping[str, str] | None = None,
     since: int = SINCE_YEAR,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
 ) -> dict[str, DataFrame]:
-    """Results by name, all lazy, from the tables of ``build_model``.
+    """Results by name, from the tables of ``build_model``.
 
     ``levels`` and ``bands`` map a result column to the level or age band it counts.
     A school with several levels counts once in each and once in the total.
+    ``keep`` may store a result that others start from and give back the stored
+    table; by default nothing is stored and all results are lazy.
     """
     prov, dep = model["provinces"], model["departments"]
     people = model["population"]
@@ -33,8 +37,10 @@ def study(
     )
     libraries = departments.as_facts(model["libraries"], "libraries")
     recent = departments.as_facts(filter_since(model["libraries"], "founded", since), "libraries")
-    integrated = departments.integrate(dep, people, schools, libraries)
-    counts = departments.schools_per_department(dep, schools)
+    integrated = keep(
+        "integrate_departments", departments.integrate(dep, people, schools, libraries)
+    )
+    counts = integrated.select("prov_id", "dep_id", "schools")
     domains = mail.library_domains(model["libraries"], "lib_id", "email", "dep_id")
     return {
         "summary_population_levels": departments.summary(dep, people, by_level, levels, bands),
@@ -54,3 +60,34 @@ def study(
             relationship.rates(integrated), "schools_per_1000", "libraries_per_1000"
         ),
     }
+
+
+def run_study(
+    spark: SparkSession,
+    registers: Mapping[str, DataFrame],
+    levels: Mapping[str, str],
+    directory: str,
+    bands: Mapping[str, str] | None = None,
+    since: int = SINCE_YEAR,
+    **widths: int,
+) -> dict[str, DataFrame]:
+    """From raw registers to stored results, below ``directory``.
+
+    Model tables go to ``model/`` and results to ``results/``, each as Parquet
+    and CSV. A stage reads what the one before has written, so a lost executor
+    costs the tasks of one stage and nothing is cleaned or counted twice.
+    """
+    model = build_model(registers, levels, **widths)
+    store_model(spark, model, f"{directory}/model")
+    stored = {n: read_model(spark, f"{directory}/model", n, df.schema) for n, df in model.items()}
+    results: dict[str, DataFrame] = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        if name not in results:
+            write_model(df, f"{directory}/results", name)
+            results[name] = read_model(spark, f"{directory}/results", name, df.schema)
+        return results[name]
+
+    for name, df in study(stored, levels, bands, since, keep).items():
+        keep(name, df)
+    return results

@@ -178,7 +178,7 @@ def test_whiskers_end_at_the_last_value_inside(counts, groups):
 
 @pytest.mark.parametrize("rows", [100_000, 0])
 def test_outliers_with_few_and_with_too_many_groups_to_broadcast(counts, groups, monkeypatch, rows):
-    monkeypatch.setattr(joins.lookup_join, "__defaults__", (None, rows, 4))
+    monkeypatch.setattr(joins.lookup_join, "__defaults__", (None, rows, 5, 4))
     got = {(r.prov_id, r.dep_id, r.schools) for r in distribution.outliers(counts, "prov_id", "schools", "dep_id").collect()}
     want = set()
     for p, members in groups.items():
@@ -189,10 +189,11 @@ def test_outliers_with_few_and_with_too_many_groups_to_broadcast(counts, groups,
 
 
 def test_salted_lookup_keeps_rows_without_a_match(spark):
-    big = spark.createDataFrame([(i, 0 if i % 3 == 0 else i % 5) for i in range(300)], "id long, k int")
+    keys = [None if i % 7 == 0 else 0 if i % 3 == 0 else i % 5 for i in range(300)]
+    big = spark.createDataFrame(list(enumerate(keys)), "id long, k int")
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "k int, name string")
     broadcast = joins.lookup_join(big, dim, "k", spread="id")
-    salted = joins.lookup_join(big, dim, "k", spread="id", rows=1, salts=8)
+    salted = joins.lookup_join(big, dim, "k", spread="id", rows=1, hot_rows=50, salts=8)
     assert sorted(salted.columns) == sorted(broadcast.columns)
     assert sorted(salted.select("id", "k", "name").collect(), key=str) == sorted(
         broadcast.select("id", "k", "name").collect(), key=str
