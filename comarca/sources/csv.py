@@ -22,9 +22,10 @@ def scan_csv(
 ) -> DataFrame:
     """Read a register under a fixed schema, never an inferred one.
 
-    Inference would turn the code ``02`` into the number 2. Rows that do not fit
-    keep what could be read and hold their whole text in ``_corrupt_record``,
-    NULL for good rows.
+    Inference would turn the code ``02`` into the number 2. Columns are taken by
+    position, so a file whose header differs from the schema fails the read.
+    Rows that do not fit keep what could be read and hold their whole text in
+    ``_corrupt_record``, NULL for good rows.
 
     Set ``multi_line`` only for files with line breaks inside values: Spark
     cannot split such a file, so each one is read by a single task. Files from
@@ -34,7 +35,7 @@ def scan_csv(
     flagged = StructType([*fields.fields]).add(CORRUPT, StringType())
     return (
         spark.read.schema(flagged)
-        .options(**CSV_OPTIONS, multiLine=multi_line, mode="PERMISSIVE")
+        .options(**CSV_OPTIONS, multiLine=multi_line, mode="PERMISSIVE", enforceSchema=False)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )

@@ -27,6 +27,14 @@ def test_short_rows_and_bad_numbers_are_flagged(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("columns", ["name string, code string, n int", "code string, name string"])
+def test_another_header_fails_the_read(spark, tmp_path, columns):
+    path = tmp_path / "register.csv"
+    path.write_text("code,name,n\n02,a,1\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        scan_csv(spark, str(path), columns).collect()
+
+
 def test_csv_files_are_kept_small(spark, tmp_path):
     write_model(spark.range(0, 250, 1, 1), str(tmp_path), "t", rows_per_file=100)
     assert len(list((tmp_path / "t.csv").glob("part-*"))) == 3

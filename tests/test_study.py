@@ -4,9 +4,8 @@ import csv
 
 import pytest
 
-from comarca.operators.cleaning import project
+from comarca.__main__ import read_register, run
 from comarca.plans.model import build_model, unplaced
-from comarca.plans.study import run_study
 from comarca.sources import CORRUPT, scan_csv
 
 LEVELS = {"initial": "Initial", "primary": "Primary"}
@@ -40,24 +39,30 @@ NAMES = {
 
 
 @pytest.fixture(scope="module")
-def registers(spark, tmp_path_factory):
+def settings(tmp_path_factory):
     folder = tmp_path_factory.mktemp("raw")
-    found = {}
+    sources = {}
     for name, rows in zip(NAMES, (CODES, POPULATION, SCHOOLS, LIBRARIES)):
         path = folder / f"{name}.csv"
         with path.open("w", newline="") as out:
             csv.writer(out, lineterminator="\n").writerows(rows)
-        schema = ", ".join(f"{c} string" for c in rows[0])
-        raw = scan_csv(spark, str(path), schema)
-        assert raw.where(f"{CORRUPT} is not null and {rows[0][0]} is not null").count() == 0
-        found[name] = project(raw, NAMES[name])
-    return found
+        sources[name] = {"path": str(path), "header": list(rows[0]), "columns": NAMES[name]}
+    return {
+        "output": str(tmp_path_factory.mktemp("study")),
+        "registers": sources,
+        "levels": LEVELS,
+        "bands": {"young": "young"},
+    }
+
+
+@pytest.fixture(scope="module")
+def registers(spark, settings):
+    return {name: read_register(spark, source) for name, source in settings["registers"].items()}
 
 
 @pytest.fixture(scope="module")
-def results(spark, registers, tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("study"))
-    return run_study(spark, registers, LEVELS, folder, bands={"young": "young"})
+def results(spark, settings):
+    return run(spark, settings)
 
 
 def rows(df):
