@@ -9,13 +9,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The parts a numeric date format is made of, and what each can read.
+DIGITS = {
+    "yyyy": "[0-9]{4}",
+    "MM": "[0-9]{2}",
+    "M": "[0-9]{1,2}",
+    "dd": "[0-9]{2}",
+    "d": "[0-9]{1,2}",
+}
+SEPARATORS = "-/. "
+
+
 def _shape(fmt: str) -> str | None:
     """Pattern of the texts a numeric date format can read; None for other formats."""
     parts = re.findall(r"y+|M+|d+|.", fmt)
-    if any(p[0].isalpha() and p not in ("yyyy", "MM", "M", "dd", "d") for p in parts):
+    if not all(p in DIGITS or p in SEPARATORS for p in parts):
         return None
-    digits = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "M": "[0-9]{1,2}", "d": "[0-9]{1,2}"}
-    return "^" + "".join(digits.get(p) or re.escape(p) for p in parts) + "$"
+    return "^" + "".join(DIGITS.get(p) or re.escape(p) for p in parts) + "$"
 
 
 def parse_date(col: Column, formats: Sequence[str]) -> Column:

@@ -54,11 +54,11 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """NULLs per column as rows (column_name, n_rows, n_null), in one pass over ``df``."""
     cols = list(cols or df.columns)
     counts = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c in cols],
     )
-    return counts.unpivot("n_rows", cols, "column_name", "n_null").select(
-        "column_name", "n_rows", "n_null"
+    return counts.unpivot("_rows", cols, "column_name", "n_null").select(
+        "column_name", F.col("_rows").alias("n_rows"), "n_null"
     )
 
 

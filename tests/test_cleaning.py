@@ -43,7 +43,7 @@ def test_email_domains(spark):
     assert apply(spark, fn.email_domains, "a@b.com; c@D.org", "none") == [["b.com", "D.org"], []]
 
 
-@pytest.mark.parametrize("formats", [["yyyy-MM-dd", "dd/MM/yyyy"], ["d/M/yyyy", "yyyy-MM-dd"], ["d MMM yyyy"]])
+@pytest.mark.parametrize("formats", [["yyyy-MM-dd", "dd/MM/yyyy"], ["d/M/yyyy", "yyyy-MM-dd"], ["d MMM yyyy", "yyyyMMdd"], ["dd'/'MM'/'yyyy"]])
 def test_dates_read_the_same_with_and_without_shape(spark, formats):
     items = [
         "1950-01-01", "01/02/1950", "1/2/1950", "31/02/1950", "1950-13-01", "1950-1-1", "3 Feb 1950",
