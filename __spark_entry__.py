@@ -43,13 +43,11 @@ def q_scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sink_model_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of a table, dates included, as they come back from the CSV copy."""
     folder = work_folder(spark)
-    write_model(table(spark, sf_dir, "orders").drop("o_orderdate"), folder, "schools")
-    columns = (
-        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-        "o_orderpriority string"
-    )
-    return scan_csv(spark, f"{folder}/schools.csv", columns).drop(CORRUPT)
+    write_model(table(spark, sf_dir, "orders"), folder, "schools")
+    back = scan_csv(spark, f"{folder}/schools.csv", SCHEMAS["orders"]).drop(CORRUPT)
+    return back.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 def q_register_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +115,9 @@ def q_unify_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "F", iso)
         .otherwise("not yet")
         .alias("founded"),
-        F.col("o_orderpriority").alias("staff"),
+        F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority"))
+        .otherwise(F.concat(F.lit("+"), F.col("o_orderkey").cast("string")))
+        .alias("staff"),
     )
     typed = cleaning.unify(
         raw, {"dep_code": "bigint", "founded": ["yyyy-MM-dd", "dd/MM/yyyy"], "staff": "bigint"}
@@ -461,7 +461,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_csv": "select doc_id, text, lang, source, n_chars, false as is_corrupt from documents",
         "sink_model_csv": """
-            select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders""",
+            select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+                   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, o_orderpriority
+            from orders""",
         "register_model": " union all ".join(
             f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in SCHEMAS
         ),
@@ -491,7 +493,7 @@ def oracle_sql() -> dict[str, str]:
             select o_orderkey, o_custkey as dep_code,
                    case when o_orderstatus in ('O', 'F')
                         then strftime(o_orderdate, '%Y-%m-%d') end as founded,
-                   cast(null as bigint) as staff
+                   case when o_orderstatus <> 'P' then o_orderkey end as staff
             from orders""",
         "null_sentinel": """
             select o_orderkey as school_id, o_custkey as dep_id,

@@ -30,19 +30,18 @@ def bridge(df: DataFrame, key: str, flags: Mapping[str, str], value_name: str) -
             for c, v in flags.items()
         ]
     )
-    return df.select(key, F.explode(F.array_compact(values)).alias(value_name))
+    return df.select(key, F.explode(values).alias(value_name)).dropna(subset=[value_name])
 
 
 def check_1nf(df: DataFrame, key: Sequence[str], cols: Sequence[str], delim: str) -> DataFrame:
     """Cells holding several values: (key, column_name, n_values)."""
-    # Without this the delimiter would be read as a regular expression.
-    literal = "\\Q" + delim + "\\E"
+
+    def n_values(col: Column) -> Column:
+        without = F.length(F.replace(col, F.lit(delim), F.lit("")))
+        return ((F.length(col) - without) / len(delim) + 1).cast("bigint")
+
     cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.size(F.split(F.col(c), literal)).cast("bigint").alias("n_values"),
-        )
-        for c in cols
+        F.struct(F.lit(c).alias("column_name"), n_values(F.col(c)).alias("n_values")) for c in cols
     ]
     return (
         df.select(*key, F.explode(F.array(*cells)).alias("cell"))

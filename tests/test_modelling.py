@@ -28,6 +28,8 @@ def test_bridge_keeps_only_set_flags(spark):
 def test_1nf_takes_the_delimiter_literally(spark):
     df = spark.createDataFrame([(1, "a|b|c", "x"), (2, "abc", "x|y"), (3, None, "x")], "id int, m string, n string")
     assert rows(modelling.check_1nf(df, ["id"], ["m", "n"], "|")) == [(1, "m", 3), (2, "n", 2)]
+    wide = spark.createDataFrame([(1, "a; b; "), (2, "a;b"), (3, "")], "id int, m string")
+    assert rows(modelling.check_1nf(wide, ["id"], ["m"], "; ")) == [(1, "m", 3)]
 
 
 def test_key_must_be_unique_and_without_null(spark):
