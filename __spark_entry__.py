@@ -21,7 +21,7 @@ from comarca.functions import (
 )
 from comarca.operators import cleaning, departments, distribution, joins, mail, modelling
 from comarca.operators import relationship
-from comarca.plans import model, roles
+from comarca.plans import checks, model, roles
 from comarca.sources import CORRUPT, SCHEMAS, register_model, scan_csv, table, work_folder
 from comarca.sources import write_model
 from comarca.sources.csv import CSV_OPTIONS
@@ -92,6 +92,12 @@ def q_build_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_check_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, references and normal forms of the model built from all registers."""
+    registers = roles.raw_registers(spark, sf_dir)
+    return checks.check_model(model.build_model(registers, roles.LEVELS, PROV_WIDTH, DEP_WIDTH))
+
+
 # Projection, filter, cleaning
 
 
@@ -483,6 +489,46 @@ def oracle_sql() -> dict[str, str]:
             from integrated i join nation n on n.n_nationkey = i.prov_id
             left join unk on unk.dep_id = i.dep_id
             left join since on since.dep_id = i.dep_id""",
+        "check_model": """
+            with dep as (select c_custkey as id, c_nationkey as prov, c_name as name from customer),
+            place as (select o_orderkey as id, o_custkey as dep from orders
+                      where o_custkey in (select id from dep)),
+            lib as (select l_orderkey, l_linenumber, l_partkey, dep from lineitem
+                    join place on l_orderkey = place.id where l_returnflag = 'R'),
+            pop as (select distinct dep from lineitem join place on l_orderkey = place.id)
+            select 'provinces' as table_name, 'key prov_id' as rule, count(*) as n_violations
+              from (select prov from (select distinct prov, n_name from dep
+                    join nation on n_nationkey = prov) group by 1 having count(*) > 1)
+            union all select 'departments', 'key dep_id', count(*)
+              from (select id from (select distinct * from dep) group by 1 having count(*) > 1)
+            union all select 'levels', 'key level_id', 0::bigint
+            union all select 'schools', 'key school_id', count(*)
+              from (select id from place group by 1 having count(*) > 1)
+            union all select 'school_levels', 'key school_id,level_id', count(*)
+              from (select o_orderkey, o_orderpriority from orders group by 1, 2 having count(*) > 1)
+            union all select 'libraries', 'key lib_id', count(*)
+              from (select 1 from lib group by l_orderkey, l_linenumber, l_partkey
+                    having count(*) > 1)
+            union all select 'departments', 'prov_id in provinces', count(distinct prov)
+              from dep where prov not in (select n_nationkey from nation)
+            union all select 'schools', 'dep_id in departments', count(distinct dep)
+              from place where dep not in (select id from dep)
+            union all select 'school_levels', 'school_id in schools', count(distinct o_orderkey)
+              from orders where o_orderkey not in (select id from place)
+            union all select 'school_levels', 'level_id in levels', 0::bigint
+            union all select 'libraries', 'dep_id in departments', count(distinct dep)
+              from lib where dep not in (select id from dep)
+            union all select 'population', 'dep_id in departments', count(distinct dep)
+              from pop where dep not in (select id from dep)
+            union all select 'departments', '3NF',
+              cast((select count(*) = 0 from (select name from dep group by 1
+                                              having count(distinct prov) > 1))
+                   and (select count(*) > 0 from (select name from dep group by 1
+                                                  having count(*) > 1)) as bigint)
+              + cast((select count(*) = 0 from (select prov from dep group by 1
+                                                having count(distinct name) > 1))
+                     and (select count(*) > 0 from (select prov from dep group by 1
+                                                    having count(*) > 1)) as bigint)""",
         "project_rename": """
             select c_custkey as dep_id, c_name as dep_name, c_nationkey as prov_id from customer""",
         "normalize_text": """

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.functions import compose_id, normalize_text, standardize_id
-from comarca.operators.cleaning import null_drop, null_sentinel, unify
+from comarca.operators.cleaning import null_drop, null_sentinel, since_tally, unify
 from comarca.operators.modelling import bridge, dim_extract
 from comarca.sources import register_model, write_model
 
@@ -108,6 +108,19 @@ def unplaced(
     return result
 
 
+def founding_dates(
+    registers: Mapping[str, DataFrame],
+    since: int,
+    sentinels: Sequence[str] = SENTINELS,
+    date_formats: Sequence[str] = DATE_FORMATS,
+) -> DataFrame:
+    """One row: libraries founded since a year, before, at no readable date, at none given."""
+    given = null_sentinel(registers["libraries"], ["founded"], sentinels).withColumn(
+        "as_received", F.col("founded")
+    )
+    return since_tally(unify(given, {"founded": date_formats}), "as_received", "founded", since)
+
+
 def store_model(
     spark: SparkSession, model: Mapping[str, DataFrame], directory: str, prefix: str = ""
 ) -> None:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from comarca.operators import departments, distribution, mail, relationship
 from comarca.operators.cleaning import filter_since
-from comarca.plans.model import build_model, store_model
+from comarca.plans.checks import check_model, unknown_keys
+from comarca.plans.model import build_model, founding_dates, store_model, unplaced
 from comarca.sources import read_model, write_model
 
 # Fixed value: libraries are counted from this founding year on.
@@ -88,6 +89,10 @@ def run_study(
             results[name] = read_model(spark, f"{directory}/results", name, df.schema)
         return results[name]
 
+    keep("unplaced", unplaced(registers, **widths))
+    keep("founding_dates", founding_dates(registers, since))
+    keep("unknown_keys", unknown_keys(stored))
+    keep("model_checks", check_model(stored))
     for name, df in study(stored, levels, bands, since, keep).items():
         keep(name, df)
     return results

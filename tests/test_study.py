@@ -28,7 +28,7 @@ LIBRARIES = [
     ("id", "pc", "dc", "since", "mail", "remark"),
     ("l1", "2", "7", "1950-01-01", "a@B.com", 'says "hi"'), ("l2", "2", "7", "31/12/1949", "c@b.com; d@e.org", "x, y"),
     ("l3", "2", "14", "unknown", "S/D", ""), ("l4", "2", "14", "01/02/1999", "no address", ""),
-    ("l5", "99", "", "1990-01-01", "z@z.net", ""),
+    ("l5", "99", "", "1990-01-01", "z@z.net", ""), ("l6", "9", "999", "S/D", "", ""), ("l6", "9", "999", "S/D", "", ""),
 ]
 NAMES = {
     "codes": {"pc": "prov_code", "pn": "prov_name", "dc": "dep_code", "dn": "dep_name"},
@@ -83,13 +83,26 @@ def test_model_tables(registers):
         ("s1", "Initial"), ("s1", "Primary"), ("s2", "Primary"), ("s4", "Initial")
     }
     assert [str(r.founded) for r in model["libraries"].orderBy("lib_id").collect()] == [
-        "1950-01-01", "1949-12-31", "None", "1999-02-01"
+        "1950-01-01", "1949-12-31", "None", "1999-02-01", "None", "None"
     ]
 
 
 def test_rows_without_a_department_are_counted(registers):
     assert rows(unplaced(registers)) == {
-        ("codes", 5, 1), ("population", 6, 1), ("schools", 5, 1), ("libraries", 5, 1)
+        ("codes", 5, 1), ("population", 6, 1), ("schools", 5, 1), ("libraries", 7, 1)
+    }
+
+
+def test_what_the_results_cannot_show_is_reported(results):
+    assert rows(results["unplaced"]) == {
+        ("codes", 5, 1), ("population", 6, 1), ("schools", 5, 1), ("libraries", 7, 1)
+    }
+    assert rows(results["founding_dates"]) == {(3, 1, 1, 2)}
+    assert rows(results["unknown_keys"]) == {("libraries", "dep_id", "09999", 2)}
+    broken = {(r.table_name, r.rule): r.n_violations for r in results["model_checks"].collect()}
+    assert len(broken) == 13
+    assert {k: n for k, n in broken.items() if n} == {
+        ("libraries", "key lib_id"): 1, ("libraries", "dep_id in departments"): 1
     }
 
 
