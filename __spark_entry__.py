@@ -22,8 +22,8 @@ from comarca.functions import (
 from comarca.operators import cleaning, departments, distribution, joins, mail, modelling
 from comarca.operators import relationship
 from comarca.plans import checks, model, roles
-from comarca.sources import CORRUPT, SCHEMAS, register_model, scan_csv, table, work_folder
-from comarca.sources import write_model
+from comarca.sources import CORRUPT, SCHEMAS, register_model, scan_csv, store, table
+from comarca.sources import work_folder, write_model
 from comarca.sources.csv import CSV_OPTIONS
 
 PROV_WIDTH = 2
@@ -93,9 +93,14 @@ def q_build_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_check_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys, references and normal forms of the model built from all registers."""
+    """Keys, references and normal forms of the model built from all registers.
+
+    The rules read the tables many times, so these are stored first.
+    """
+    folder = work_folder(spark)
     registers = roles.raw_registers(spark, sf_dir)
-    return checks.check_model(model.build_model(registers, roles.LEVELS, PROV_WIDTH, DEP_WIDTH))
+    tables = model.build_model(registers, roles.LEVELS, PROV_WIDTH, DEP_WIDTH)
+    return checks.check_model({name: store(df, folder, name) for name, df in tables.items()})
 
 
 # Projection, filter, cleaning

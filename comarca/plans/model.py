@@ -123,8 +123,8 @@ def founding_dates(
 
 def store_model(
     spark: SparkSession, model: Mapping[str, DataFrame], directory: str, prefix: str = ""
-) -> None:
-    """Write every table as Parquet and CSV and register it for ``spark.sql``."""
-    for name, df in model.items():
-        write_model(df, directory, name)
+) -> dict[str, DataFrame]:
+    """Write every table as Parquet and CSV, register it for ``spark.sql``, give it back."""
+    stored = {name: write_model(df, directory, name) for name, df in model.items()}
     register_model(spark, directory, {name: df.schema for name, df in model.items()}, prefix)
+    return stored

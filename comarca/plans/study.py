@@ -10,7 +10,7 @@ from comarca.operators import departments, distribution, mail, relationship
 from comarca.operators.cleaning import filter_since
 from comarca.plans.checks import check_model, unknown_keys
 from comarca.plans.model import build_model, founding_dates, store_model, unplaced
-from comarca.sources import read_model, write_model
+from comarca.sources import write_model
 
 # Fixed value: libraries are counted from this founding year on.
 SINCE_YEAR = 1950
@@ -78,15 +78,12 @@ def run_study(
     and CSV. A stage reads what the one before has written, so a lost executor
     costs the tasks of one stage and nothing is cleaned or counted twice.
     """
-    model = build_model(registers, levels, **widths)
-    store_model(spark, model, f"{directory}/model")
-    stored = {n: read_model(spark, f"{directory}/model", n, df.schema) for n, df in model.items()}
+    stored = store_model(spark, build_model(registers, levels, **widths), f"{directory}/model")
     results: dict[str, DataFrame] = {}
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         if name not in results:
-            write_model(df, f"{directory}/results", name)
-            results[name] = read_model(spark, f"{directory}/results", name, df.schema)
+            results[name] = write_model(df, f"{directory}/results", name)
         return results[name]
 
     keep("unplaced", unplaced(registers, **widths))

@@ -29,23 +29,27 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, directory: str, name: str) -> DataFrame:
+    """Write ``<name>.parquet`` and give back the stored table, free of what made it."""
+    df.write.mode("overwrite").parquet(f"{directory}/{name}.parquet")
+    return read_model(df.sparkSession, directory, name, df.schema)
+
+
 def write_model(
     df: DataFrame, directory: str, name: str, rows_per_file: int = ROWS_PER_CSV_FILE
-) -> None:
-    """Write a model table as ``<name>.parquet`` and ``<name>.csv``.
+) -> DataFrame:
+    """Write a model table as ``<name>.parquet`` and ``<name>.csv``; give back the former.
 
     The CSV is made from the written Parquet, so that ``df`` is computed once.
     """
-    stored = f"{directory}/{name}.parquet"
-    df.write.mode("overwrite").parquet(stored)
+    stored = store(df, directory, name)
     (
-        df.sparkSession.read.schema(df.schema)
-        .parquet(stored)
-        .write.mode("overwrite")
+        stored.write.mode("overwrite")
         .options(**CSV_OPTIONS)
         .option("maxRecordsPerFile", rows_per_file)
         .csv(f"{directory}/{name}.csv")
     )
+    return stored
 
 
 def read_model(

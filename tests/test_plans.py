@@ -20,7 +20,7 @@ def plan(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-SLOW = ("build_model", "scan_csv", "sink_model_csv")
+SLOW = ("build_model", "check_model", "scan_csv", "sink_model_csv")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SLOW)))
