@@ -1,4 +1,5 @@
-"""Runs the whole study: ``spark-submit -m comarca study.json``, or ``python -m comarca``.
+"""Runs the whole study: ``python -m comarca study.json``; on a cluster, with the
+repository on ``PYTHONPATH``, ``spark-submit comarca/__main__.py study.json``.
 
 The file names the registers and how their columns are called:
 
