@@ -6,6 +6,7 @@ runs over its whole tables.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -374,10 +375,37 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_integrate_departments(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def library_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}
 
 
+def _has_llm() -> bool:
+    """Whether the optional subpackage and its pipeline are there; if they are, their errors show."""
+    return all(importlib.util.find_spec(name) for name in ("comarca.llm", "corpus_pipeline"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = library_queries()
+    if _has_llm():
+        import corpus_pipeline
+        from comarca.llm.queries import queries as llm_queries
+
+        found |= llm_queries() | {"pipeline": corpus_pipeline.run}
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    found = library_sql()
+    if _has_llm():
+        import corpus_pipeline
+        from comarca.llm.queries import oracle_sql as llm_sql
+
+        found |= llm_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
+
+
 # SQL twins. The departments of lines and orders, written once for all of them.
 
 _LINES = """

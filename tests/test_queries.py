@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tests import compare
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.library_queries(), entry.library_sql()
 
 
 @pytest.fixture(scope="module")
