@@ -490,7 +490,7 @@ def _fd_sql(form: str, lhs: str, rhs: str) -> str:
     """
 
 
-def oracle_sql() -> dict[str, str]:
+def library_sql() -> dict[str, str]:
     flat = """
     with flat as (
       select c_custkey as dep_id, c_nationkey as prov_id, c_name as dep_name, n_name as prov_name

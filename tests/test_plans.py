@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = entry.library_queries()
 NEVER_READS_ROWS_TWICE = {"integrate_departments": 3, "summary_population_levels": 3}
 
 
