@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from comarca.llm.common import documents
 from comarca.llm.exact import exact_groups
+from comarca.llm.language import identify
 from comarca.llm.mixing import mix_sources
 from comarca.llm.sharding import shard_by_bytes
 
@@ -17,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 8).select(
         "doc_id",
