@@ -28,6 +28,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers; every machine has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm.common import documents
+from comarca.llm.common import documents, tokenizer_file
 from comarca.llm.exact import exact_groups
+from comarca.llm.huffman import encoded_ids
 from comarca.llm.language import identify
 from comarca.llm.mixing import mix_sources
 from comarca.llm.sharding import shard_by_bytes
@@ -18,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_ids(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
 def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
