@@ -52,14 +52,14 @@ def training_remainder(doc_id: Column, divisor: int) -> Column:
 def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, salt_by: str
 ) -> DataFrame:
-    """Inner join of rows to one row per key, with hot keys dealt over ``SALTS`` tasks.
+    """Inner join with the left rows of hot keys dealt over ``SALTS`` tasks.
 
     ``right[weight]`` is the number of left rows of the key and ``total`` the number
     of all left rows. At most ``HOT_SHARE`` keys can reach total / HOT_SHARE rows, so the
     broadcast list of hot keys has at most so many rows at any size of input.
     """
     is_hot = F.col(weight) * HOT_SHARE >= total
-    hot = right.filter(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    hot = right.filter(is_hot).select(*keys).distinct().withColumn("_hot", F.lit(True))
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS))).otherwise(0).cast("int")
     )

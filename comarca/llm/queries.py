@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from comarca.llm.common import documents, tokenizer_file
 from comarca.llm.exact import exact_groups
 from comarca.llm.huffman import encoded_ids
+from comarca.llm.jaccard import similar_groups
 from comarca.llm.language import identify
 from comarca.llm.mixing import mix_sources
 from comarca.llm.sharding import shard_by_bytes
@@ -39,6 +40,10 @@ def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="max")
 
