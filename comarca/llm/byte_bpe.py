@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
+import os
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-CACHE_CHUNKS = 1_000_000
+from comarca.llm.common import slices
+
+CACHE_CHUNKS = 500_000
+SLICE_CHARS = 2_000_000
 JOINED = 400
-_RUN = re.compile(r"\s(?= )|^ ")
 
 
 class ChunkEncoder:
@@ -19,10 +21,11 @@ class ChunkEncoder:
     No pre-token reaches across a single space that follows a non-space, so a text falls
     into chunks there, each with its space in front. Chunks not seen before are encoded by the
     library joined to longer texts; only a chunk's first id begins with the space, which tells them
-    apart. Texts with other runs of white space before a space go through the library whole.
+    apart. Texts with white space before such a space go through the library whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,6 +42,9 @@ class ChunkEncoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _learn(self, pieces: list[str]) -> None:
+        odd = [p for p in pieces if not p or p[-1].isspace()]
+        self.chunks.update(dict.fromkeys(odd))  # no place to split after these
+        pieces = [p for p in pieces if p and not p[-1].isspace()] if odd else pieces
         runs = [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]
         width = self.dtype.itemsize
         for run, raw in zip(runs, self._whole([" " + " ".join(run) for run in runs])):
@@ -51,22 +57,23 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian integers of ``dtype``, for each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        odd: list[int] = []
-        for i, text in enumerate(texts):
-            if _RUN.search(text) or any(s in text for s in self.special):
-                odd.append(i)
-            else:
-                split.append((i, text.split(" ")))
+        return [ids for run in slices(texts, SLICE_CHARS) for ids in self._encode(run)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [text.split(" ") for text in texts]
         if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
-        self._learn(list(set(chain.from_iterable(p[1:] for _, p in split)) - self.chunks.keys()))
-        heads = self._whole([p[0] for _, p in split])
-        get = self.chunks.__getitem__
-        for (i, pieces), head in zip(split, heads):
-            out[i] = head + b"".join(map(get, pieces[1:]))
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
+        self._learn(list(set(chain.from_iterable(p[1:] for p in split)) - self.chunks.keys()))
+        get, out, whole = self.chunks.__getitem__, self._whole([p[0] for p in split]), []
+        for i, (text, pieces) in enumerate(zip(texts, split)):
+            if pieces[0][-1:].isspace() or any(s in text for s in self.special):
+                whole.append(i)
+            elif len(pieces) > 1:
+                try:
+                    out[i] += b"".join(map(get, pieces[1:]))
+                except TypeError:
+                    whole.append(i)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
         return out
 

@@ -49,6 +49,19 @@ def training_remainder(doc_id: Column, divisor: int) -> Column:
     return F.pmod(crc, F.lit(divisor))
 
 
+def slices(texts: list[str], chars: int):
+    """Runs of texts of about so many characters, so that a batch's arrays stay small."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, salt_by: str
 ) -> DataFrame:

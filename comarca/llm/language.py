@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from comarca.llm.common import training_remainder
+from comarca.llm.common import slices, training_remainder
 
 UNKNOWN = "und"
 # The bounded sample a classifier is fitted on: texts per language, and characters of each.
@@ -183,19 +183,6 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
     return CrossParser(dict(samples))
 
 
-def slices(texts: list[str], chars: int = SLICE_CHARS):
-    """Runs of texts of about so many characters, so that a batch's arrays stay small."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= chars:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def predict(text: Column, samples: dict[str, str]) -> Column:
     """A struct of lang_pred and score for a text; needs nothing but the text.
 
@@ -210,7 +197,7 @@ def predict(text: Column, samples: dict[str, str]) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def parsed(texts: pd.Series) -> pd.DataFrame:
         parser, names, scores = _parser(key), [], []
-        for run in slices(texts.fillna("").tolist()):
+        for run in slices(texts.fillna("").tolist(), SLICE_CHARS):
             found, score = parser.best(run)
             names += found
             scores.append(score)
