@@ -351,3 +351,16 @@ def similar_groups(
     return some.select("id", "n", "component_id").union(none.select("id", "n", "component_id")).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"
     )
+
+
+def drop_similar(
+    docs: DataFrame,
+    words: int = WORDS,
+    at_least: tuple[int, int] = AT_LEAST,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The documents, all columns unchanged, whose id is the smallest of their component (see ``similar_groups``)."""
+    groups = similar_groups(docs, words, at_least, id_col, text_col)
+    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")

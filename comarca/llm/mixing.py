@@ -89,8 +89,8 @@ def mix_sources(
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
-    Returns id, size (words), source, source_size, target (words of the source) and taken
-    (words, repeats counted: a document is taken whole, 0 to ``most`` times).
+    Returns id, size (words), source, source_size, target (words of the source), copies (a
+    document is taken whole, 0 to ``most`` times) and taken (words, repeats counted).
     ``weights_of`` gets the sources by code point, null last.
 
     - Null or empty text: size 0, taken 0. A source without words has target 0.
@@ -158,6 +158,7 @@ def mix_sources(
             "target",
             (F.col("size") * (F.col("passes") + F.col("extra"))).alias("taken"),
             "source",
+            (F.col("passes") + F.col("extra")).alias("copies"),
         )
     )
 
@@ -166,3 +167,14 @@ def _passes(target: Fraction, size: int, most: int) -> tuple[int, int]:
     """Whole passes over the source, and the words that documents chosen once more make up."""
     passes = min(most, int(target // size)) if size else 0
     return passes, 0 if passes == most else int(target - passes * size)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The mix itself: every document, all columns unchanged, as often as ``mix_sources`` takes it.
+
+    Rows that share an id are taken as often as the one of them that is taken most often.
+    """
+    copies = mix_sources(docs, id_col=id_col, **settings)
+    copies = copies.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]))
+    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

@@ -14,6 +14,7 @@ from comarca.llm.jaccard import similar_groups
 from comarca.llm.language import identify
 from comarca.llm.mixing import mix_sources
 from comarca.llm.sharding import shard_by_bytes
+from comarca.llm.viterbi import sentencepiece_ids
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_ids(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return sentencepiece_ids(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
