@@ -6,24 +6,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from comarca.llm.common import documents, stored
+from comarca.llm.common import documents, stored, tokenizer_file
 from comarca.llm.exact import drop_exact
+from comarca.llm.jaccard import drop_similar
+from comarca.llm.language import drop_unidentified
+from comarca.llm.mixing import mixed
+from comarca.llm.viterbi import sentencepiece_ids
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, for which no language can be told, go."""
+    return drop_unidentified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact(docs, keep="max")
+    """Of equal texts the one with the smallest id stays."""
+    return drop_exact(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingles the one with the smallest id stays."""
+    return drop_similar(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source near its target; a document is there as often as the mix takes it."""
+    return mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in place of the text."""
+    return sentencepiece_ids(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
-STAGES: list[tuple[str, Stage]] = [("exact dedup", exact_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language id", language_id),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("source mixing", source_mix),
+    ("SentencePiece encoding", encode),
+]
 
-# Cross-parsing, tokenizing and seeded choices cannot be written in SQL.
+# Cross-parsing, seeded choices and segmentation cannot be written in SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
