@@ -18,6 +18,7 @@ MAX_BITS = 18
 # Ids between two bit-offset checkpoints, and ids after which a segment is written out.
 BLOCK_IDS = 512
 SEGMENT_IDS = 1 << 20
+RUN_BLOCKS = 32
 
 SEGMENTS = (
     "row long, n_ids long, doc_ids array<long>, doc_sizes array<long>, checkpoints binary, payload binary"
@@ -80,21 +81,27 @@ class Code:
         """The bits, most significant first, and the bit offset of every block as 8-byte integers."""
         if not len(ids):
             return b"", b""
+        blocks = np.add.reduceat(self.lengths[ids], np.arange(0, len(ids), block), dtype=np.int64)
+        offsets = np.cumsum(blocks) - blocks
+        total = int(offsets[-1] + blocks[-1])
+        out = np.zeros((total >> 6) + 2, np.uint64)
+        for i in range(0, len(blocks), RUN_BLOCKS):  # short runs stay in the processor's cache
+            self._fill(out, int(offsets[i]), ids[i * block : (i + RUN_BLOCKS) * block])
+        return out.astype(">u8").tobytes()[: (total + 7) >> 3], offsets.astype("<u8").tobytes()
+
+    def _fill(self, out: np.ndarray, offset: int, ids: np.ndarray) -> None:
         bits = self.lengths[ids].astype(np.int64)
-        ends = np.cumsum(bits)
-        offsets = ends - bits
-        word, used = offsets >> 6, (offsets & 63) + bits
+        starts = offset + np.cumsum(bits) - bits
+        word, used = starts >> 6, (starts & 63) + bits
         codes = self.codes[ids]
-        out = np.zeros(int(ends[-1] >> 6) + 2, np.uint64)
-        over = used > 64  # at most one code in a word reaches into the next
-        shift = np.where(over, 0, 64 - used).astype(np.uint64)
-        first = np.where(over, codes >> np.where(over, used - 64, 0).astype(np.uint64), codes << shift)
-        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        out[word[starts]] = np.bitwise_or.reduceat(first, starts)
-        rest = np.flatnonzero(over)
-        out[word[rest] + 1] |= codes[rest] << (128 - used[rest]).astype(np.uint64)
-        payload = out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) >> 3]
-        return payload, offsets[::block].astype("<u8").tobytes()
+        over = np.flatnonzero(used > 64)  # at most one code in a word reaches into the next
+        shift = 64 - used
+        shift[over] = 0
+        whole = codes << shift.astype(np.uint64)
+        whole[over] = codes[over] >> (used[over] - 64).astype(np.uint64)
+        firsts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        out[word[firsts]] |= np.bitwise_or.reduceat(whole, firsts)
+        out[word[over] + 1] |= codes[over] << (128 - used[over]).astype(np.uint64)
 
     def decode(self, payload: bytes, checkpoints: bytes, n_ids: int, block: int = BLOCK_IDS) -> np.ndarray:
         """All blocks advance together, an id each per step."""
