@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from comarca.llm.common import documents, tokenizer_file
+from comarca.llm.common import documents, stored, tokenizer_file
 from comarca.llm.exact import exact_groups
+from comarca.llm.hamming import nearest_codes, sign_code
 from comarca.llm.huffman import encoded_ids
 from comarca.llm.jaccard import similar_groups
 from comarca.llm.language import identify
@@ -25,6 +26,13 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_ids(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of every vector whose id is divisible by 20, among all vectors."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = stored(rows.select("vec_id", sign_code(F.col("embedding")).alias("code")))
+    return nearest_codes(rows, rows.filter("vec_id % 20 = 0"), k=10)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return sentencepiece_ids(docs, tokenizer_file("piece_bpe_32k.model"))
@@ -60,6 +68,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_hamming_top_k": """
+            with codes as (
+              select vec_id, list_transform(embedding, x -> case when x > 0 then 1 else 0 end) as bits
+              from embeddings where embedding is not null
+            ),
+            pairs as (
+              select q.vec_id as query_id, c.vec_id as neighbor_id,
+                     cast(list_sum(list_transform(range(1, len(q.bits) + 1),
+                       i -> case when q.bits[i] <> c.bits[i] then 1 else 0 end)) as bigint) as distance
+              from codes q join codes c on q.vec_id <> c.vec_id and q.vec_id % 20 = 0
+            )
+            select query_id, cast(row_number() over (partition by query_id order by distance, neighbor_id)
+                   as bigint) as rank, neighbor_id, distance
+            from pairs qualify rank <= 10""",
         "op10_exact_dedup": """
             with norm as (
               select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
