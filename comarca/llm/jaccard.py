@@ -185,6 +185,24 @@ def _prefixes(docs: DataFrame, shift: int, words: int, at_least) -> DataFrame:
     return stored(dealt.mapInArrow(shared, "token long, x long, pos long, n long"))
 
 
+def _hopeful(prefixes: DataFrame, at_least) -> DataFrame:
+    """The rows of classes that may have a partner at all, counted twice over.
+
+    A class shares with any partner as many tokens of its prefix as the prefix asks for, so
+    one with fewer shared tokens has none; without it, tokens of others may be shared no more.
+    """
+    num, den = at_least
+    least = F.expr(f"(n * {num} + {den - 1}) div {den}")
+    asked = F.least(F.greatest(least, F.lit(1)), F.expr("5 + n div 20"))  # as most_matches
+    for _ in range(2):
+        counts = prefixes.groupBy("x", "n").agg(F.count("*").alias("shared"))
+        prefixes = stored(prefixes.join(stored(counts.filter(F.col("shared") >= asked).select("x")), "x", "left_semi"))
+        several = prefixes.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+        lonely = stored(several.filter("low = high").select("token"))
+        prefixes = prefixes.join(lonely, "token", "left_anti")
+    return stored(prefixes)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, shift: int, words: int, at_least) -> DataFrame:
     """Edges (a, b) among the pairs (x, y, matches) whose whole sets are similar enough.
 
@@ -325,8 +343,8 @@ def similar_groups(
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     slim = _signatures(docs, words)
     classes, shift = _classes(slim)
-    prefixes = _prefixes(docs, shift, words, at_least)
-    wanted = prefixes.select("x").distinct().join(classes.select("x", "rep"), "x")
+    prefixes = _hopeful(_prefixes(docs, shift, words, at_least), at_least)
+    wanted = stored(prefixes.select("x").distinct().join(classes.select("x", "rep"), "x"))
     texts = docs.join(wanted, docs["id"] == wanted["rep"]).select("x", "text")
     texts, edges = stored(texts), None
     rows = prefixes.withColumn("root", F.col("x"))
