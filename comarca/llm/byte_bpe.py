@@ -37,17 +37,19 @@ class ChunkEncoder:
     apart. Texts with white space before such a space go through the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = literal
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.spaced = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.spaced[i] = piece.startswith("Ġ")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [] if literal else [t.content for t in added]
         self._forget()
 
     def _forget(self) -> None:
@@ -113,5 +115,6 @@ class ChunkEncoder:
 
 
 @lru_cache(2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def chunk_encoder(path: str, literal: bool = False) -> ChunkEncoder:
+    """``literal``: the strings of special tokens are ordinary text."""
+    return ChunkEncoder(path, literal)

@@ -14,6 +14,7 @@ from comarca.llm.huffman import encoded_ids
 from comarca.llm.jaccard import similar_groups
 from comarca.llm.language import identify
 from comarca.llm.mixing import mix_sources
+from comarca.llm.scoring import language_scores
 from comarca.llm.sharding import shard_by_bytes
 from comarca.llm.viterbi import sentencepiece_ids
 
@@ -54,6 +55,10 @@ def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=50256)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir))
 
