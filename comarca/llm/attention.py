@@ -6,7 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CLASSES, BANDS = 64, 12
+# Classes of the ids that the model reads, and of those it predicts; the most frequent are alone in theirs.
+INPUTS, CLASSES = 512, 64
+BANDS = 12
+# Ids told apart after a class and an id before; the rest are one column of the counts.
+COLUMNS = 4096
+# How many observations the counts without context weigh where counts with context are few.
+BACKOFF = 30.0
 WIDTH = 16
 # Ids of a window, and by how many the next one starts later: the rest is context that is not scored again.
 WINDOW, STRIDE = 32, 24
@@ -14,30 +20,48 @@ STEPS, BATCH, RATE = 400, 96, 0.02
 SCORE_IDS = 1 << 14
 
 
-def id_classes(counts: np.ndarray) -> np.ndarray:
-    """The most frequent ids are classes of their own, the others fall into bands by rank."""
-    by_rank = np.argsort(-counts, kind="stable")
-    alone = CLASSES - BANDS
-    classes = np.zeros(len(counts), np.int64)
-    classes[by_rank[:alone]] = np.arange(min(alone, len(by_rank)))
-    rest = by_rank[alone:]
-    if len(rest):
-        upto = np.cumsum(counts[rest] + 1.0)
-        band = np.minimum((upto - 1) * BANDS / upto[-1], BANDS - 1).astype(np.int64)
-        classes[rest] = alone + band
-    return classes
+class Vocabulary:
+    """Ids by frequency rank: ``column`` is the rank up to the last column, which all others share."""
+
+    def __init__(self, counts: np.ndarray):
+        by_rank = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(counts), np.int64)
+        rank[by_rank] = np.arange(len(counts))
+        self.column = np.minimum(rank, COLUMNS - 1).astype(np.int16)
+        smooth = counts + 1.0
+        self.mass = np.bincount(self.column, smooth, COLUMNS)
+        # Log-probability of an id in its column, 0 but for those in the last one.
+        self.rest = np.log(smooth / self.mass[self.column]).astype(np.float32)
+        self.inputs = self._bands(INPUTS)
+        self.classes = self._bands(CLASSES)
+
+    def _bands(self, n: int) -> np.ndarray:
+        """A class for each column: single ones, then bands of equal mass."""
+        upto = np.cumsum(self.mass[n - BANDS :])
+        band = np.minimum((upto - self.mass[n - BANDS :]) * BANDS / max(upto[-1], 1), BANDS - 1)
+        return np.r_[np.arange(n - BANDS), n - BANDS + band.astype(np.int64)]
 
 
 @dataclass
 class Model:
-    """``classes`` and ``within`` (log-probability of an id in its class) come from the counts of all ids."""
+    """``within`` is the log-probability of a column in its class after an input class, by counts."""
 
-    classes: np.ndarray
+    words: Vocabulary
     within: np.ndarray
     end: int
     parts: dict[str, np.ndarray]
 
 
+def pair_counts(words: Vocabulary, texts: list[np.ndarray], end: int) -> np.ndarray:
+    """How often each column follows each input class, over texts with the end id."""
+    ids = np.concatenate(texts)
+    column = words.column[ids].astype(np.int64)
+    before = np.empty_like(column)
+    before[1:] = column[:-1]
+    before[np.cumsum([0, *map(len, texts[:-1])])] = words.column[end]
+    return np.bincount(words.inputs[before] * COLUMNS + column, minlength=INPUTS * COLUMNS).reshape(INPUTS, COLUMNS)
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all windows in a row of texts, the text of each, and how many ids are left from there on."""
     more = np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
@@ -57,13 +81,19 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _start(rng: np.random.Generator, bigrams: np.ndarray) -> dict[str, np.ndarray]:
-    shapes = {"embed": (CLASSES, WIDTH), "place": (WINDOW, WIDTH), "out": (WIDTH, CLASSES)}
+def _start(rng: np.random.Generator, words: Vocabulary, pairs: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    shapes = {"embed": (INPUTS, WIDTH), "place": (WINDOW, WIDTH), "out": (WIDTH, CLASSES)}
     shapes |= {name: (WIDTH, WIDTH) for name in ("query", "key", "value", "mix")}
     parts = {name: rng.normal(0, 0.3, shape).astype(np.float32) for name, shape in shapes.items()}
-    smooth = bigrams + bigrams.sum(0) / max(bigrams.sum(), 1) + 1e-2
+    by_class = np.zeros((CLASSES, COLUMNS), bool)
+    by_class[words.classes, np.arange(COLUMNS)] = True
+    grouped = pairs @ by_class.T.astype(np.float64)
+    mass = by_class @ words.mass
+    smooth = grouped + BACKOFF * mass / mass.sum()
     parts["bigram"] = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
-    return parts
+    alone = words.mass / mass[words.classes]
+    within = (pairs + BACKOFF * alone) / (grouped + BACKOFF)[:, words.classes]
+    return parts, np.log(within).astype(np.float32)
 
 
 def _forward(p: dict[str, np.ndarray], seen: np.ndarray) -> tuple:
@@ -81,7 +111,7 @@ def _gradients(p: dict[str, np.ndarray], seen: np.ndarray, next_: np.ndarray, re
     d = _softmax(logits)
     np.put_along_axis(d, next_[..., None], np.take_along_axis(d, next_[..., None], 2) - 1, 2)
     d *= (real / max(real.sum(), 1)).astype(np.float32)[..., None]
-    one_hot = np.eye(CLASSES, dtype=np.float32)[seen].reshape(-1, CLASSES)
+    one_hot = np.eye(INPUTS, dtype=np.float32)[seen].reshape(-1, INPUTS)
     flat = lambda a: a.reshape(-1, a.shape[-1])
     g = {"out": flat(h).T @ flat(d), "bigram": one_hot.T @ flat(d)}
     dh = d @ p["out"].T
@@ -99,49 +129,40 @@ def _gradients(p: dict[str, np.ndarray], seen: np.ndarray, next_: np.ndarray, re
     return g
 
 
-def train(texts: list[np.ndarray], counts: np.ndarray, end: int, steps: int = STEPS, seed: int = 7) -> Model:
-    """Fits the weights on a sample of texts (ids with the end id) by Adam; the counts are of all training ids."""
-    classes = id_classes(counts)
-    smooth = counts + 1.0
-    within = np.log(smooth / np.bincount(classes, smooth, CLASSES)[classes])
+def train(texts: list[np.ndarray], words: Vocabulary, pairs: np.ndarray, end: int, steps: int = STEPS, seed: int = 7) -> Model:
+    """Fits the weights on a sample of texts (ids with the end id) by Adam; the pair counts are of all training texts."""
     rng = np.random.default_rng(seed)
-    bigrams = np.zeros((CLASSES, CLASSES))
-    grids = []
-    for ids in texts:
-        c = classes[ids]
-        seen = np.r_[classes[end], c[:-1]]
-        np.add.at(bigrams, (seen, c), 1)
-        grids.append(c)
-    parts = _start(rng, bigrams)
-    model = Model(classes, within.astype(np.float32), end, parts)
+    parts, within = _start(rng, words, pairs)
+    model = Model(words, within, end, parts)
     if not texts:
         return model
-    seen, next_, real, _ = _grid(model, np.concatenate(grids), np.array([len(g) for g in grids]))
+    column = words.column[np.concatenate(texts)]
+    seen, next_, real, _ = _grid(model, column, np.array([len(t) for t in texts]))
     first = {k: np.zeros_like(v) for k, v in parts.items()}
     second = {k: np.zeros_like(v) for k, v in parts.items()}
     for step in range(1, steps + 1):
         at = rng.integers(0, len(seen), BATCH)
         rate = RATE * min(1, step / 20) * (1 - step / (steps + 1))
-        for k, g in _gradients(parts, seen[at], next_[at], real[at]).items():
+        for k, g in _gradients(parts, seen[at], words.classes[next_[at]], real[at]).items():
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
             parts[k] -= (rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return model
 
 
-def _grid(model: Model, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What each window sees and what comes next, which of it is scored there, and each window's text."""
+def _grid(model: Model, columns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Input classes that each window sees, columns that come next, which of them it scores, and its text."""
     begin, text, left = windows(lengths)
     place = np.arange(WINDOW)
-    at = np.minimum(begin[:, None] + place, len(classes) - 1)
-    next_ = classes[at]
-    seen = np.empty_like(next_)
-    seen[:, 1:] = next_[:, :-1]
+    at = np.minimum(begin[:, None] + place, len(columns) - 1)
+    next_ = columns[at]
+    before = np.empty_like(next_)
+    before[:, 1:] = next_[:, :-1]
     opens = np.r_[True, text[1:] != text[:-1]]
-    seen[:, 0] = np.where(opens, model.classes[model.end], classes[np.maximum(begin - 1, 0)])
+    before[:, 0] = np.where(opens, model.words.column[model.end], columns[np.maximum(begin - 1, 0)])
     scored = place < left[:, None]
     scored[~opens, : WINDOW - STRIDE] = False
-    return seen, next_, scored, text
+    return model.words.inputs[before], next_, scored, text
 
 
 def log_probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -155,6 +176,23 @@ def log_probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     tables["query"] = tuple(t / np.float32(WIDTH**0.5) for t in tables["query"])
     direct = p["bigram"] + p["embed"] @ p["out"]
     placed, mixed = p["place"] @ p["out"], p["mix"] @ p["out"]
+
+    def scores(seen, next_, scored, skip):
+        """Log-probability of what each window scores; its first ``skip`` places are context alone."""
+        k, v = (tables[n][0][seen] + tables[n][1] for n in ("key", "value"))
+        seen, next_, scored = seen[:, skip:], next_[:, skip:], scored[:, skip:]
+        q = tables["query"][0][seen] + tables["query"][1][skip:]
+        weight = _softmax(q @ k.transpose(0, 2, 1) + _MASK[skip:])
+        logits = (weight @ v) @ mixed
+        logits += direct[seen]
+        logits += placed[skip:]
+        picked = np.take_along_axis(logits, model.words.classes[next_][..., None], 2)[..., 0]
+        top = logits.max(-1)
+        logits -= top[..., None]
+        np.exp(logits, out=logits)
+        log_p = picked - top - np.log(logits.sum(-1)) + model.within[seen, next_]
+        return np.where(scored, log_p, 0).sum(1, dtype=np.float64)
+
     first = 0
     while first < len(texts):
         last, size = first, 0
@@ -163,21 +201,13 @@ def log_probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
             last += 1
         ids = np.concatenate(texts[first:last])
         lengths = np.array([len(t) for t in texts[first:last]])
-        total = np.bincount(np.repeat(np.arange(last - first), lengths), model.within[ids], last - first)
-        grid = _grid(model, model.classes[ids], lengths)
-        for i in range(0, len(grid[0]), SCORE_IDS // WINDOW):
-            seen, next_, scored, text = (g[i : i + SCORE_IDS // WINDOW] for g in grid)
-            q, k, v = (byclass[seen] + byplace for byclass, byplace in tables.values())
-            weight = _softmax(q @ k.transpose(0, 2, 1) + _MASK)
-            logits = (weight @ v) @ mixed
-            logits += direct[seen]
-            logits += placed
-            picked = np.take_along_axis(logits, next_[..., None], 2)[..., 0]
-            top = logits.max(-1)
-            logits -= top[..., None]
-            np.exp(logits, out=logits)
-            log_p = np.where(scored, picked - top - np.log(logits.sum(-1)), 0).sum(1, dtype=np.float64)
-            total += np.bincount(text, log_p, last - first)
+        total = np.bincount(np.repeat(np.arange(last - first), lengths), model.words.rest[ids], last - first)
+        seen, next_, scored, text = _grid(model, model.words.column[ids], lengths)
+        opens = np.r_[True, text[1:] != text[:-1]]
+        for chosen, skip in ((np.flatnonzero(opens), 0), (np.flatnonzero(~opens), WINDOW - STRIDE)):
+            for i in range(0, len(chosen), SCORE_IDS // WINDOW):
+                at = chosen[i : i + SCORE_IDS // WINDOW]
+                total += np.bincount(text[at], scores(seen[at], next_[at], scored[at], skip), last - first)
         out[first:last] = total
         first = last
     return out

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comarca.llm.attention import Model, log_probabilities, train
+from comarca.llm.attention import COLUMNS, INPUTS, Model, Vocabulary, log_probabilities, pair_counts, train
 from comarca.llm.byte_bpe import chunk_encoder
 from comarca.llm.common import partitions, stored, training_remainder
 from comarca.llm.shingles import _LOWER, _grow, mix
@@ -70,6 +70,45 @@ def _id_counts(tokens: DataFrame, width: int, vocabulary: int) -> np.ndarray:
     return out
 
 
+def _pair_counts(tokens: DataFrame, width: int, words: Vocabulary, end: int) -> np.ndarray:
+    """``pair_counts`` of all training texts: a table of fixed size, summed over the tasks in row groups."""
+
+    def count(batches):
+        total = np.zeros((INPUTS, COLUMNS), np.int64)
+        for batch in batches:
+            texts = [np.append(np.frombuffer(r, f"<u{width}"), end).astype(np.int64) for r in batch.column("ids").to_pylist()]
+            for i in range(0, len(texts), 512):
+                total += pair_counts(words, texts[i : i + 512], end)
+        for row in np.flatnonzero(total.any(1)):
+            some = np.flatnonzero(total[row])
+            yield from _row(row, some, total[row, some])
+
+    def add(batches):
+        at, total = None, np.zeros(COLUMNS, np.int64)
+        for batch in batches:
+            for row, columns, n in zip(*(batch.column(c).to_pylist() for c in ("row", "columns", "n"))):
+                if at is not None and row != at:
+                    yield from _row(at, np.flatnonzero(total), total[total > 0])
+                    total[:] = 0
+                at = row
+                total[np.frombuffer(columns, "<i2")] += np.frombuffer(n, "<i8")
+        if at is not None:
+            yield from _row(at, np.flatnonzero(total), total[total > 0])
+
+    schema = "row int, columns binary, n binary"
+    parts = tokens.filter("not held_out").select("ids").mapInArrow(count, schema)
+    dealt = parts.repartition(partitions(tokens.sparkSession), "row").sortWithinPartitions("row")
+    out = np.zeros((INPUTS, COLUMNS), np.int64)
+    for r in dealt.mapInArrow(add, schema).collect():
+        out[r.row, np.frombuffer(bytes(r.columns), "<i2")] = np.frombuffer(bytes(r.n), "<i8")
+    return out
+
+
+def _row(row: int, columns: np.ndarray, n: np.ndarray):
+    values = [pa.array([int(row)], pa.int32()), pa.array([columns.astype("<i2").tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())]
+    yield pa.RecordBatch.from_arrays(values, ["row", "columns", "n"])
+
+
 _PARTS = ["bucket", "block", "hashes", "counts"]
 
 
@@ -226,9 +265,9 @@ def language_scores(
       columns may have any name. No training text: all counts are 0 and the model stays as it starts.
       An empty table gives no rows.
 
-    The model predicts the class of the next subword id out of the ids before it, and the id
-    within its class by the counts of all training ids, which add one for ids not seen. Its
-    weights are fitted on a sample (``SAMPLE_TEXTS`` texts of up to ``SAMPLE_IDS`` ids); all counts
+    The model predicts the class of the next subword id out of the ids before it. The id within its
+    class follows from how often all training texts have it after the id before, or at all, with
+    one added for every id, so that all ids have a probability. The attention weights are fitted on a sample (``SAMPLE_TEXTS`` texts of up to ``SAMPLE_IDS`` ids); all counts
     cover the whole corpus. Words are told apart by 64-bit hashes of their ids.
     """
     encoder = chunk_encoder(path, True)
@@ -238,7 +277,9 @@ def language_scores(
     counts = _id_counts(tokens, width, vocabulary)
     ends = tokens.filter("not held_out").count()
     counts[end_id] += ends
-    model = train(_sample(tokens, width, end_id), counts, end_id)
+    words = Vocabulary(counts)
+    pairs = _pair_counts(tokens, width, words, end_id)
+    model = train(_sample(tokens, width, end_id), words, pairs, end_id)
     answers = _word_counts(tokens, width, path)
     sums = answers.filter("block = -1").agg(F.sum("total"), F.sum("different")).first()
     total, different = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
