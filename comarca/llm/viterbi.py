@@ -7,9 +7,10 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from comarca.llm.common import slices
 from comarca.llm.shingles import mix
@@ -220,17 +221,29 @@ def sentencepiece_ids(
     A map over the rows: nothing is shuffled. A word is searched once per task and slice.
     """
 
-    @F.pandas_udf("tokens array<int>, n_tokens long, decoded_crc32 long, round_trip boolean")
-    def encoded(texts: pd.Series) -> pd.DataFrame:
-        model, rows = piece_model(path, ranked), []
-        texts = texts.fillna("").tolist()
-        for text, raw in zip(texts, model.encode(texts)):
-            ids = np.frombuffer(raw, model.dtype)
-            back = model.decode(ids)
-            rows.append((ids.astype(np.int32), len(ids), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text))
-        return pd.DataFrame(rows, columns=["tokens", "n_tokens", "decoded_crc32", "round_trip"])
-
     names = ["tokens", "n_tokens", "decoded_crc32", "round_trip"]
+    kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.LongType(), T.BooleanType()]
     kept = [c for c in docs.columns if c not in (text_col, *names)]
-    found = docs.select(*kept, encoded(F.col(text_col)).alias("_e"))
-    return found.select(*kept, *[F.col("_e")[n].alias(n) for n in names])
+    read = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    schema = T.StructType([*(docs.schema[c] for c in kept), *map(T.StructField, names, kinds)])
+
+    def encoded(batches):
+        model = piece_model(path, ranked)
+        for batch in batches:
+            texts, at = batch.column("_text").to_pylist(), 0
+            for run in slices(texts, SLICE_CHARS):  # what goes out at once stays small
+                ids = [np.frombuffer(raw, model.dtype) for raw in model.encode(run)]
+                back = [model.decode(i) for i in ids]
+                sizes = np.array([len(i) for i in ids])
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                columns = [batch.column(c).slice(at, len(run)) for c in kept]
+                columns += [
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32))),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in back], pa.int64()),
+                    pa.array([t == u for t, u in zip(run, back)], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
+                at += len(run)
+
+    return read.mapInArrow(encoded, schema)
