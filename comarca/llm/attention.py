@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 # Classes of the ids that the model reads, and of those it predicts; the most frequent are alone in theirs.
-INPUTS, CLASSES = 512, 64
+INPUTS, CLASSES = 1024, 128
 BANDS = 12
 # Ids told apart after a class and an id before; the rest are one column of the counts.
 COLUMNS = 4096
@@ -16,7 +16,7 @@ BACKOFF = 30.0
 WIDTH = 16
 # Ids of a window, and by how many the next one starts later: the rest is context that is not scored again.
 WINDOW, STRIDE = 32, 24
-STEPS, BATCH, RATE = 400, 96, 0.02
+STEPS, BATCH, RATE = 1000, 96, 0.02
 SCORE_IDS = 1 << 14
 
 
