@@ -9,16 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comarca.llm.common import partitions, salted_join, stored
+from comarca.llm.common import salted_join, stored
 from comarca.llm.components import components
+from comarca.llm.shared import class_name, classes_of, shared_tokens
 from comarca.llm.shingles import WORDS, shingle_sets
 
 # Similarity as a fraction, so that the comparison is one of whole numbers.
 AT_LEAST = (80, 100)
 # Rounds in which every document is compared to one partner before all others follow.
 ROUNDS = 2
-FLUSH_TOKENS = 2_000_000
-_TOKEN = np.uint64((1 << 48) - 1)
 
 
 def least_overlap(n, at_least=AT_LEAST):
@@ -53,136 +52,21 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _name(a: int, b: int, shift: int) -> int:
-    """A class's 64-bit name out of its 128 bits; the shift is chosen so that names are unique."""
-    value = (a ^ (b << shift)) & ((1 << 64) - 1)
-    return value - (1 << 64) if value >> 63 else value
-
-
-def _classes(slim: DataFrame) -> tuple[DataFrame, int]:
-    classes = stored(
-        slim.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    )
-    for shift in range(64):
-        named = classes.withColumn("x", F.col("a").bitwiseXOR(F.shiftleft("b", shift)))
-        if named.groupBy("x").count().filter("count > 1").isEmpty():
-            return named, shift
-    raise ValueError("no shift gives unique names")
-
-
-def _planes(values: np.ndarray, dtype: str, keep: int) -> bytes:
-    """The lowest bytes of each value, byte by byte, which compresses better than value by value."""
-    return np.ascontiguousarray(values.astype(dtype).view(np.uint8).reshape(len(values), -1)[:, :keep].T).tobytes()
-
-
-def _unplaned(raw: bytes, dtype: str, keep: int) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(keep, -1)
-    out = np.zeros((planes.shape[1], np.dtype(dtype).itemsize), np.uint8)
-    out[:, :keep] = planes.T
-    return out.view(dtype).ravel()
-
-
-_BLOB = ["bucket", "token", "x", "pos", "n"]
-
-
 def _prefixes(docs: DataFrame, shift: int, words: int, at_least) -> DataFrame:
     """(token, x, pos, n): the prefix tokens that two classes or more have, and where they stand.
 
-    Tokens are ordered by their hash. A task gathers the prefixes of its documents, each
-    class once. Tokens it sees in two classes are known to be shared. Of every token one
-    occurrence goes to the token's bucket, which so gets at most one per flush however
-    frequent the token is, and there occurrences that stood alone find each other.
+    Tokens are ordered by their hash, so a prefix is the smallest of them.
     """
-    buckets = 4 * partitions(docs.sparkSession)
 
-    def gather(batches):
-        seen, held, size, flushes = set(), [], 0, 0
+    def produce(batches):
         for batch in batches:
             for tokens in shingle_sets(batch.column("text").to_pylist(), words):
-                if not len(tokens):
-                    continue
-                x = _name(*_signature(tokens), shift)
-                if x in seen:
-                    continue
-                seen.add(x)
                 n = len(tokens)
-                prefix = int(min(n, n - least_overlap(n, at_least) + most_matches(n, at_least)))
-                held.append((tokens[:prefix] & _TOKEN, x, n))
-                size += prefix
-                if size >= FLUSH_TOKENS:
-                    yield from flush(held, flushes)
-                    held, size, flushes = [], 0, flushes + 1
-        if held:
-            yield from flush(held, flushes)
-
-    def flush(held, nth):
-        sizes = np.array([len(t) for t, _, _ in held])
-        token = np.concatenate([t for t, _, _ in held])
-        x = np.repeat(np.array([x for _, x, _ in held], np.int64), sizes)
-        n = np.repeat(np.array([n for _, _, n in held], np.int64), sizes)
-        pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order = np.argsort(token, kind="stable")
-        token, x, n, pos = token[order], x[order], n[order], pos[order]
-        new = np.r_[True, token[1:] != token[:-1]]
-        alone = new & np.r_[new[1:], True]
-        for mine, offset in ((new, 0), (~alone, buckets)):
-            # To its bucket goes a token's first occurrence; known shared ones pass through any task.
-            at = np.flatnonzero(mine)
-            bucket = (token[at] % np.uint64(buckets)).astype(np.int64)
-            if offset:
-                bucket = np.arange(len(at)) * buckets // max(len(at), 1)
-            by = np.argsort(bucket, kind="stable")
-            at, bucket = at[by], bucket[by]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(at) else at
-            rows = []
-            for i, j in zip(cuts, np.r_[cuts[1:], len(at)]):
-                k = at[i:j]
-                known = np.where(alone[k], 0, 1 << 31) if not offset else 0
-                rows.append((
-                    int(bucket[i]) + offset, _planes(token[k], "<u8", 6), x[k].tobytes(),
-                    _planes(pos[k] | known, "<u4", 4), _planes(n[k], "<u4", 4),
-                ))
-            if rows:
-                kinds = [pa.int32()] + [pa.binary()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _BLOB)
-
-    def shared(batches):
-        at, held = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in _BLOB)):
-                if held and row[0] != at:
-                    yield from meet(at, held)
-                    held = []
-                at = row[0]
-                held.append(row[1:])
-        if held:
-            yield from meet(at, held)
-
-    def meet(bucket, held):
-        token = np.concatenate([_unplaned(r[0], "<u8", 6) for r in held])
-        x = np.concatenate([np.frombuffer(r[1], np.int64) for r in held])
-        pos = np.concatenate([_unplaned(r[2], "<u4", 4) for r in held])
-        n = np.concatenate([_unplaned(r[3], "<u4", 4) for r in held])
-        if bucket < buckets:
-            order = np.lexsort((x, token))
-            token, x, pos, n = token[order], x[order], pos[order], n[order]
-            new = np.r_[True, token[1:] != token[:-1]]
-            group = np.cumsum(new) - 1
-            fresh = np.r_[True, (token[1:] != token[:-1]) | (x[1:] != x[:-1])]
-            known = pos >> 31 == 1
-            several = np.bincount(group[fresh], minlength=group[-1] + 1) > 1
-            elsewhere = np.zeros(group[-1] + 1, bool)
-            elsewhere[group[known]] = True
-            # Known ones have been passed on already.
-            keep = fresh & ~known & (several | elsewhere)[group]
-            token, x, pos, n = token[keep], x[keep], pos[keep], n[keep]
-        values = [token.astype(np.int64), x, pos.astype(np.int64), n.astype(np.int64)]
-        for i in range(0, len(token), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)]) for v in values], _BLOB[1:])
-
-    blobs = docs.select("text").mapInArrow(gather, "bucket int, token binary, x binary, pos binary, n binary")
-    dealt = blobs.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return stored(dealt.mapInArrow(shared, "token long, x long, pos long, n long"))
+                if n:
+                    prefix = int(min(n, n - least_overlap(n, at_least) + most_matches(n, at_least)))
+                    yield class_name(*_signature(tokens), shift), n, tokens[:prefix], np.arange(prefix)
+
+    return shared_tokens(docs.select("text"), produce)
 
 
 def _hopeful(prefixes: DataFrame, at_least) -> DataFrame:
@@ -215,10 +99,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, shift: int, words: int, at_lea
             xs, ys, asked, tx, ty = (batch.column(c).to_pylist() for c in ("x", "y", "matches", "tx", "ty"))
             partners = dict.fromkeys(zip(ys, ty))
             for (y, text), t in zip(partners, shingle_sets([text for _, text in partners], words)):
-                partners[y, text] = t if _name(*_signature(t), shift) == y else None
+                partners[y, text] = t if class_name(*_signature(t), shift) == y else None
             for x, y, text, matches, s in zip(xs, ys, ty, asked, shingle_sets(tx, words)):
                 t = partners[y, text]
-                if t is None or _name(*_signature(s), shift) != x:  # another text under the same id
+                if t is None or class_name(*_signature(s), shift) != x:  # another text under the same id
                     continue
                 cut = [v[: len(v) - least_overlap(len(v), at_least) + matches] for v in (s, t)]
                 if matches > 1 and len(np.intersect1d(*cut, assume_unique=True)) < matches:
@@ -342,7 +226,7 @@ def similar_groups(
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     slim = _signatures(docs, words)
-    classes, shift = _classes(slim)
+    classes, shift = classes_of(slim)
     prefixes = _hopeful(_prefixes(docs, shift, words, at_least), at_least)
     wanted = stored(prefixes.select("x").distinct().join(classes.select("x", "rep"), "x"))
     texts = docs.join(wanted, docs["id"] == wanted["rep"]).select("x", "text")
