@@ -14,6 +14,7 @@ from comarca.llm.huffman import encoded_ids
 from comarca.llm.jaccard import similar_groups
 from comarca.llm.language import identify
 from comarca.llm.mixing import mix_sources
+from comarca.llm.repeats import without_repeats
 from comarca.llm.scoring import language_scores
 from comarca.llm.sharding import shard_by_bytes
 from comarca.llm.viterbi import sentencepiece_ids
@@ -34,6 +35,10 @@ def op3_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_codes(rows, rows.filter("vec_id % 20 = 0"), k=10)
 
 
+def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return sentencepiece_ids(docs, tokenizer_file("piece_bpe_32k.model"))
