@@ -46,6 +46,11 @@ def _masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << b for b in chosen) for chosen in combinations(range(bits), radius)]
 
 
+def _at_radius(part: Column, bits: int, radius: int) -> Column:
+    """All segment values that differ from this one in so many bits."""
+    return F.transform(F.lit(_masks(bits, radius)).cast("array<long>"), lambda mask: part.bitwiseXOR(mask))
+
+
 def _new_at(segment: int, radius: int, segments: list[tuple[int, int]], differing: Column) -> Column:
     """Whether this segment is the first, at this radius, in which two codes are found close."""
     first = F.lit(True)
@@ -102,13 +107,12 @@ def nearest_codes(
     open_ = stored(asked.select("query").distinct().withColumn("within", F.lit(BITS)))
     found, radius = None, 0
     best = Window.partitionBy("query").orderBy("distance", "low")
-    ids_so_far = best.rowsBetween(Window.unboundedPreceding, -1)
+    nearer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
     while not open_.isEmpty():
         probes = None
         for j, (a, bits) in enumerate(segments):
             if radius <= bits:
-                part = _part(F.col("query"), a, bits)
-                near = F.transform(F.lit(_masks(bits, radius)).cast("array<long>"), lambda m, part=part: part.bitwiseXOR(m))
+                near = _at_radius(_part(F.col("query"), a, bits), bits, radius)
                 probe = open_.select("query", "within", F.lit(j).alias("segment"), F.explode(near).alias("part"))
                 probes = probe if probes is None else probes.union(probe)
         probes = probes.join(hot, ["segment", "part"], "left").withColumn("salt", F.explode(salts)).drop("hot")
@@ -123,9 +127,9 @@ def nearest_codes(
         )
         found = met if found is None else found.union(met)
         ranked = found.withColumn("nth", F.row_number().over(best))
-        ranked = ranked.withColumn("before", F.coalesce(F.sum("ids").over(ids_so_far), F.lit(0)))
-        # A code with n others before it, or n ids before it at smaller distance, cannot add an id.
-        found = stored(ranked.filter((F.col("nth") <= n) & (F.col("before") < n) | (F.col("nth") == 1)).drop("nth", "before"))
+        ranked = ranked.withColumn("before", F.coalesce(F.sum("ids").over(nearer), F.lit(0)))
+        # A code with n others before it, or n ids at smaller distance, cannot add an id.
+        found = stored(ranked.filter((F.col("nth") <= n) & (F.col("before") < n)).drop("nth", "before"))
         covered = len(segments) * (radius + 1) - 1
         state = found.groupBy("query").agg(
             F.sum("ids").alias("ids"), F.sum(F.when(F.col("distance") <= covered, F.col("ids"))).alias("sure"),
