@@ -65,18 +65,17 @@ def slices(texts: list[str], chars: int):
 def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, salt_by: str
 ) -> DataFrame:
-    """Inner join with the left rows of hot keys dealt over ``SALTS`` tasks.
+    """Inner join with the left rows of hot keys dealt over several tasks.
 
-    ``right[weight]`` is the number of left rows of the key and ``total`` the number
-    of all left rows. At most ``HOT_SHARE`` keys can reach total / HOT_SHARE rows, so the
-    broadcast list of hot keys has at most so many rows at any size of input.
+    ``right[weight]`` is the number of left rows of the key and ``total`` the number of all left
+    rows. At most ``HOT_SHARE`` keys can reach total / HOT_SHARE rows, so the broadcast list of hot
+    keys has at most so many rows at any size of input. A key is dealt over as many tasks, up
+    to ``SALTS``, as it has such shares, and its right rows are copied as often.
     """
-    is_hot = F.col(weight) * HOT_SHARE >= total
-    hot = right.filter(is_hot).select(*keys).distinct().withColumn("_hot", F.lit(True))
+    salts = F.least(F.lit(SALTS), F.greatest(F.lit(1), F.expr(f"int({weight} * {HOT_SHARE} div {max(total, 1)})")))
+    hot = right.select(*keys, salts.alias("_salts")).filter("_salts > 1").groupBy(*keys).agg(F.max("_salts").alias("_salts"))
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS))).otherwise(0).cast("int")
+        "_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), "_salts"), F.lit(0)).cast("int")
     )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(
-        right.withColumn("_salt", F.explode(copies)), [*keys, "_salt"]
-    ).drop("_salt", "_hot")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt", "_salts")

@@ -18,6 +18,8 @@ from comarca.llm.shingles import WORDS, shingle_sets
 AT_LEAST = (80, 100)
 # Rounds in which every document is compared to one partner before all others follow.
 ROUNDS = 2
+# Tokens of a document by which a pair found again and again is told apart.
+FEW = 8
 
 
 def least_overlap(n, at_least=AT_LEAST):
@@ -87,46 +89,82 @@ def _hopeful(prefixes: DataFrame, at_least) -> DataFrame:
     return stored(prefixes)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shift: int, words: int, at_least) -> DataFrame:
+def _shared_counts(texts: DataFrame, shift: int, words: int) -> DataFrame:
+    """(x, shared): how many of all shingles of a class any other of these classes has too."""
+
+    def produce(batches):
+        for batch in batches:
+            for x, tokens in zip(batch.column("x").to_pylist(), shingle_sets(batch.column("text").to_pylist(), words)):
+                if class_name(*_signature(tokens), shift) == x:  # else another text under the same id
+                    yield x, len(tokens), tokens, np.arange(len(tokens))
+
+    counted = shared_tokens(texts, produce, only_count=True)
+    return counted.groupBy("x").agg(F.sum("pos").alias("shared"))
+
+
+def _sets(texts: DataFrame, shift: int, words: int) -> DataFrame:
+    """(x, set): all shingles of a class."""
+
+    def hashed(batches):
+        for batch in batches:
+            xs, sets = [], []
+            for x, tokens in zip(batch.column("x").to_pylist(), shingle_sets(batch.column("text").to_pylist(), words)):
+                if class_name(*_signature(tokens), shift) == x:  # else another text under the same id
+                    xs.append(x)
+                    sets.append(tokens.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(sets, pa.binary())], ["x", "set"])
+
+    return stored(texts.mapInArrow(hashed, "x long, set binary").dropDuplicates(["x"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, at_least) -> DataFrame:
     """Edges (a, b) among the pairs (x, y, matches) whose whole sets are similar enough.
 
     A pair is compared in full once its prefixes share as many tokens as ``matches`` asks for.
     """
 
+    def common(s, t):
+        at = np.searchsorted(t, s)
+        return int((t[np.minimum(at, len(t) - 1)] == s).sum())
+
     def verify(batches):
         for batch in batches:
             a, b = [], []
-            xs, ys, asked, tx, ty = (batch.column(c).to_pylist() for c in ("x", "y", "matches", "tx", "ty"))
-            partners = dict.fromkeys(zip(ys, ty))
-            for (y, text), t in zip(partners, shingle_sets([text for _, text in partners], words)):
-                partners[y, text] = t if class_name(*_signature(t), shift) == y else None
-            for x, y, text, matches, s in zip(xs, ys, ty, asked, shingle_sets(tx, words)):
-                t = partners[y, text]
-                if t is None or class_name(*_signature(s), shift) != x:  # another text under the same id
-                    continue
-                cut = [v[: len(v) - least_overlap(len(v), at_least) + matches] for v in (s, t)]
-                if matches > 1 and len(np.intersect1d(*cut, assume_unique=True)) < matches:
+            rows = (batch.column(c).to_pylist() for c in ("x", "y", "matches", "sx", "sy"))
+            for x, y, matches, *pair in zip(*rows):
+                s, t = (np.frombuffer(v, np.uint64) for v in pair)
+                if matches > 1 and common(*(v[: len(v) - least_overlap(len(v), at_least) + matches] for v in (s, t))) < matches:
                     continue
-                both = len(np.intersect1d(s, t, assume_unique=True))
+                both = common(s, t)
                 if at_least[1] * both >= at_least[0] * (len(s) + len(t) - both):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     weights = pairs.groupBy("y").agg(F.count("*").alias("uses"))
-    partner = texts.select(F.col("x").alias("y"), F.col("text").alias("ty")).join(weights, "y")
-    left = pairs.join(texts.withColumnRenamed("text", "tx"), "x")
-    both = salted_join(left, partner, ["y"], "uses", pairs.count(), "x").select("x", "y", "matches", "tx", "ty")
+    partner = sets.select(F.col("x").alias("y"), F.col("set").alias("sy")).join(weights, "y")
+    left = pairs.join(sets.withColumnRenamed("set", "sx"), "x")
+    both = salted_join(left, partner, ["y"], "uses", pairs.count(), "x").select("x", "y", "matches", "sx", "sy")
     return stored(both.mapInArrow(verify, "a long, b long"))
 
 
-def _hub_pairs(rows: DataFrame, nth: int) -> DataFrame:
+def _may_be_similar(at_least) -> str:
+    """Sizes n and m, of which ``shared`` and ``shared_y`` tokens are anyone else's, allow for enough in common."""
+    num, den = at_least
+    return (
+        f"least(n, m) * {den} >= greatest(n, m) * {num} and least(shared, shared_y) * {num + den} >= (n + m) * {num}"
+    )
+
+
+def _hub_pairs(rows: DataFrame, nth: int, at_least) -> DataFrame:
     """For every x the one document of another component that shares most prefix tokens among hubs.
 
-    The hubs of a token are the first and the last of its documents in a seeded order, so a token of
+    The hubs of a token are the first and the last of its documents in an order, so a token of
     m documents costs m rows, whatever m is.
     """
-    member = F.struct(F.xxhash64(F.lit(nth), "x").alias("h"), "x", "root", "n")
+    # First those that have most in common with others, such as the text that copies were made of.
+    order = -F.col("shared") / F.col("n") if nth % 2 == 0 else F.xxhash64(F.lit(nth), "x").cast("double")
+    member = F.struct(order.alias("order"), "x", "root", "n", "shared")
     hubs = rows.groupBy("token").agg(
         F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("df")
     ).filter("low.x != high.x")
@@ -135,18 +173,16 @@ def _hub_pairs(rows: DataFrame, nth: int) -> DataFrame:
     return (
         met.withColumn("hub", hub)
         .filter("hub is not null")
-        .groupBy("x", "n", F.col("hub.x").alias("y"), F.col("hub.n").alias("m"))
+        .select("x", "n", "shared", F.col("hub.x").alias("y"), F.col("hub.n").alias("m"), F.col("hub.shared").alias("shared_y"))
+        .filter(_may_be_similar(at_least))
+        .groupBy("x", "y")
         .count()
-        .groupBy("x", "n")
-        .agg(F.max_by(F.struct("y", "m"), F.struct("count", "y")).alias("best"))
-        .select("x", "n", F.col("best.y").alias("y"), F.col("best.m").alias("m"))
+        .groupBy("x")
+        .agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+        .withColumn("matches", F.lit(1))
     )
 
 
-def _similar_sizes(at_least) -> str:
-    return f"least(n, m) * {at_least[1]} >= greatest(n, m) * {at_least[0]}"
-
-
 def _probe_pairs(rows: DataFrame, at_least) -> DataFrame:
     """All pairs of different components that may still be similar: (x, y, matches).
 
@@ -161,7 +197,8 @@ def _probe_pairs(rows: DataFrame, at_least) -> DataFrame:
             lists = batch.column("tokens")
             fields = [lists.flatten().field(c).to_numpy() for c in ("pos", "cost", "token")]
             cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            for i, (x, n, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "n", "root")))):
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "n", "root", "shared")))):
+                n = row[1]
                 pos, cost, token = (f[cuts[i] : cuts[i + 1]] for f in fields)
                 t, best = least_overlap(n, at_least), None
                 for matches in range(1, int(most_matches(t, at_least)) + 1):
@@ -173,10 +210,12 @@ def _probe_pairs(rows: DataFrame, at_least) -> DataFrame:
                     if not total:
                         break
                 _, matches, look = best
-                out += [(k, x, n, root, matches, c) for k, c in zip(token[look].tolist(), cost[look].tolist())]
-            names = ["token", "x", "n", "root", "matches", "cost"]
-            columns = [pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays(columns, names)
+                look = look[np.argsort(token[look])]
+                few = token[look[:FEW]].tolist()
+                out += [(k, *row, matches, c, few[:nth]) for nth, (k, c) in enumerate(zip(token[look].tolist(), cost[look].tolist()))]
+            kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "x", "n", "root", "shared", "matches", "cost", "before"])
 
     # A token all of whose documents are in one component has nothing to find any more.
     sizes = rows.groupBy("token").agg(
@@ -184,18 +223,22 @@ def _probe_pairs(rows: DataFrame, at_least) -> DataFrame:
     ).filter("low != high").drop("low", "high")
     open_ = stored(salted_join(rows, sizes, ["token"], "cost", rows.count(), "x"))
     chosen = (
-        open_.groupBy("x", "n", "root").agg(F.collect_list(F.struct("pos", "cost", "token")).alias("tokens"))
-        .mapInArrow(choose, "token long, x long, n long, root long, matches long, cost long")
-    )
-    index = open_.select(
-        "token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("root").alias("root_y"), F.col("pos").alias("pos_y")
+        open_.groupBy("x", "n", "root", "shared").agg(F.collect_list(F.struct("pos", "cost", "token")).alias("tokens"))
+        .mapInArrow(choose, "token long, x long, n long, root long, shared long, matches long, cost long, before array<long>")
     )
     num, den = at_least
     least_y = f"((m * {num} + {den - 1}) div {den})"
+    index = open_.select(
+        "token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("root").alias("root_y"), F.col("shared").alias("shared_y"),
+        F.col("pos").alias("pos_y"),
+    )
+    # The smallest tokens that any probe finds y under, to tell that a pair has been met under one of them.
+    early = index.filter(f"pos_y < m - {least_y} + 1").groupBy("y").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FEW).alias("early"))
+    index = index.join(early, "y", "left")
+    met_before = "coalesce(arrays_overlap(before, filter(early, e -> e < token)), false)"
     return (
         salted_join(index, stored(chosen), ["token"], "cost", rows.count(), "y")
-        .filter(f"root != root_y and {_similar_sizes(at_least)} and pos_y < m - {least_y} + matches")
-        .select("x", "y", "matches")
+        .filter(f"root != root_y and {_may_be_similar(at_least)} and pos_y < m - {least_y} + matches and not {met_before}")
         .groupBy("x", "y")
         .agg(F.max("matches").alias("matches"))
     )
@@ -229,15 +272,15 @@ def similar_groups(
     classes, shift = classes_of(slim)
     prefixes = _hopeful(_prefixes(docs, shift, words, at_least), at_least)
     wanted = stored(prefixes.select("x").distinct().join(classes.select("x", "rep"), "x"))
-    texts = docs.join(wanted, docs["id"] == wanted["rep"]).select("x", "text")
-    texts, edges = stored(texts), None
-    rows = prefixes.withColumn("root", F.col("x"))
+    texts = stored(docs.join(wanted, docs["id"] == wanted["rep"]).select("x", "text"))
+    # The longest prefix of all, the whole set, for those that are left: enough of it must be shared.
+    least = F.expr(f"(n * {at_least[0]} + {at_least[1] - 1}) div {at_least[1]}")
+    prefixes = stored(prefixes.join(stored(_shared_counts(texts, shift, words)), "x").filter(F.col("shared") >= least))
+    sets = _sets(texts.join(stored(prefixes.select("x").distinct()), "x", "left_semi"), shift, words)
+    rows, edges = prefixes.withColumn("root", F.col("x")), None
     for nth in range(ROUNDS + 1):
-        if nth < ROUNDS:
-            pairs = _hub_pairs(rows, nth).filter(_similar_sizes(at_least)).select("x", "y", F.lit(1).alias("matches"))
-        else:
-            pairs = _probe_pairs(rows, at_least)
-        found = _verified(stored(pairs), texts, shift, words, at_least)
+        pairs = _hub_pairs(rows, nth, at_least) if nth < ROUNDS else _probe_pairs(rows, at_least)
+        found = _verified(stored(pairs), sets, at_least)
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -13,6 +13,8 @@ from comarca.llm.common import partitions, stored
 
 FLUSH_TOKENS = 2_000_000
 _TOKEN = np.uint64((1 << 48) - 1)
+# Upper bit of a place: the flush has passed this occurrence on already.
+_KNOWN, _PLACE = 1 << 31, (1 << 31) - 1
 
 # A text's class, its size, its tokens and where they stand.
 Found = tuple[int, int, np.ndarray, np.ndarray]
@@ -51,9 +53,13 @@ def _unplaned(raw: bytes, dtype: str, keep: int) -> np.ndarray:
 _BLOB = ["bucket", "token", "x", "pos", "n"]
 
 
-def shared_tokens(texts: DataFrame, produce: Callable[[Iterable[pa.RecordBatch]], Iterator[Found]]) -> DataFrame:
+def shared_tokens(
+    texts: DataFrame, produce: Callable[[Iterable[pa.RecordBatch]], Iterator[Found]], only_count: bool = False
+) -> DataFrame:
     """(token, x, pos, n): the tokens, 48 bits of them, that occur twice or more, and where.
 
+    With ``only_count`` a row says that x has ``pos`` more such tokens.
+
     A task gathers the tokens of its texts, each class once. Tokens it sees twice are known to
     be shared. Of every token one occurrence goes to the token's bucket, which so gets at
     most one per flush however frequent the token is, and there occurrences that stood
@@ -85,26 +91,26 @@ def shared_tokens(texts: DataFrame, produce: Callable[[Iterable[pa.RecordBatch]]
         token, x, n, pos = token[order], x[order], n[order], pos[order]
         new = np.r_[True, token[1:] != token[:-1]]
         alone = new & np.r_[new[1:], True]
-        for mine, offset in ((new, 0), (~alone, buckets)):
-            # To its bucket goes a token's first occurrence; known shared ones pass through any task.
-            at = np.flatnonzero(mine)
-            bucket = (token[at] % np.uint64(buckets)).astype(np.int64)
-            if offset:
-                bucket = np.arange(len(at)) * buckets // max(len(at), 1)
-            by = np.argsort(bucket, kind="stable")
-            at, bucket = at[by], bucket[by]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(at) else at
-            rows = []
-            for i, j in zip(cuts, np.r_[cuts[1:], len(at)]):
-                k = at[i:j]
-                known = np.where(alone[k], 0, 1 << 31) if not offset else 0
-                rows.append((
-                    int(bucket[i]) + offset, _planes(token[k], "<u8", 6), x[k].tobytes(),
-                    _planes(pos[k] | known, "<u4", 4), _planes(n[k], "<u4", 4),
-                ))
-            if rows:
-                kinds = [pa.int32()] + [pa.binary()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _BLOB)
+        # To its bucket goes a token's first occurrence; known shared ones pass through any task.
+        known = np.where(alone, 0, _KNOWN)[new]
+        yield from dealt_out((token[new] % np.uint64(buckets)).astype(np.int64), token[new], x[new], pos[new] | known, n[new])
+        token, x, pos, n = (v[~alone] for v in (token, x, pos, n))
+        if only_count:
+            x, pos = np.unique(x, return_counts=True)
+            token, n = np.zeros(len(x), np.uint64), np.zeros(len(x), np.int64)
+        if len(x):
+            yield from dealt_out(buckets + np.arange(len(x)) * buckets // len(x), token, x, pos, n)
+
+    def dealt_out(bucket, token, x, pos, n):
+        order = np.argsort(bucket, kind="stable")
+        bucket, token, x, pos, n = (v[order] for v in (bucket, token, x, pos, n))
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        rows = [
+            (int(bucket[i]), _planes(token[i:j], "<u8", 6), x[i:j].tobytes(), _planes(pos[i:j], "<u4", 4), _planes(n[i:j], "<u4", 4))
+            for i, j in zip(cuts, np.r_[cuts[1:], len(bucket)])
+        ]
+        kinds = [pa.int32()] + [pa.binary()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _BLOB)
 
     def shared(batches):
         at, held = None, []
@@ -124,11 +130,11 @@ def shared_tokens(texts: DataFrame, produce: Callable[[Iterable[pa.RecordBatch]]
         pos = np.concatenate([_unplaned(r[2], "<u4", 4) for r in held])
         n = np.concatenate([_unplaned(r[3], "<u4", 4) for r in held])
         if bucket < buckets:
-            order = np.lexsort((pos & 0x7FFFFFFF, x, token))
+            order = np.lexsort((pos & _PLACE, x, token))
             token, x, pos, n = token[order], x[order], pos[order], n[order]
             new = np.r_[True, token[1:] != token[:-1]]
             group = np.cumsum(new) - 1
-            known, place = pos >> 31 == 1, pos & 0x7FFFFFFF
+            known, place = pos >= _KNOWN, pos & _PLACE
             fresh = np.r_[True, (token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (place[1:] != place[:-1])]
             several = np.bincount(group[fresh], minlength=group[-1] + 1) > 1
             elsewhere = np.zeros(group[-1] + 1, bool)
@@ -136,6 +142,9 @@ def shared_tokens(texts: DataFrame, produce: Callable[[Iterable[pa.RecordBatch]]
             # Known ones have been passed on already.
             keep = fresh & ~known & (several | elsewhere)[group]
             token, x, pos, n = token[keep], x[keep], pos[keep], n[keep]
+            if only_count:
+                x, pos = np.unique(x, return_counts=True)
+                token, n = np.zeros(len(x), np.uint64), np.zeros(len(x), np.int64)
         values = [token.astype(np.int64), x, pos.astype(np.int64), n.astype(np.int64)]
         for i in range(0, len(token), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)]) for v in values], _BLOB[1:])
