@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from comarca.llm.attention import COLUMNS, INPUTS, Model, Vocabulary, log_probabilities, pair_counts, train
 from comarca.llm.byte_bpe import chunk_encoder
-from comarca.llm.common import partitions, stored, training_remainder
+from comarca.llm.common import partitions, slices, stored, training_remainder
 from comarca.llm.shingles import _LOWER, _grow, mix
 
 # The bounded sample the attention weights are fitted on: texts, and ids from the start of each.
 SAMPLE_TEXTS, SAMPLE_IDS = 1500, 1024
-FLUSH_WORDS = 1 << 22
+FLUSH_WORDS = 1 << 21
+SLICE_BYTES = 1_000_000
 
 
 def _normal(text: str | None) -> str:
@@ -128,11 +129,13 @@ def _word_counts(tokens: DataFrame, width: int, path: str) -> DataFrame:
             outside = np.array(batch.column("held_out").to_pylist(), bool)
             rows = batch.column("ids").to_pylist()
             for block in np.unique(blocks).tolist():
-                mine = np.flatnonzero(blocks == block)
-                ids, lengths = _joined([rows[i] for i in mine], width)
-                starts, hashes = _words(ids, spaced)
-                training = np.repeat(~outside[mine], lengths)[starts]
-                held.setdefault(block, []).append(_summed(hashes, training.astype(np.int64)))
+                mine, at = np.flatnonzero(blocks == block), 0
+                for run in slices([rows[i] for i in mine], SLICE_BYTES):
+                    ids, lengths = _joined(run, width)
+                    starts, hashes = _words(ids, spaced)
+                    training = np.repeat(~outside[mine[at : at + len(run)]], lengths)[starts]
+                    held.setdefault(block, []).append(_summed(hashes, training.astype(np.int64)))
+                    at += len(run)
                 if sum(len(h) for h, _ in held[block]) > FLUSH_WORDS:
                     yield from flush(block, held.pop(block))
         for block, parts in held.items():
@@ -208,7 +211,7 @@ def _scored(tokens: DataFrame, answers: DataFrame, width: int, path: str, model:
         spaced = chunk_encoder(path, True).spaced
         block, parts, known, counts = None, [], None, None
         for batch in batches:
-            out = []
+            out, size = [], 0
             rows = zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "id", "held_out", "ids", "counts")))
             for at, is_text, name, held, raw, n in rows:
                 if at != block:
@@ -225,10 +228,17 @@ def _scored(tokens: DataFrame, answers: DataFrame, width: int, path: str, model:
                 c = counts[np.searchsorted(known, _words(ids, spaced)[1])] if len(ids) else counts[:0]
                 base = float(np.log10(c + 1.0).sum()) + float(np.log10(ends + 1.0)) - (len(c) + 1) * bottom
                 out.append((name, held, len(c) + 1, int((c > 0).sum()) + (ends > 0), total, base, np.append(ids, model.end).astype(np.int64)))
+                size += len(raw)
+                if size > SLICE_BYTES:
+                    yield scored(out)
+                    out, size = [], 0
             if out:
-                scores = log_probabilities(model, [o[-1] for o in out]) / np.log(10)
-                columns = [pa.array(c, f.type) for c, f in zip((*zip(*(o[:-1] for o in out)), scores), _SCORES)]
-                yield pa.RecordBatch.from_arrays(columns, schema=_SCORES)
+                yield scored(out)
+
+    def scored(out):
+        scores = log_probabilities(model, [o[-1] for o in out]) / np.log(10)
+        columns = [pa.array(c, f.type) for c, f in zip((*zip(*(o[:-1] for o in out)), scores), _SCORES)]
+        return pa.RecordBatch.from_arrays(columns, schema=_SCORES)
 
     texts = tokens.select("block", F.lit(True).alias("kind"), "id", "held_out", "ids", F.lit(None).cast("binary").alias("counts"))
     replies = answers.filter("block >= 0").select(
