@@ -130,9 +130,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, at_least) -> DataFrame:
     def verify(batches):
         for batch in batches:
             a, b = [], []
-            rows = (batch.column(c).to_pylist() for c in ("x", "y", "matches", "sx", "sy"))
-            for x, y, matches, *pair in zip(*rows):
-                s, t = (np.frombuffer(v, np.uint64) for v in pair)
+            rows = (batch.column(c).to_pylist() for c in ("x", "y", "matches"))
+            for x, y, matches, *pair in zip(*rows, batch.column("sx"), batch.column("sy")):
+                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in pair)
                 if matches > 1 and common(*(v[: len(v) - least_overlap(len(v), at_least) + matches] for v in (s, t))) < matches:
                     continue
                 both = common(s, t)

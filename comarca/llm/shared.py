@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from comarca.llm.common import partitions, stored
 
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 _TOKEN = np.uint64((1 << 48) - 1)
 # Upper bit of a place: the flush has passed this occurrence on already.
 _KNOWN, _PLACE = 1 << 31, (1 << 31) - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
