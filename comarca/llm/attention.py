@@ -89,7 +89,7 @@ def _start(rng: np.random.Generator, words: Vocabulary, pairs: np.ndarray) -> tu
     by_class[words.classes, np.arange(COLUMNS)] = True
     grouped = pairs @ by_class.T.astype(np.float64)
     mass = by_class @ words.mass
-    smooth = grouped + BACKOFF * mass / mass.sum()
+    smooth = grouped + BACKOFF * mass / mass.sum() + 1e-6  # a band may be empty
     parts["bigram"] = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
     alone = words.mass / mass[words.classes]
     within = (pairs + BACKOFF * alone) / (grouped + BACKOFF)[:, words.classes]

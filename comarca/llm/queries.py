@@ -80,13 +80,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_hamming_top_k": """
             with codes as (
-              select vec_id, list_transform(embedding, x -> case when x > 0 then 1 else 0 end) as bits
+              select vec_id, [case when x > 0 then 1.0 else 0.0 end for x in embedding] as bits
               from embeddings where embedding is not null
             ),
             pairs as (
               select q.vec_id as query_id, c.vec_id as neighbor_id,
-                     cast(list_sum(list_transform(range(1, len(q.bits) + 1),
-                       i -> case when q.bits[i] <> c.bits[i] then 1 else 0 end)) as bigint) as distance
+                     cast(round(pow(list_distance(q.bits, c.bits), 2)) as bigint) as distance
               from codes q join codes c on q.vec_id <> c.vec_id and q.vec_id % 20 = 0
             )
             select query_id, cast(row_number() over (partition by query_id order by distance, neighbor_id)
