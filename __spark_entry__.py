@@ -25,6 +25,7 @@ from comarca.operators import relationship
 from comarca.plans import checks, model, roles
 from comarca.sources import CORRUPT, SCHEMAS, register_model, scan_csv, store, table
 from comarca.sources import work_folder, write_model
+from comarca.functions.text import ACCENTED, MARKS, PLAIN, SPACES
 from comarca.sources.csv import CSV_OPTIONS
 
 PROV_WIDTH = 2
@@ -44,9 +45,12 @@ def q_scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sink_model_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All columns of a table, dates included, as they come back from the CSV copy."""
+    """All columns of a table as they come back from the CSV copy: dates, empty texts and NULLs."""
     folder = work_folder(spark)
-    write_model(table(spark, sf_dir, "orders"), folder, "schools")
+    number = F.col("o_orderkey")
+    status = F.when(number % 7 == 0, "").when(number % 11 != 0, F.col("o_orderstatus"))
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderstatus", status)
+    write_model(orders, folder, "schools")
     back = scan_csv(spark, f"{folder}/schools.csv", SCHEMAS["orders"]).drop(CORRUPT)
     return back.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
@@ -84,7 +88,9 @@ def q_build_model(spark: SparkSession, sf_dir: str) -> DataFrame:
                    from model_population group by dep_id) w on w.dep_id = d.dep_id
         left join (select dep_id, count(*) as schools,
                           count_if(level_id = '4-NOT SPECIFIED') as unknown_level
-                   from model_schools join model_school_levels using (school_id)
+                   from model_schools left join
+                        (select * from model_school_levels where level_id = '4-NOT SPECIFIED')
+                        using (school_id)
                    group by dep_id) s on s.dep_id = d.dep_id
         left join (select dep_id, count(*) as libraries,
                           count_if(founded >= date'1998-01-01') as libraries_since
@@ -104,6 +110,24 @@ def q_check_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_model({name: store(df, folder, name) for name, df in tables.items()})
 
 
+def q_model_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every row of registers with planted faults."""
+    registers = roles.faulty_registers(spark, sf_dir)
+    return model.losses(registers, PROV_WIDTH, DEP_WIDTH)
+
+
+def q_build_faulty_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The integrated table out of registers with planted faults: every key once, nothing doubled."""
+    registers = roles.faulty_registers(spark, sf_dir)
+    tables = model.build_model(registers, roles.LEVELS, PROV_WIDTH, DEP_WIDTH)
+    return departments.integrate(
+        tables["departments"],
+        tables["population"],
+        departments.as_facts(tables["schools"], "schools"),
+        departments.as_facts(tables["libraries"], "libraries"),
+    )
+
+
 # Projection, filter, cleaning
 
 
@@ -190,6 +214,21 @@ def q_dim_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modelling.dim_extract(roles.schools(spark, sf_dir), ["level_id"])
 
 
+def q_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"
+    )
+    return modelling.dedup_rows(lines, ["l_orderkey", "l_linenumber"])
+
+
+def q_dim_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling.dim_by_key(table(spark, sf_dir, "part"), "p_brand", ["p_type", "p_size"])
+
+
+def q_key_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling.key_variants(table(spark, sf_dir, "part"), "p_brand", ["p_type", "p_size"])
+
+
 def q_bridge_school_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("school_id"),
@@ -289,7 +328,11 @@ def q_bars_libraries_province(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scatter_schools_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return departments.scatter(roles.facts(spark, sf_dir))
+    return departments.scatter(roles.departments(spark, sf_dir), roles.facts(spark, sf_dir))
+
+
+def q_rank_provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return departments.rank_provinces(q_bars_libraries_province(spark, sf_dir))
 
 
 def q_schools_per_department(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +363,7 @@ def q_boxplot_whiskers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_boxplot_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = q_schools_per_department(spark, sf_dir)
-    return distribution.outliers(counts, "prov_id", "schools", spread="dep_id")
+    return distribution.outliers(counts, "prov_id", "schools")
 
 
 # Scalar functions, relationship
@@ -370,6 +413,17 @@ def q_relationship_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_loglog_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = relationship.loglog_points(_integrated(spark, sf_dir))
+    return _rounded(relationship.loglog_fit(points), "slope", "intercept", "r2")
+
+
+def q_relationship_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(
+        relationship.relationship_spearman(_integrated(spark, sf_dir), "schools", "libraries"), "rho"
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: population, schools and libraries of every department."""
     return q_integrate_departments(spark, "/root/testdata/sf0.001")
@@ -500,7 +554,8 @@ def library_sql() -> dict[str, str]:
     return {
         "scan_csv": "select doc_id, text, lang, source, n_chars, false as is_corrupt from documents",
         "sink_model_csv": """
-            select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+            select o_orderkey, o_custkey, case when o_orderkey % 7 = 0 then ''
+                     when o_orderkey % 11 <> 0 then o_orderstatus end as o_orderstatus, o_totalprice,
                    strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, o_orderpriority
             from orders""",
         "register_model": " union all ".join(
@@ -522,6 +577,47 @@ def library_sql() -> dict[str, str]:
             from integrated i join nation n on n.n_nationkey = i.prov_id
             left join unk on unk.dep_id = i.dep_id
             left join since on since.dep_id = i.dep_id""",
+        "model_losses": f"""
+            with {_LINES},
+            school as (
+              select o_orderkey as id, o_custkey as dep from orders
+              where o_custkey in (select c_custkey from customer)
+              union all
+              select o_orderkey, o_custkey from orders
+              where o_custkey in (select c_custkey from customer)
+                and o_orderkey % 79 = 0 and o_orderkey % 97 <> 0),
+            library as (
+              select l_partkey as id from lineitem join orders on l_orderkey = o_orderkey
+              where l_returnflag = 'R' and o_custkey in (select c_custkey from customer)),
+            person as (select distinct dep_id as id from lines join customer on c_custkey = dep_id),
+            fate as (
+              select 'codes' as register, 'placed' as reason from customer
+              union all select 'codes', 'placed' from customer
+              union all select 'codes', 'placed' from customer where c_custkey % 10 = 0
+              union all select 'population', case when id % 13 = 0 then 'unreadable' else 'placed' end from person
+              union all select 'schools', case when id % 97 = 0 then 'missing code'
+                  when id % 89 = 0 then 'unplaced'
+                  when id % 83 = 0 then 'unknown department' else 'placed' end from school
+              union all select 'libraries', case when id % 67 = 0 then 'missing code'
+                  when id % 71 = 0 then 'unreadable' else 'placed' end from library)
+            select register, reason, count(*) as n_rows from fate group by 1, 2""",
+        "build_faulty_model": f"""
+            with {_INTEGRATED},
+            school as (select o_custkey as dep_id, count(*) as n from orders
+                       where o_orderkey % 97 <> 0 and o_orderkey % 89 <> 0 and o_orderkey % 83 <> 0
+                       group by 1),
+            library as (select o_custkey as dep_id, count(distinct (l_orderkey, l_linenumber, l_partkey)) as n
+                        from lineitem join orders on l_orderkey = o_orderkey
+                        where l_returnflag = 'R' and l_partkey % 67 <> 0 group by 1)
+            select lpad(cast(i.prov_id as varchar), 2, '0')
+                     || lpad(cast(i.dep_id as varchar), 12, '0') as dep_id,
+                   'departamento ' || lower(i.dep_name) as dep_name,
+                   lpad(cast(i.prov_id as varchar), 2, '0') as prov_id,
+                   case when i.dep_id % 13 = 0 then 0 else persons end as persons,
+                   coalesce(school.n, 0) as schools, coalesce(library.n, 0) as libraries
+            from integrated i join nation on n_nationkey = i.prov_id
+            left join school on school.dep_id = i.dep_id
+            left join library on library.dep_id = i.dep_id""",
         "check_model": """
             with dep as (select c_custkey as id, c_nationkey as prov, c_name as name from customer),
             place as (select o_orderkey as id, o_custkey as dep from orders
@@ -551,6 +647,10 @@ def library_sql() -> dict[str, str]:
             union all select 'school_levels', 'level_id in levels', 0::bigint
             union all select 'libraries', 'dep_id in departments', count(distinct dep)
               from lib where dep not in (select id from dep)
+            union all select 'libraries', 'prov_id in provinces', count(distinct prov)
+              from lib join dep on dep.id = lib.dep where prov not in (select n_nationkey from nation)
+            union all select 'population', 'key dep_id', count(*)
+              from (select dep from pop group by 1 having count(*) > 1)
             union all select 'population', 'dep_id in departments', count(distinct dep)
               from pop where dep not in (select id from dep)
             union all select 'departments', '3NF',
@@ -564,9 +664,9 @@ def library_sql() -> dict[str, str]:
                                                     having count(*) > 1)) as bigint)""",
         "project_rename": """
             select c_custkey as dep_id, c_name as dep_name, c_nationkey as prov_id from customer""",
-        "normalize_text": """
+        "normalize_text": f"""
             select doc_id, lower(trim(regexp_replace(
-              translate(text, 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '[ \\t\\r\\n]+', ' ', 'g'))) as name
+              translate(text, '{ACCENTED + MARKS}', '{PLAIN}'), '[{SPACES}]+', ' ', 'g'))) as name
             from documents""",
         "unify_format": """
             select o_orderkey, o_custkey as dep_code,
@@ -602,6 +702,17 @@ def library_sql() -> dict[str, str]:
             select l_orderkey, l_linenumber, l_partkey, cast(year(l_shipdate) as bigint) as year
             from lineitem where l_shipdate >= timestamp '1998-01-01'""",
         "dim_extract": "select distinct o_orderpriority as level_id from orders",
+        "dedup_rows": """
+            select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag from lineitem
+            qualify row_number() over (partition by l_orderkey, l_linenumber
+                                       order by l_partkey, l_suppkey, l_quantity, l_returnflag) = 1""",
+        "dim_by_key": """
+            with n as (select p_brand, p_type, p_size, count(*) as n from part group by all)
+            select p_brand, p_type, p_size from n
+            qualify row_number() over (partition by p_brand order by n desc, p_type, p_size) = 1""",
+        "key_variants": """
+            select p_brand, count(distinct (p_type, p_size)) as n_variants
+            from part group by 1 having count(distinct (p_type, p_size)) > 1""",
         "bridge_school_level": """
             select o_orderkey as school_id, o_orderpriority as level_id from orders
             union all select o_orderkey, 'ADULTS' from orders where o_orderstatus = 'F'""",
@@ -662,6 +773,13 @@ def library_sql() -> dict[str, str]:
             from customer left join lib on lib.dep_id = c_custkey""",
         "domain_frequency": f"""
             with {_DOMAINS} select domain, count(distinct doc_id) as n from domains group by 1""",
+        "rank_provinces": f"""
+            with {_INTEGRATED},
+            bars as (
+              select n_nationkey as prov_id, n_name as prov_name,
+                     cast(coalesce(sum(libraries), 0) as bigint) as libraries
+              from nation left join integrated i on i.prov_id = n_nationkey group by 1, 2)
+            select *, rank() over (order by libraries desc) as place from bars""",
         "bars_libraries_province": f"""
             with {_INTEGRATED}
             select n_nationkey as prov_id, n_name as prov_name,
@@ -715,6 +833,19 @@ def library_sql() -> dict[str, str]:
                      as n_shown,
                    count(*) filter (where log_schools is null or log_libraries is null) as n_excluded
             from logs""",
+        "loglog_fit": f"""
+            with {_RATES},
+            exact as (select log10(s) as x, log10(l) as y from rates where s > 0 and l > 0)
+            select count(*) as n, round(regr_slope(y, x), 6) as slope,
+                   round(regr_intercept(y, x), 6) as intercept, round(regr_r2(y, x), 6) as r2
+            from exact""",
+        "relationship_spearman": f"""
+            with {_INTEGRATED},
+            ranked as (
+              select rank() over (order by schools) + (count(*) over (partition by schools) - 1) / 2.0 as a,
+                     rank() over (order by libraries) + (count(*) over (partition by libraries) - 1) / 2.0 as b
+              from integrated)
+            select count(*) as n, round(corr(a, b), 6) as rho from ranked""",
         "relationship_corr": f"""
             with {_INTEGRATED}
             select count(*) as n, round(covar_pop(schools, libraries)

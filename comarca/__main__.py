@@ -10,7 +10,9 @@ The file names the registers and how their columns are called:
           "path": "<shared folder>/codes.csv",
           "header": ["all", "columns", "in", "file", "order"],
           "columns": {"<column>": "prov_code", "<column>": "prov_name", ...},
-          "multi_line": false
+          "multi_line": false,
+          "separator": ";",
+          "encoding": "ISO-8859-1"
         },
         "population": {...}, "schools": {...}, "libraries": {...}
       },
@@ -18,11 +20,13 @@ The file names the registers and how their columns are called:
       "bands": {"<result column>": "<value of band>"},
       "since": 1950,
       "prov_width": 2,
-      "dep_width": 3
+      "dep_width": 3,
+      "date_formats": ["yyyy-MM-dd", "yyyy"],
+      "sentinels": ["", "S/D"]
     }
 
 ``comarca.plans.model`` lists the columns each register must have. ``bands`` and
-what follows it may be left out.
+what follows it may be left out, and so may what follows ``columns``.
 """
 
 from __future__ import annotations
@@ -36,15 +40,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from comarca.operators.cleaning import project
 from comarca.plans.study import run_study
-from comarca.sources import scan_csv
+from comarca.sources import CORRUPT, scan_csv
 
-OPTIONAL = ("bands", "since", "prov_width", "dep_width")
+OPTIONAL = ("bands", "since", "prov_width", "dep_width", "date_formats", "sentinels")
 
 
 def read_register(spark: SparkSession, source: Mapping) -> DataFrame:
     schema = StructType([StructField(name, StringType()) for name in source["header"]])
-    raw = scan_csv(spark, source["path"], schema, source.get("multi_line", False))
-    return project(raw, source["columns"])
+    how = {name: source[name] for name in ("multi_line", "separator", "encoding") if name in source}
+    raw = scan_csv(spark, source["path"], schema, **how)
+    return project(raw, source["columns"] | {CORRUPT: CORRUPT})
 
 
 def run(spark: SparkSession, settings: Mapping) -> dict[str, DataFrame]:

@@ -4,7 +4,7 @@ from comarca.functions.dates import founding_year, parse_date
 from comarca.functions.ids import compose_id, standardize_id
 from comarca.functions.measures import log10_safe, per_thousand
 from comarca.functions.numbers import parse_integer
-from comarca.functions.text import email_domain, email_domains, normalize_text, regex_clean
+from comarca.functions.text import email_domain, email_domains, normalize_text, regex_clean, strip
 
 __all__ = [
     "compose_id",
@@ -18,4 +18,5 @@ __all__ = [
     "per_thousand",
     "regex_clean",
     "standardize_id",
+    "strip",
 ]

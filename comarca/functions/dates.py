@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from comarca.functions.text import strip
 
 # The parts a numeric date format is made of, and what each can read.
 DIGITS = {
@@ -25,7 +26,7 @@ def _shape(fmt: str) -> str | None:
     parts = re.findall(r"y+|M+|d+|.", fmt)
     if not all(p in DIGITS or p in SEPARATORS for p in parts):
         return None
-    return "^" + "".join(DIGITS.get(p) or re.escape(p) for p in parts) + "$"
+    return "^" + "".join(DIGITS.get(p) or re.escape(p) for p in parts) + "\\z"
 
 
 def parse_date(col: Column, formats: Sequence[str]) -> Column:
@@ -34,7 +35,7 @@ def parse_date(col: Column, formats: Sequence[str]) -> Column:
     Numeric formats are only tried on texts of their shape. Trying them on all
     rows gives the same dates, but a failed parse costs far more than a match.
     """
-    tries = []
+    col, tries = strip(col), []
     for fmt in formats:
         date, shape = F.try_to_date(col, fmt), _shape(fmt)
         tries.append(F.when(col.rlike(shape), date) if shape else date)

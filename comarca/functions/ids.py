@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from comarca.functions.text import strip
+
 
 def standardize_id(col: Column, width: int) -> Column:
     """Left-pad a numeric code to ``width`` digits.
@@ -12,8 +14,8 @@ def standardize_id(col: Column, width: int) -> Column:
     Codes that are too long or hold anything but digits become NULL: ``lpad``
     alone would cut ``2007`` at width 2 down to the unrelated code ``20``.
     """
-    text = F.trim(col.cast("string"))
-    return F.when(text.rlike(f"^[0-9]{{1,{width}}}$"), F.lpad(text, width, "0"))
+    text = strip(col.cast("string"))
+    return F.when(text.rlike(f"^[0-9]{{1,{width}}}\\z"), F.lpad(text, width, "0"))
 
 
 def compose_id(prov: Column, dep: Column) -> Column:

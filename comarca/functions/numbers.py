@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from comarca.functions.text import strip
+
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 def parse_integer(col: Column, kind: str = "bigint") -> Column:
-    """Whole number; NULL if the text is none or does not fit.
+    """Whole number; NULL if the text is none or does not fit. Outer white space is no part of it.
 
-    The same as ``try_cast``, but texts that cannot be numbers are told by their
+    The same as ``try_cast`` of the rest, but texts that cannot be numbers are told by their
     shape: a failed cast costs about 20 times a successful one.
     """
-    return F.when(col.rlike("^[+-]?[0-9]+$"), col.try_cast(kind))
+    text = strip(col)
+    return F.when(text.rlike("^[+-]?[0-9]+\\z"), text.try_cast(kind))

@@ -10,8 +10,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from comarca.functions import parse_date, parse_integer
+from comarca.functions import parse_date, parse_integer, strip
 from comarca.functions.numbers import INTEGRAL
 
 
@@ -32,17 +33,22 @@ def unify(df: DataFrame, schema: Mapping[str, str | Sequence[str]]) -> DataFrame
             return parse_date(text, target)
         return parse_integer(text, target) if target in INTEGRAL else text.try_cast(target)
 
-    return df.withColumns({c: typed(F.trim(F.col(c)), t) for c, t in schema.items()})
+    return df.withColumns({c: typed(strip(F.col(c)), t) for c, t in schema.items()})
 
 
 def null_sentinel(df: DataFrame, cols: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Turn placeholder texts (outer spaces ignored) into NULL."""
     return df.withColumns(
-        {c: F.when(~F.trim(F.col(c)).isin(*values), F.col(c)) for c in cols}
+        {c: F.when(~strip(F.col(c)).isin(*values), F.col(c)) for c in cols}
     )
 
 
 def null_fill(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
+    """NULLs of a column become its default, which must be of the column's kind."""
+    for name, value in defaults.items():
+        is_text = isinstance(df.schema[name].dataType, StringType)
+        if is_text != isinstance(value, str):
+            raise TypeError(f"{value!r} is no default for {df.schema[name].simpleString()}")
     return df.fillna(dict(defaults))
 
 

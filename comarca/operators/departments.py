@@ -99,13 +99,17 @@ def schools_per_department(dep: DataFrame, schools: DataFrame) -> DataFrame:
 def libraries_per_province(prov: DataFrame, dep: DataFrame, libs: DataFrame) -> DataFrame:
     """Bar chart data: every province once, with its number of libraries.
 
+    A library is in the province of its department. One whose department is missing
+    or unknown is in the province it names itself, if ``libs`` has ``prov_id``.
     Counted per department, then per province: both joins see one row per key.
     """
-    per_department = libs.groupBy("dep_id").agg(F.sum("libraries").alias("libraries"))
+    own = F.col("prov_id") if "prov_id" in libs.columns else F.lit(None)
+    per_department = (
+        libs.withColumn("own", own).groupBy("dep_id", "own").agg(F.sum("libraries").alias("libraries"))
+    )
     per_province = (
-        dep.select("dep_id", "prov_id")
-        .join(per_department, "dep_id")
-        .groupBy("prov_id")
+        per_department.join(dep.select("dep_id", "prov_id"), "dep_id", "left")
+        .groupBy(F.coalesce("prov_id", "own").alias("prov_id"))
         .agg(F.sum("libraries").alias("libraries"))
     )
     return prov.join(per_province, "prov_id", "left").select(
@@ -113,8 +117,17 @@ def libraries_per_province(prov: DataFrame, dep: DataFrame, libs: DataFrame) ->
     )
 
 
-def scatter(*facts: DataFrame) -> DataFrame:
-    """One point (dep_id, level_id, schools, persons) per department and level.
+def rank_provinces(bars: DataFrame) -> DataFrame:
+    """Bar chart data with the place of each province, 1 for the most libraries; equal counts share a place.
+
+    The window orders provinces, not libraries.
+    """
+    place = F.rank().over(Window.orderBy(F.col("libraries").desc()))
+    return bars.withColumn("place", place.cast("bigint"))
+
+
+def scatter(dep: DataFrame, *facts: DataFrame) -> DataFrame:
+    """One point (dep_id, level_id, schools, persons) per known department and level.
 
     ``persons`` is the whole population of the department. The window runs over
     sums: a department has one row per level there, however many schools it has.
@@ -128,5 +141,6 @@ def scatter(*facts: DataFrame) -> DataFrame:
     return (
         per_level.withColumn("persons", F.coalesce(everyone, F.lit(0)))
         .where(F.col("level_id").isNotNull() & (F.col("schools") > 0))
+        .join(dep.select("dep_id"), "dep_id", "left_semi")
         .select("dep_id", "level_id", "schools", "persons")
     )

@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from comarca.operators.joins import lookup_join
-
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -53,16 +51,16 @@ def whiskers(counts: DataFrame, by: str, value: str, k: float = 1.5) -> DataFram
     )
 
 
-def outliers(counts: DataFrame, by: str, value: str, spread: str, k: float = 1.5) -> DataFrame:
+def outliers(counts: DataFrame, by: str, value: str, k: float = 1.5) -> DataFrame:
     """Rows of ``counts`` beyond the whiskers.
 
-    ``spread`` is a column that differs between the rows of one group, used to
-    share out a large group if there are too many groups to broadcast.
+    The values beyond are taken from the histogram, so the rows meet one row per
+    (``by``, ``value``); a pair with many rows is split by the skew join.
     """
     low, high = _fences(k)
-    boxes = _histogram(counts, by, value).groupBy(by).agg(_quartile_array(value).alias("q"))
-    fences = boxes.select(by, low.alias("low"), high.alias("high"))
-    fenced = lookup_join(counts, fences, by, spread, bound=counts.select(by).distinct())
-    return fenced.where(
-        (F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))
-    ).select(*counts.columns)
+    beyond = (
+        _histogram(counts, by, value)
+        .withColumn("q", _quartile_array(value).over(Window.partitionBy(by)))
+        .where((F.col(value) < low) | (F.col(value) > high))
+    )
+    return counts.join(beyond.select(by, value), [by, value], "left_semi").select(*counts.columns)

@@ -1,7 +1,7 @@
-"""Joins that hold when one key has a large share of the rows.
+"""Joins of facts to dimensions.
 
-Questions that end in an aggregate do not need this module: they aggregate
-first and then join on unique keys. It is for joins whose result keeps every row.
+Questions that end in an aggregate do not need ``lookup_join``: they aggregate
+first and then join on unique keys. It is for results that keep every row.
 """
 
 from __future__ import annotations
@@ -9,67 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# One row per province or per level is far below this; at about 100 bytes a row
-# the broadcast stays near 10 MB.
-BROADCAST_ROWS = 100_000
-# A key with more rows than this is shared out over several tasks. There can be
-# no more such keys than rows / HOT_ROWS: 200,000 in a trillion rows.
-HOT_ROWS = 5_000_000
-SALTS = 64
 
-
-def within(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows.
-
-    A plain count: for a table it reads file footers only, while a limit would
-    move its rows to one task.
-    """
-    return df.count() <= rows
-
-
-def lookup_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: str,
-    spread: str,
-    bound: DataFrame | None = None,
-    rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, dim: DataFrame, on: str) -> DataFrame:
     """Left join of many rows to a dimension with at most one row per ``on``.
 
-    The dimension is broadcast if ``bound`` (by default the dimension itself; a
-    cheaper frame with at least as many rows will do) is counted to have at most
-    ``rows`` rows. Beyond that both sides are shuffled, and the rows of a hot key
-    are dealt to ``salts`` tasks by a hash of ``spread``, with a copy of the one
-    dimension row for each. Rows without a key are dealt out too: they match
-    nothing, but may be many. All rows are kept either way.
+    The plan is Spark's choice by bytes, at plan time and again at run time: a
+    dimension below the broadcast threshold is broadcast, and beyond it a key with
+    a large share of the rows is split over several tasks (skew join). NULL keys
+    match nothing and are kept.
     """
-    if within(dim if bound is None else bound, rows):
-        return facts.join(F.broadcast(dim), on, "left")
-    hot = (
-        facts.groupBy(on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(on, F.lit(salts).alias("_salts"))
-    )
-    n_salts = F.coalesce("_salts", F.lit(1))
-    tasks = F.when(F.col(on).isNull(), F.lit(salts)).otherwise(n_salts)
-    dealt = facts.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(spread), tasks).cast("int")
-    )
-    copied = dim.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), n_salts - 1))
-    )
-    return (
-        dealt.drop("_salts").join(copied.drop("_salts"), [on, "_salt"], "left").drop("_salt")
-    )
+    return facts.join(dim, on, "left")
 
 
 def with_geo(dep: DataFrame, prov: DataFrame) -> DataFrame:
     """Departments with the columns of their province, found by ``prov_id``."""
-    return lookup_join(dep, prov, "prov_id", spread="dep_id")
+    return lookup_join(dep, prov, "prov_id")
 
 
 def roll_up(

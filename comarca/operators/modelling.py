@@ -19,6 +19,35 @@ def dim_extract(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols).dropna(how="all").distinct()
 
 
+def dim_by_key(df: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
+    """One row per ``key``: its most frequent attributes, the first by value among equals.
+
+    Rows without a key are no part of the dimension. Spellings are counted before they meet, so
+    a key costs as many rows as it has different attributes.
+    """
+    spellings = df.dropna(subset=[key]).groupBy(key, *attributes).agg((-F.count(F.lit(1))).alias("_n"))
+    best = spellings.groupBy(key).agg(F.min(F.struct("_n", *attributes)).alias("_best"))
+    return best.select(key, *[F.col("_best")[a].alias(a) for a in attributes])
+
+
+def key_variants(df: DataFrame, key: str, attributes: Sequence[str]) -> DataFrame:
+    """What ``dim_by_key`` had to choose from: (key, n_variants) of keys with several attributes."""
+    return check_fd(df.dropna(subset=[key]), [key], attributes).withColumnRenamed("n_values", "n_variants")
+
+
+def dedup_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per ``key``: the smallest by the other columns in their order, NULL before all.
+
+    A NULL part of a key is a value. The choice is an aggregate, made in part before the
+    shuffle, so a row repeated any number of times is one row per task.
+    """
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    best = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_best"))
+    return best.select(*[c if c in key else F.col("_best")[c].alias(c) for c in df.columns])
+
+
 def bridge(df: DataFrame, key: str, flags: Mapping[str, str], value_name: str) -> DataFrame:
     """Wide flag columns (column -> value) to one (key, value) row per set flag.
 

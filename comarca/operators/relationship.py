@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from comarca.functions import log10_safe, per_thousand
@@ -40,6 +40,56 @@ def loglog_excluded(integrated: DataFrame) -> DataFrame:
     )
 
 
+def loglog_fit(points: DataFrame) -> DataFrame:
+    """The straight line through the log-log points: one row (n, slope, intercept, r2).
+
+    NULL where the points do not determine it: fewer than two rates of schools, or
+    for ``r2`` of libraries.
+    """
+    x, y = F.col("log_schools"), F.col("log_libraries")
+    varies_x, varies_y = F.min(x) < F.max(x), F.min(y) < F.max(y)
+    slope = F.when(varies_x, F.covar_pop(x, y) / F.nullif(F.var_pop(x), F.lit(0.0)))
+    spread = F.nullif(F.var_pop(x) * F.var_pop(y), F.lit(0.0))
+    r2 = F.when(varies_x & varies_y, F.pow(F.covar_pop(x, y), 2) / spread)
+    return points.agg(
+        F.count(F.lit(1)).alias("n"),
+        slope.alias("slope"),
+        (F.avg(y) - slope * F.avg(x)).alias("intercept"),
+        r2.alias("r2"),
+    )
+
+
+def _ranks(df: DataFrame, col: str) -> DataFrame:
+    """(value, rank): mean ranks out of a histogram, so the window orders distinct values only."""
+    before = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    n_before = F.coalesce(F.sum("n").over(before), F.lit(0))
+    return (
+        df.groupBy(col)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col(col), (n_before + (F.col("n") + 1) / 2).alias(f"rank_{col}"))
+    )
+
+
+def relationship_spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Rank correlation of two counts, equal counts at their mean rank: one row (n, rho).
+
+    Counts repeat, so N rows have about the square root of twice their total distinct values,
+    and pairs of counts are merged before they are given their ranks.
+    """
+    rows = df.dropna(subset=[x, y])
+    pairs = rows.groupBy(x, y).agg(F.count(F.lit(1)).alias("weight"))
+    ranked = pairs.join(_ranks(rows, x), x).join(_ranks(rows, y), y)
+    w, a, b = F.col("weight"), F.col(f"rank_{x}"), F.col(f"rank_{y}")
+    n = F.sum(w)
+
+    def cov(p: Column, q: Column) -> Column:
+        return F.sum(w * p * q) / n - F.sum(w * p) / n * (F.sum(w * q) / n)
+
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    rho = cov(a, b) / F.nullif(F.sqrt(cov(a, a) * cov(b, b)), F.lit(0.0))
+    return ranked.agg(F.coalesce(n, F.lit(0)).alias("n"), F.when(varies, rho).alias("rho"))
+
+
 def relationship_corr(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation over the rows that have both values: one row (n, r).
 

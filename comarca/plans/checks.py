@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comarca.operators.modelling import check_foreign_key, check_key, check_normal_forms
+from comarca.operators.modelling import check_key, check_normal_forms
 
 KEYS = {
     "provinces": ["prov_id"],
@@ -17,6 +17,7 @@ KEYS = {
     "schools": ["school_id"],
     "school_levels": ["school_id", "level_id"],
     "libraries": ["lib_id"],
+    "population": ["dep_id", "band"],  # band where the register has it
 }
 # child table, column, parent table
 REFERENCES = (
@@ -25,28 +26,37 @@ REFERENCES = (
     ("school_levels", "school_id", "schools"),
     ("school_levels", "level_id", "levels"),
     ("libraries", "dep_id", "departments"),
+    ("libraries", "prov_id", "provinces"),
     ("population", "dep_id", "departments"),
 )
 NORMAL_FORMS = {"departments": ["dep_name", "prov_id"]}
 
 
+def _keys(model: Mapping[str, DataFrame], table: str) -> list[str]:
+    return [c for c in KEYS[table] if c in model[table].columns]
+
+
+def _without_parent(model: Mapping[str, DataFrame], child: str, column: str, parent: str) -> DataFrame:
+    """Rows of ``child`` that refer to nothing. NULL refers to nothing on purpose and is none of them."""
+    return model[child].dropna(subset=[column]).join(model[parent].select(column), column, "left_anti")
+
+
 def unknown_keys(model: Mapping[str, DataFrame]) -> DataFrame:
     """Rows that refer to nothing: (table_name, column_name, key_value, n_rows).
 
     Their codes are well formed but not in the parent table, so no result that
-    starts from departments can show them.
+    starts from the parent can show them.
     """
     return reduce(
         DataFrame.unionByName,
         [
-            check_foreign_key(model[child], column, model[parent], column)
-            .where("problem = 'orphan'")
-            .select(
+            _without_parent(model, child, column, parent)
+            .groupBy(
                 F.lit(child).alias("table_name"),
                 F.lit(column).alias("column_name"),
-                "key_value",
-                "n_rows",
+                F.col(column).alias("key_value"),
             )
+            .agg(F.count(F.lit(1)).alias("n_rows"))
             for child, column, parent in REFERENCES
         ],
     )
@@ -61,15 +71,13 @@ def check_model(model: Mapping[str, DataFrame]) -> DataFrame:
         )
 
     keys = [
-        tally(t, f"key {','.join(cols)}", check_key(model[t], cols)) for t, cols in KEYS.items()
+        tally(t, f"key {','.join(_keys(model, t))}", check_key(model[t], _keys(model, t))) for t in KEYS
     ]
     references = [
         tally(
             child,
             f"{column} in {parent}",
-            check_foreign_key(model[child], column, model[parent], column).where(
-                "problem = 'orphan'"
-            ),
+            _without_parent(model, child, column, parent).select(column).distinct(),
         )
         for child, column, parent in REFERENCES
     ]

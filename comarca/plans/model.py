@@ -16,14 +16,15 @@ libraries      lib_code, prov_code, dep_code, founded, email
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comarca.functions import compose_id, normalize_text, standardize_id
 from comarca.operators.cleaning import null_drop, null_sentinel, since_tally, unify
-from comarca.operators.modelling import bridge, dim_extract
-from comarca.sources import register_model, write_model
+from comarca.operators.modelling import bridge, dedup_rows, dim_by_key
+from comarca.sources import CORRUPT, register_model, write_model
 
 PROV_WIDTH = 2
 DEP_WIDTH = 3
@@ -58,35 +59,85 @@ def build_model(
 ) -> dict[str, DataFrame]:
     """The model tables by name; ``levels`` maps a flag column to its level name.
 
-    A row needs its department to be used, so rows without a readable code are
-    left out of the fact tables; ``unplaced`` counts them.
+    Every key is there once: a department has its most frequent name, a school or library
+    that is registered again counts once, and so does a repeated census row. A row needs
+    its department to be used, a library at least its province; ``losses`` counts the others.
     """
-    clean = {n: _clean(df, prov_width, dep_width, sentinels) for n, df in registers.items()}
+    clean = {
+        name: _clean(df.drop(CORRUPT), prov_width, dep_width, sentinels)
+        for name, df in registers.items()
+    }
     codes = null_drop(clean["codes"], ["dep_id"]).withColumns(
         {"prov_name": normalize_text(F.col("prov_name")), "dep_name": normalize_text(F.col("dep_name"))}
     )
     schools = null_drop(clean["schools"], ["school_code", "dep_id"]).withColumnRenamed(
         "school_code", "school_id"
     )
-    libraries = null_drop(clean["libraries"], ["lib_code", "dep_id"])
-    school_levels = bridge(schools, "school_id", levels, "level_id")
+    libraries = null_drop(clean["libraries"], ["lib_code", "prov_id"])
+    school_levels = bridge(schools, "school_id", levels, "level_id").distinct()
+    population = unify(null_drop(clean["population"], ["dep_id"]), {"persons": "bigint"})
+    libraries = unify(libraries, {"founded": date_formats}).select(
+        F.col("lib_code").alias("lib_id"), "dep_id", "prov_id", "founded", "email"
+    )
     return {
-        "provinces": dim_extract(codes, ["prov_id", "prov_name"]),
-        "departments": dim_extract(codes, ["dep_id", "dep_name", "prov_id"]),
+        "provinces": dim_by_key(codes, "prov_id", ["prov_name"]),
+        "departments": dim_by_key(codes, "dep_id", ["dep_name", "prov_id"]),
         "levels": schools.sparkSession.createDataFrame(
             [(name,) for name in levels.values()], "level_id string"
         ),
-        "schools": schools.select("school_id", "dep_id"),
+        "schools": dedup_rows(schools.select("school_id", "dep_id"), ["school_id"]),
         "school_levels": school_levels,
-        "libraries": unify(libraries, {"founded": date_formats}).select(
-            F.col("lib_code").alias("lib_id"), "dep_id", "founded", "email"
-        ),
-        "population": unify(null_drop(clean["population"], ["dep_id"]), {"persons": "bigint"}).drop(
-            "prov_id"
-        ),
+        "libraries": dedup_rows(libraries, ["lib_id"]),
+        "population": population.drop("prov_id").distinct(),
     }
 
 
+def losses(
+    registers: Mapping[str, DataFrame],
+    prov_width: int = PROV_WIDTH,
+    dep_width: int = DEP_WIDTH,
+    sentinels: Sequence[str] = SENTINELS,
+    date_formats: Sequence[str] = DATE_FORMATS,
+) -> DataFrame:
+    """(register, reason, n_rows): what became of every row; a register's rows add up to all it has.
+
+    ``corrupt`` rows did not fit the file's columns (they keep what could be read, and are
+    used if that is enough). Of the others those without a ``missing code`` or department are left out
+    (``unplaced``), those of an ``unknown department`` cannot show in any result, and an
+    ``unreadable`` number or date is NULL. The rest is ``placed``.
+    """
+    codes = _clean(registers["codes"], prov_width, dep_width, sentinels)
+    known = codes.dropna(subset=["dep_id"]).select("dep_id").distinct().withColumn("known", F.lit(True))
+    own_code = {"schools": "school_code", "libraries": "lib_code"}
+    typed = {"population": {"persons": "bigint"}, "libraries": {"founded": date_formats}}
+    parts = []
+    for name, register in registers.items():
+        rows = _clean(register, prov_width, dep_width, sentinels)
+        corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in rows.columns else F.lit(False)
+        rows = rows.withColumn("is_corrupt", corrupt)
+        unreadable = F.lit(False)
+        for column, target in typed.get(name, {}).items():
+            rows = unify(rows.withColumn("given", F.col(column)), {column: target})
+            unreadable = F.col("given").isNotNull() & F.col(column).isNull()
+        code = F.col(own_code[name]).isNull() if name in own_code else F.lit(False)
+        reason = (
+            F.when(F.col("is_corrupt"), "corrupt")
+            .when(code, "missing code")
+            .when(F.col("dep_id").isNull(), "unplaced")
+            .when(unreadable, "unreadable")
+            .otherwise("placed")
+        )
+        counted = rows.withColumn("reason", reason).groupBy("dep_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+        is_known = F.coalesce("known", F.lit(False)) | (F.col("reason") != "placed") & (F.col("reason") != "unreadable")
+        parts.append(
+            counted.join(known, "dep_id", "left")
+            .groupBy(F.when(is_known, F.col("reason")).otherwise("unknown department").alias("reason"))
+            .agg(F.sum("n").alias("n_rows"))
+            .select(F.lit(name).alias("register"), "reason", "n_rows")
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def unplaced(
     registers: Mapping[str, DataFrame],
     prov_width: int = PROV_WIDTH,

@@ -104,6 +104,46 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def faulty_registers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """``raw_registers`` with planted faults, each on the rows that a number divides.
+
+    Codes: every department again, and every 10th under another name. Population: every 13th
+    department unreadable. Schools: every 97th without its code, every 89th without a
+    department, every 83rd in an unknown one, every 79th registered twice. Libraries: every
+    71st part without a readable date, every 67th without a code.
+    """
+    raw = raw_registers(spark, sf_dir)
+
+    def every(n: int, number: str, then, otherwise):
+        is_hit = F.substring_index(number, "-", -1).cast("bigint") % n == 0
+        return F.when(is_hit, then).otherwise(otherwise)
+
+    codes, schools, libraries = raw["codes"], raw["schools"], raw["libraries"]
+    renamed = codes.where(F.col("dep_code").cast("bigint") % 10 == 0).withColumn("dep_name", F.lit("Otro"))
+    number = F.col("school_code").cast("bigint")
+    schools = schools.withColumns(
+        {
+            "dep_code": F.when(number % 89 == 0, "S/D")
+            .when(number % 83 == 0, "999999999")
+            .otherwise(F.col("dep_code")),
+            "school_code": every(97, "school_code", F.lit("-"), F.col("school_code")),
+        }
+    )
+    return {
+        "codes": codes.unionByName(codes).unionByName(renamed),
+        "population": raw["population"].withColumn(
+            "persons", every(13, "dep_code", F.lit("1.234"), F.col("persons"))
+        ),
+        "schools": schools.unionByName(schools.where(F.col("school_code").try_cast("bigint") % 79 == 0)),
+        "libraries": libraries.withColumns(
+            {
+                "founded": every(71, "lib_code", F.lit("around 1960"), F.col("founded")),
+                "lib_code": every(67, "lib_code", F.lit(None).cast("string"), F.col("lib_code")),
+            }
+        ),
+    }
+
+
 def raw_registers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The same roles as all-text registers, the way they arrive before cleaning.
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from comarca.operators import departments, distribution, mail, relationship
 from comarca.operators.cleaning import filter_since
 from comarca.plans.checks import check_model, unknown_keys
-from comarca.plans.model import build_model, founding_dates, store_model, unplaced
+from comarca.plans.model import DATE_FORMATS, SENTINELS, build_model, founding_dates, losses
+from comarca.plans.model import store_model, unplaced
 from comarca.sources import write_model
 
 # Fixed value: libraries are counted from this founding year on.
@@ -37,6 +38,8 @@ def study(
         model["schools"].join(model["school_levels"], "school_id"), "schools", "level_id"
     )
     libraries = departments.as_facts(model["libraries"], "libraries")
+    by_province = departments.as_facts(model["libraries"], "libraries", "prov_id")
+    bars = departments.libraries_per_province(prov, dep, by_province)
     recent = departments.as_facts(filter_since(model["libraries"], "founded", since), "libraries")
     integrated = keep(
         "integrate_departments", departments.integrate(dep, people, schools, libraries)
@@ -48,15 +51,22 @@ def study(
         "libraries_since": departments.libraries_since(dep, recent),
         "integrate_departments": integrated,
         "top_email_domain": mail.top_domain(domains),
-        "top_domain_per_department": mail.top_domain_per_group(domains, "dep_id"),
-        "bars_libraries_province": departments.libraries_per_province(prov, dep, libraries),
-        "scatter_schools_population": departments.scatter(people, by_level),
+        "top_domain_per_department": mail.top_domain_per_group(
+            domains.dropna(subset=["dep_id"]), "dep_id"
+        ),
+        "bars_libraries_province": bars,
+        "rank_provinces": departments.rank_provinces(bars),
+        "scatter_schools_population": departments.scatter(dep, people, by_level),
         "schools_per_department": counts,
         "boxplot_quartiles": distribution.quartiles(counts, "prov_id", "schools"),
         "boxplot_whiskers": distribution.whiskers(counts, "prov_id", "schools"),
-        "boxplot_outliers": distribution.outliers(counts, "prov_id", "schools", "dep_id"),
+        "boxplot_outliers": distribution.outliers(counts, "prov_id", "schools"),
         "loglog_points": relationship.loglog_points(integrated),
         "loglog_excluded": relationship.loglog_excluded(integrated),
+        "loglog_fit": relationship.loglog_fit(relationship.loglog_points(integrated)),
+        "relationship_spearman": relationship.relationship_spearman(
+            integrated, "schools", "libraries"
+        ),
         "relationship_corr": relationship.relationship_corr(
             relationship.rates(integrated), "schools_per_1000", "libraries_per_1000"
         ),
@@ -70,15 +80,17 @@ def run_study(
     directory: str,
     bands: Mapping[str, str] | None = None,
     since: int = SINCE_YEAR,
-    **widths: int,
+    date_formats: Sequence[str] = DATE_FORMATS,
+    **cleaning,
 ) -> dict[str, DataFrame]:
     """From raw registers to stored results, below ``directory``.
 
     Model tables go to ``model/`` and results to ``results/``, each as Parquet
-    and CSV. A stage reads what the one before has written, so a lost executor
+    and CSV. ``cleaning`` are the code widths and placeholders of ``build_model``. A stage reads what the one before has written, so a lost executor
     costs the tasks of one stage and nothing is cleaned or counted twice.
     """
-    stored = store_model(spark, build_model(registers, levels, **widths), f"{directory}/model")
+    model = build_model(registers, levels, date_formats=date_formats, **cleaning)
+    stored = store_model(spark, model, f"{directory}/model")
     results: dict[str, DataFrame] = {}
 
     def keep(name: str, df: DataFrame) -> DataFrame:
@@ -86,8 +98,10 @@ def run_study(
             results[name] = write_model(df, f"{directory}/results", name)
         return results[name]
 
-    keep("unplaced", unplaced(registers, **widths))
-    keep("founding_dates", founding_dates(registers, since))
+    keep("unplaced", unplaced(registers, **cleaning))
+    keep("losses", losses(registers, date_formats=date_formats, **cleaning))
+    sentinels = cleaning.get("sentinels", SENTINELS)
+    keep("founding_dates", founding_dates(registers, since, sentinels, date_formats))
     keep("unknown_keys", unknown_keys(stored))
     keep("model_checks", check_model(stored))
     for name, df in study(stored, levels, bands, since, keep).items():

@@ -14,11 +14,18 @@ CSV_OPTIONS = {
     "escape": '"',
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
+    # Told apart from an empty text, which is written as "".
+    "nullValue": "\\N",
 }
 
 
 def scan_csv(
-    spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str,
+    multi_line: bool = False,
+    separator: str = ",",
+    encoding: str = "UTF-8",
 ) -> DataFrame:
     """Read a register under a fixed schema, never an inferred one.
 
@@ -36,6 +43,6 @@ def scan_csv(
     return (
         spark.read.schema(flagged)
         .options(**CSV_OPTIONS, multiLine=multi_line, mode="PERMISSIVE", enforceSchema=False)
-        .option("columnNameOfCorruptRecord", CORRUPT)
+        .options(columnNameOfCorruptRecord=CORRUPT, sep=separator, encoding=encoding)
         .csv(path)
     )

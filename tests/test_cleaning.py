@@ -50,7 +50,7 @@ def test_dates_read_the_same_with_and_without_shape(spark, formats):
         "19500101", "", "no date", None, "1950-01-01x", "1950-01-01\n",
     ]
     guarded = apply(spark, lambda c: fn.parse_date(c, formats), *items)
-    plain = apply(spark, lambda c: F.coalesce(*[F.try_to_date(c, f) for f in formats]), *items)
+    plain = apply(spark, lambda c: F.coalesce(*[F.try_to_date(fn.strip(c), f) for f in formats]), *items)
     assert guarded == plain
     assert any(guarded)
 

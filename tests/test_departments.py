@@ -99,8 +99,8 @@ def test_summary_by_level_and_band(facts, world, truth):
 
 
 def test_scatter_has_a_point_per_department_and_level(facts, world, truth):
-    _, people, schools, _ = facts
-    got = {(r.dep_id, r.level_id): (r.schools, r.persons) for r in departments.scatter(people, schools).collect()}
+    dep, people, schools, _ = facts
+    got = {(r.dep_id, r.level_id): (r.schools, r.persons) for r in departments.scatter(dep, people, schools).collect()}
     level = Counter((d, l) for _, d, l in world[1])
     assert got == {k: (n, truth[0][k[0]]) for k, n in level.items()}
 
@@ -176,10 +176,12 @@ def test_whiskers_end_at_the_last_value_inside(counts, groups):
         assert got[p] == (min(inside), max(inside))
 
 
-@pytest.mark.parametrize("rows", [100_000, 0])
-def test_outliers_with_few_and_with_too_many_groups_to_broadcast(counts, groups, monkeypatch, rows):
-    monkeypatch.setattr(joins.lookup_join, "__defaults__", (None, rows, 5, 4))
-    got = {(r.prov_id, r.dep_id, r.schools) for r in distribution.outliers(counts, "prov_id", "schools", "dep_id").collect()}
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_outliers_broadcast_or_not(spark, counts, groups, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    got = {(r.prov_id, r.dep_id, r.schools) for r in distribution.outliers(counts, "prov_id", "schools").collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     want = set()
     for p, members in groups.items():
         low, high = fences([n for n, _ in members])
@@ -188,17 +190,13 @@ def test_outliers_with_few_and_with_too_many_groups_to_broadcast(counts, groups,
     assert any(d == 0 for _, d, _ in want)
 
 
-def test_salted_lookup_keeps_rows_without_a_match(spark):
+def test_lookup_keeps_rows_without_a_match(spark):
     keys = [None if i % 7 == 0 else 0 if i % 3 == 0 else i % 5 for i in range(300)]
     big = spark.createDataFrame(list(enumerate(keys)), "id long, k int")
     dim = spark.createDataFrame([(0, "a"), (1, "b")], "k int, name string")
-    broadcast = joins.lookup_join(big, dim, "k", spread="id")
-    salted = joins.lookup_join(big, dim, "k", spread="id", rows=1, hot_rows=50, salts=8)
-    assert sorted(salted.columns) == sorted(broadcast.columns)
-    assert sorted(salted.select("id", "k", "name").collect(), key=str) == sorted(
-        broadcast.select("id", "k", "name").collect(), key=str
-    )
-    assert salted.count() == 300
+    names = {0: "a", 1: "b"}
+    got = {(r.id, r.k, r.name) for r in joins.lookup_join(big, dim, "k").collect()}
+    assert got == {(i, k, names.get(k)) for i, k in enumerate(keys)}
 
 
 # Mail
