@@ -32,8 +32,11 @@ def sign_code(vector: Column) -> Column:
 
 
 def _segments(n_codes: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of segments of about log2(codes) bits, so that a bucket holds about one code."""
-    count = math.ceil(BITS / min(16, max(4, round(math.log2(max(n_codes, 2))))))
+    """(first bit, bits) of segments of log2(codes) - 2 bits at most, so that a bucket holds a few codes.
+
+    Shorter segments have larger buckets, longer ones need a larger radius and far more probes.
+    """
+    count = math.ceil(BITS / min(16, max(4, round(math.log2(max(n_codes, 2))) - 2)))
     cuts = [BITS * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
