@@ -15,8 +15,8 @@ COLUMNS = 4096
 BACKOFF = 30.0
 WIDTH = 16
 # Ids of a window, and by how many the next one starts later: the rest is context that is not scored again.
-WINDOW, STRIDE = 32, 24
-STEPS, BATCH, RATE = 1000, 96, 0.02
+WINDOW, STRIDE = 32, 28
+STEPS, BATCH, RATE = 800, 96, 0.02
 SCORE_IDS = 1 << 14
 
 

@@ -17,11 +17,16 @@ SAMPLE_TEXTS, SAMPLE_IDS = 1500, 1024
 FLUSH_WORDS = 1 << 21
 SLICE_BYTES = 1_000_000
 
+# A-Z in lower case, white space as a space.
+_PLAIN = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in _LOWER)
+
 
 def _normal(text: str | None) -> str:
     """The words, each with one space in front; white space is \\x20 and \\x09-\\x0D."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    return " " + b" ".join(words).decode("utf-8", "surrogatepass") if words else ""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN)
+    if b"  " in raw or raw[:1] == b" " or raw[-1:] == b" ":
+        raw = b" ".join(raw.split())
+    return " " + raw.decode("utf-8", "surrogatepass") if raw else ""
 
 
 def _tokenized(docs: DataFrame, path: str, divisor: int, held_out: int) -> DataFrame:
@@ -208,14 +213,15 @@ def _scored(tokens: DataFrame, answers: DataFrame, width: int, path: str, model:
     bottom = float(np.log10(total + different + 1))
 
     def score(batches):
-        spaced = chunk_encoder(path, True).spaced
         block, parts, known, counts = None, [], None, None
         for batch in batches:
-            out, size = [], 0
+            held, size = [], 0
             rows = zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "id", "held_out", "ids", "counts")))
-            for at, is_text, name, held, raw, n in rows:
+            for at, is_text, name, outside, raw, n in rows:
                 if at != block:
-                    block, parts, known = at, [], None
+                    if held:
+                        yield scored(held, known, counts)
+                    block, parts, known, held, size = at, [], None, [], 0
                 if not is_text:
                     parts.append((raw, n))
                     continue
@@ -224,21 +230,28 @@ def _scored(tokens: DataFrame, answers: DataFrame, width: int, path: str, model:
                     order = np.argsort(known)
                     known, counts = known[order], np.frombuffer(b"".join(c for _, c in parts), "<i8")[order]
                     parts = []
-                ids = np.frombuffer(raw, f"<u{width}")
-                c = counts[np.searchsorted(known, _words(ids, spaced)[1])] if len(ids) else counts[:0]
-                base = float(np.log10(c + 1.0).sum()) + float(np.log10(ends + 1.0)) - (len(c) + 1) * bottom
-                out.append((name, held, len(c) + 1, int((c > 0).sum()) + (ends > 0), total, base, np.append(ids, model.end).astype(np.int64)))
+                held.append((name, outside, raw))
                 size += len(raw)
                 if size > SLICE_BYTES:
-                    yield scored(out)
-                    out, size = [], 0
-            if out:
-                yield scored(out)
-
-    def scored(out):
-        scores = log_probabilities(model, [o[-1] for o in out]) / np.log(10)
-        columns = [pa.array(c, f.type) for c, f in zip((*zip(*(o[:-1] for o in out)), scores), _SCORES)]
-        return pa.RecordBatch.from_arrays(columns, schema=_SCORES)
+                    yield scored(held, known, counts)
+                    held, size = [], 0
+            if held:
+                yield scored(held, known, counts)
+
+    def scored(held, known, counts):
+        spaced, n = chunk_encoder(path, True).spaced, len(held)
+        names, outside, raws = zip(*held)
+        ids, lengths = _joined(raws, width)
+        starts, hashes = _words(ids, spaced)
+        c = counts[np.searchsorted(known, hashes)] if len(hashes) else counts[:0]
+        text = np.searchsorted(np.cumsum(lengths), starts, "right")
+        words = np.bincount(text, minlength=n) + 1
+        base = np.bincount(text, np.log10(c + 1.0), n) + np.log10(ends + 1.0) - words * bottom
+        found = np.bincount(text[c > 0], minlength=n) + (ends > 0)
+        cuts = np.cumsum(lengths)[:-1]
+        scores = log_probabilities(model, [np.append(t, model.end).astype(np.int64) for t in np.split(ids, cuts)]) / np.log(10)
+        values = (names, outside, words, found, np.full(n, total), base, scores)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _SCORES)], schema=_SCORES)
 
     texts = tokens.select("block", F.lit(True).alias("kind"), "id", "held_out", "ids", F.lit(None).cast("binary").alias("counts"))
     replies = answers.filter("block >= 0").select(
