@@ -90,7 +90,8 @@ def nearest_codes(
     few = dealt.withColumn("nth", first).filter(F.col("nth") <= n).groupBy("code").agg(F.collect_list("id").alias("ids"))
     codes = stored(few.select("code", F.slice(F.array_sort("ids"), 1, n).alias("ids")))
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(code_col).alias("query")).dropna().distinct()
-    segments = _segments(codes.count())
+    n_codes = codes.count()
+    segments = _segments(n_codes)
     size = F.least(F.size("ids"), F.lit(n))
     index = codes.select(
         "code",
@@ -98,11 +99,9 @@ def nearest_codes(
         size.alias("ids"),
         F.posexplode(F.array(*[_part(F.col("code"), a, b) for a, b in segments])).alias("segment", "part"),
     )
-    by_part = index.groupBy("segment", "part").count()
-    # At most HOT_SHARE values of a segment can hold that share of all codes.
-    share = F.sum("count").over(Window.partitionBy("segment"))
-    hot = by_part.withColumn("all", share).filter(F.col("count") * HOT_SHARE >= F.col("all"))
-    hot = F.broadcast(stored(hot.filter("count > 1").select("segment", "part", F.lit(True).alias("hot"))))
+    # At most HOT_SHARE values of a segment can hold that share of all codes, which are in it once each.
+    hot = index.groupBy("segment", "part").count().filter((F.col("count") > 1) & (F.col("count") * HOT_SHARE >= n_codes))
+    hot = F.broadcast(stored(hot.select("segment", "part", F.lit(True).alias("hot"))))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("code"), F.lit(SALTS))).otherwise(0).cast("int")
     index = stored(index.join(hot, ["segment", "part"], "left").withColumn("salt", salt).drop("hot"))
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
