@@ -20,6 +20,9 @@ AT_LEAST = (80, 100)
 ROUNDS = 2
 # Tokens of a document by which a pair found again and again is told apart.
 FEW = 8
+# Hash ranges of which a set keeps whether it has an odd number of shingles in it, 64 in a long.
+RANGE_BITS = 10
+BITS = [f"bits{i}" for i in range((1 << RANGE_BITS) // 64)]
 
 
 def least_overlap(n, at_least=AT_LEAST):
@@ -103,18 +106,26 @@ def _shared_counts(texts: DataFrame, shift: int, words: int) -> DataFrame:
 
 
 def _sets(texts: DataFrame, shift: int, words: int) -> DataFrame:
-    """(x, set): all shingles of a class."""
+    """(x, set, bits...): all shingles of a class, and for each of their hash ranges whether their number is odd.
+
+    Two sets differ in as many shingles at least as these bits differ.
+    """
 
     def hashed(batches):
         for batch in batches:
-            xs, sets = [], []
+            xs, sets, odd = [], [], []
             for x, tokens in zip(batch.column("x").to_pylist(), shingle_sets(batch.column("text").to_pylist(), words)):
                 if class_name(*_signature(tokens), shift) == x:  # else another text under the same id
                     xs.append(x)
                     sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(sets, pa.binary())], ["x", "set"])
+                    ranges = (tokens >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+                    odd.append(np.packbits(np.bincount(ranges, minlength=1 << RANGE_BITS) & 1).view("<i8"))
+            bits = np.array(odd).reshape(-1, len(BITS)).T
+            columns = [pa.array(xs, pa.int64()), pa.array(sets, pa.binary()), *map(pa.array, bits)]
+            yield pa.RecordBatch.from_arrays(columns, ["x", "set", *BITS])
 
-    return stored(texts.mapInArrow(hashed, "x long, set binary").dropDuplicates(["x"]))
+    longs = ", ".join(f"{b} long" for b in BITS)
+    return stored(texts.mapInArrow(hashed, f"x long, set binary, {longs}").dropDuplicates(["x"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, at_least) -> DataFrame:
@@ -143,7 +154,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, at_least) -> DataFrame:
 
     weights = pairs.groupBy("y").agg(F.count("*").alias("uses"))
     partner = sets.select(F.col("x").alias("y"), F.col("set").alias("sy")).join(weights, "y")
-    left = pairs.join(sets.withColumnRenamed("set", "sx"), "x")
+    left = pairs.join(sets.select("x", F.col("set").alias("sx")), "x")
     both = salted_join(left, partner, ["y"], "uses", pairs.count(), "x").select("x", "y", "matches", "sx", "sy")
     return stored(both.mapInArrow(verify, "a long, b long"))
 
@@ -183,7 +194,7 @@ def _hub_pairs(rows: DataFrame, nth: int, at_least) -> DataFrame:
     )
 
 
-def _probe_pairs(rows: DataFrame, at_least) -> DataFrame:
+def _probe_pairs(rows: DataFrame, sets: DataFrame, at_least) -> DataFrame:
     """All pairs of different components that may still be similar: (x, y, matches).
 
     Document x may take a longer prefix, which asks for ``matches`` shared tokens instead of one, and
@@ -234,11 +245,15 @@ def _probe_pairs(rows: DataFrame, at_least) -> DataFrame:
     )
     # The smallest tokens that any probe finds y under, to tell that a pair has been met under one of them.
     early = index.filter(f"pos_y < m - {least_y} + 1").groupBy("y").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FEW).alias("early"))
-    index = index.join(early, "y", "left")
+    index = index.join(early, "y", "left").join(sets.select(F.col("x").alias("y"), *[F.col(b).alias(f"{b}_y") for b in BITS]), "y")
+    chosen = stored(chosen.join(sets.select("x", *BITS), "x"))
+    differing = " + ".join(f"bit_count({b} ^ {b}_y)" for b in BITS)
+    near_enough = f"({differing}) * {num + den} <= (n + m) * {den - num}"
     met_before = "coalesce(arrays_overlap(before, filter(early, e -> e < token)), false)"
     return (
-        salted_join(index, stored(chosen), ["token"], "cost", rows.count(), "y")
-        .filter(f"root != root_y and {_may_be_similar(at_least)} and pos_y < m - {least_y} + matches and not {met_before}")
+        salted_join(index, chosen, ["token"], "cost", rows.count(), "y")
+        .filter(f"root != root_y and {_may_be_similar(at_least)} and pos_y < m - {least_y} + matches")
+        .filter(f"{near_enough} and not {met_before}")
         .groupBy("x", "y")
         .agg(F.max("matches").alias("matches"))
     )
@@ -279,7 +294,7 @@ def similar_groups(
     sets = _sets(texts.join(stored(prefixes.select("x").distinct()), "x", "left_semi"), shift, words)
     rows, edges = prefixes.withColumn("root", F.col("x")), None
     for nth in range(ROUNDS + 1):
-        pairs = _hub_pairs(rows, nth, at_least) if nth < ROUNDS else _probe_pairs(rows, at_least)
+        pairs = _hub_pairs(rows, nth, at_least) if nth < ROUNDS else _probe_pairs(rows, sets, at_least)
         found = _verified(stored(pairs), sets, at_least)
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
