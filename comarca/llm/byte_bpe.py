@@ -11,7 +11,7 @@ import numpy as np
 from comarca.llm.common import slices
 
 # Distinct chunks a task remembers; beyond that it starts afresh.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 1_600_000
 SLICE_CHARS = 2_000_000
 JOINED = 400
 
