@@ -44,6 +44,15 @@ def q_scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.withColumn("is_corrupt", F.col(CORRUPT).isNotNull()).drop(CORRUPT)
 
 
+def q_scan_csv_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A register as many offices hand it out: semicolons between values, one byte per letter."""
+    path = f"{work_folder(spark)}/customer.csv"
+    name = F.concat(F.lit("Ñandú; "), F.col("c_name"))
+    register = table(spark, sf_dir, "customer").withColumn("c_name", name)
+    register.write.options(**CSV_OPTIONS, sep=";", encoding="ISO-8859-1").csv(path)
+    return scan_csv(spark, path, SCHEMAS["customer"], separator=";", encoding="ISO-8859-1").drop(CORRUPT)
+
+
 def q_sink_model_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns of a table as they come back from the CSV copy: dates, empty texts and NULLs."""
     folder = work_folder(spark)
@@ -553,6 +562,9 @@ def library_sql() -> dict[str, str]:
     """
     return {
         "scan_csv": "select doc_id, text, lang, source, n_chars, false as is_corrupt from documents",
+        "scan_csv_latin1": """
+            select c_custkey, 'Ñandú; ' || c_name as c_name, c_nationkey, c_acctbal, c_mktsegment
+            from customer""",
         "sink_model_csv": """
             select o_orderkey, o_custkey, case when o_orderkey % 7 = 0 then ''
                      when o_orderkey % 11 <> 0 then o_orderstatus end as o_orderstatus, o_totalprice,

@@ -102,3 +102,22 @@ def test_rates_and_logarithms_at_zero(spark):
 def test_founding_year(spark):
     df = spark.createDataFrame([(dt.date(1950, 1, 1),), (None,)], "d date")
     assert values(df.select(fn.founding_year(F.col("d")))) == [(1950,), (None,)]
+
+
+def test_outer_white_space_and_line_ends_are_no_part_of_a_value(spark):
+    spaced = ["12", " 12", "12\t", "\u00a012\n", "12\r\n", "1 2", "12x"]
+    assert apply(spark, fn.parse_integer, *spaced) == [12, 12, 12, 12, 12, None, None]
+    assert apply(spark, lambda c: fn.standardize_id(c, 2), "7\n", "7\r", "\t7 ", "007", "7a\n") == ["07", "07", "07", None, None]
+
+
+def test_one_spelling_for_composed_and_decomposed_letters(spark):
+    names = ["C\u00f3rdoba", "Co\u0301rdoba", "CO\u0301RDOBA\u00a0", "\u00a0 C\u00f3rdoba"]
+    assert set(apply(spark, fn.normalize_text, *names)) == {"cordoba"}
+    assert apply(spark, fn.normalize_text, "Fran\u00e7a\u00a0 \u00c2vila") == ["franca avila"]
+
+
+def test_a_default_must_be_of_the_columns_kind(spark):
+    df = spark.createDataFrame([(1, None)], "n int, t string")
+    with pytest.raises(TypeError):
+        cleaning.null_fill(df, {"n": "none"})
+    assert cleaning.null_fill(df, {"t": "none"}).first().t == "none"

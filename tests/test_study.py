@@ -136,6 +136,33 @@ def test_counts_and_charts(results):
     assert rows(results["loglog_excluded"]) == {(2, 1)}
 
 
+def test_semicolons_latin_letters_and_bare_years(spark, settings, tmp_path):
+    changed = dict(settings, output=str(tmp_path / "out"), registers={}, date_formats=["yyyy"], sentinels=["", "?"])
+    years = {"1950-01-01": "1950", "31/12/1949": "1949", "01/02/1999": "?"}
+    for name, lines in zip(NAMES, (CODES, POPULATION, SCHOOLS, LIBRARIES)):
+        path = tmp_path / f"{name}.csv"
+        with path.open("w", newline="", encoding="latin-1") as out:
+            csv.writer(out, delimiter=";", lineterminator="\n").writerows([[years.get(v, v) for v in r] for r in lines])
+        changed["registers"][name] = dict(settings["registers"][name], path=str(path), separator=";", encoding="ISO-8859-1")
+    results = run(spark, changed)
+    assert rows_by_department(results["libraries_since"]) == {"02007": 1, "02014": 0, "06001": 0}
+    assert {r.dep_name for r in results["libraries_since"].collect()} == {"comuna 1", "nuble", "solo"}
+    assert rows(results["losses"]) >= {("libraries", "unreadable", 1), ("codes", "placed", 4), ("codes", "unplaced", 1)}
+
+
+def rows_by_department(df):
+    return {r.dep_id: r.libraries for r in df.collect()}
+
+
+def test_losses_add_up(results):
+    total = {}
+    for r in results["losses"].collect():
+        total[r.register] = total.get(r.register, 0) + r.n_rows
+    assert total == {"codes": 5, "population": 6, "schools": 5, "libraries": 7}
+    assert ("population", "unreadable", 1) not in rows(results["losses"])  # S/D is a placeholder
+    assert ("libraries", "unknown department", 2) in rows(results["losses"])
+
+
 def test_domains(results):
     assert rows(results["top_email_domain"]) == {("b.com", 2)}
     assert rows(results["top_domain_per_department"]) == {("02007", "b.com", 2)}
