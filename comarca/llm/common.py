@@ -78,4 +78,4 @@ def salted_join(
         "_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), "_salts"), F.lit(0)).cast("int")
     )
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return dealt.join(copies, [*keys, "_salt"]).drop("_salt", "_salts")
+    return dealt.join(copies.hint("merge"), [*keys, "_salt"]).drop("_salt", "_salts")

@@ -70,7 +70,7 @@ def drop_exact(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_
     same = docs[id_col].eqNullSafe(kept["_id"])
     # A null id cannot be hashed to a partition of its own by eqNullSafe and sha alone, so both are keys.
     matched = docs.withColumn("_text_sha", sha).join(
-        kept, same & (F.col("_text_sha") == F.col("_sha")), "left_semi"
+        kept.hint("merge"), same & (F.col("_text_sha") == F.col("_sha")), "left_semi"
     )
     first = Window.partitionBy(id_col, "_text_sha").orderBy("_text_sha")
     return matched.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth", "_text_sha")

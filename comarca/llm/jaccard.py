@@ -75,21 +75,11 @@ def _prefixes(docs: DataFrame, shift: int, words: int, at_least) -> DataFrame:
 
 
 def _hopeful(prefixes: DataFrame, at_least) -> DataFrame:
-    """The rows of classes that may have a partner at all, counted twice over.
-
-    A class shares with any partner as many tokens of its prefix as the prefix asks for, so
-    one with fewer shared tokens has none; without it, tokens of others may be shared no more.
-    """
+    """The classes (x) that may have a partner: one shares as many tokens of its prefix as the prefix asks for."""
     num, den = at_least
     least = F.expr(f"(n * {num} + {den - 1}) div {den}")
     asked = F.least(F.greatest(least, F.lit(1)), F.expr("5 + n div 20"))  # as most_matches
-    for _ in range(2):
-        counts = prefixes.groupBy("x", "n").agg(F.count("*").alias("shared"))
-        prefixes = stored(prefixes.join(stored(counts.filter(F.col("shared") >= asked).select("x")), "x", "left_semi"))
-        several = prefixes.groupBy("token").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-        lonely = stored(several.filter("low = high").select("token"))
-        prefixes = prefixes.join(lonely, "token", "left_anti")
-    return stored(prefixes)
+    return prefixes.groupBy("x", "n").agg(F.count("*").alias("rows")).filter(F.col("rows") >= asked).select("x")
 
 
 def _shared_counts(texts: DataFrame, shift: int, words: int) -> DataFrame:
@@ -153,8 +143,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, at_least) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     weights = pairs.groupBy("y").agg(F.count("*").alias("uses"))
-    partner = sets.select(F.col("x").alias("y"), F.col("set").alias("sy")).join(weights, "y")
-    left = pairs.join(sets.select("x", F.col("set").alias("sx")), "x")
+    partner = sets.select(F.col("x").alias("y"), F.col("set").alias("sy")).join(weights.hint("merge"), "y")
+    left = pairs.join(sets.select("x", F.col("set").alias("sx")).hint("merge"), "x")
     both = salted_join(left, partner, ["y"], "uses", pairs.count(), "x").select("x", "y", "matches", "sx", "sy")
     return stored(both.mapInArrow(verify, "a long, b long"))
 
@@ -245,8 +235,9 @@ def _probe_pairs(rows: DataFrame, sets: DataFrame, at_least) -> DataFrame:
     )
     # The smallest tokens that any probe finds y under, to tell that a pair has been met under one of them.
     early = index.filter(f"pos_y < m - {least_y} + 1").groupBy("y").agg(F.slice(F.array_sort(F.collect_set("token")), 1, FEW).alias("early"))
-    index = index.join(early, "y", "left").join(sets.select(F.col("x").alias("y"), *[F.col(b).alias(f"{b}_y") for b in BITS]), "y")
-    chosen = stored(chosen.join(sets.select("x", *BITS), "x"))
+    bits_y = sets.select(F.col("x").alias("y"), *[F.col(b).alias(f"{b}_y") for b in BITS])
+    index = index.join(early.hint("merge"), "y", "left").join(bits_y.hint("merge"), "y")
+    chosen = stored(chosen.join(sets.select("x", *BITS).hint("merge"), "x"))
     differing = " + ".join(f"bit_count({b} ^ {b}_y)" for b in BITS)
     near_enough = f"({differing}) * {num + den} <= (n + m) * {den - num}"
     met_before = "coalesce(arrays_overlap(before, filter(early, e -> e < token)), false)"
@@ -277,7 +268,7 @@ def similar_groups(
       else null. An id with several texts stands for each of them.
     - Texts of any length are read whole. Other columns may have any name. An empty table gives no rows.
 
-    Links are found on classes. In a few rounds every class is first compared to one other
+    Joins with what grows with the input are merge joins at every size. Links are found on classes. In a few rounds every class is first compared to one other
     that shares many prefix tokens, which joins groups of near copies without their pairs;
     then all pairs that are left between different components are looked up by adaptive
     prefixes and verified. No link is lost: pairs are only skipped within a component.
@@ -285,13 +276,15 @@ def similar_groups(
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     slim = _signatures(docs, words)
     classes, shift = classes_of(slim)
-    prefixes = _hopeful(_prefixes(docs, shift, words, at_least), at_least)
-    wanted = stored(prefixes.select("x").distinct().join(classes.select("x", "rep"), "x"))
-    texts = stored(docs.join(wanted, docs["id"] == wanted["rep"]).select("x", "text"))
+    prefixes = _prefixes(docs, shift, words, at_least)
+    wanted = stored(_hopeful(prefixes, at_least).join(classes.select("x", "rep").hint("merge"), "x"))
+    texts = stored(docs.join(wanted.hint("merge"), docs["id"] == wanted["rep"]).select("x", "text"))
     # The longest prefix of all, the whole set, for those that are left: enough of it must be shared.
     least = F.expr(f"(n * {at_least[0]} + {at_least[1] - 1}) div {at_least[1]}")
-    prefixes = stored(prefixes.join(stored(_shared_counts(texts, shift, words)), "x").filter(F.col("shared") >= least))
-    sets = _sets(texts.join(stored(prefixes.select("x").distinct()), "x", "left_semi"), shift, words)
+    counts = _shared_counts(texts, shift, words)
+    prefixes = stored(prefixes.join(counts.hint("merge"), "x").filter(F.col("shared") >= least))
+    some = prefixes.select("x").distinct()
+    sets = _sets(texts.join(some.hint("merge"), "x", "left_semi"), shift, words)
     rows, edges = prefixes.withColumn("root", F.col("x")), None
     for nth in range(ROUNDS + 1):
         pairs = _hub_pairs(rows, nth, at_least) if nth < ROUNDS else _probe_pairs(rows, sets, at_least)
@@ -300,10 +293,10 @@ def similar_groups(
         roots = components(edges)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         rows = (
-            prefixes.join(roots.withColumnRenamed("node", "x"), "x", "left")
+            prefixes.join(roots.withColumnRenamed("node", "x").hint("merge"), "x", "left")
             .withColumn("root", F.coalesce("root", "x"))
         )
-    named = classes.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    named = classes.join(roots.withColumnRenamed("node", "x").hint("merge"), "x", "left").withColumn("root", F.coalesce("root", "x"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
     labelled = salted_join(named, smallest, ["root"], "members", classes.count(), "x").select("a", "b", "copies", "component_id")
     some = salted_join(slim.filter("n > 0"), stored(labelled), ["a", "b"], "copies", slim.count(), "id")
@@ -323,4 +316,4 @@ def drop_similar(
     """The documents, all columns unchanged, whose id is the smallest of their component (see ``similar_groups``)."""
     groups = similar_groups(docs, words, at_least, id_col, text_col)
     kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")

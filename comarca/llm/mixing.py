@@ -148,7 +148,7 @@ def mix_sources(
     rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("h", "id"))
     extra = (rank <= F.col("quota")).cast("int")
     return (
-        slim.join(chosen, ["key", "size", "bucket"])
+        slim.join(chosen.hint("merge"), ["key", "size", "bucket"])
         .withColumn("extra", extra)
         .join(F.broadcast(plan), "key")  # a row per source, made on the driver
         .select(
@@ -176,5 +176,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """
     copies = mix_sources(docs, id_col=id_col, **settings)
     copies = copies.groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]))
+    joined = docs.join(copies.hint("merge"), docs[id_col].eqNullSafe(copies["_id"]))
     return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

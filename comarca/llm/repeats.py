@@ -92,8 +92,8 @@ def _repeated_anchors(docs: DataFrame, shift: int, length: int) -> DataFrame:
 
 def _texts(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows (x, ...) with the text of each x."""
-    named = stored(rows.join(classes.select("x", "rep"), "x"))
-    return docs.join(named, docs["id"] == named["rep"]).drop("id", "rep")
+    named = stored(rows.join(classes.select("x", "rep").hint("merge"), "x"))
+    return docs.join(named.hint("merge"), docs["id"] == named["rep"]).drop("id", "rep")
 
 
 def _snippets(texts: DataFrame, shift: int, length: int, shards: int) -> DataFrame:
