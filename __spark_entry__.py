@@ -119,6 +119,10 @@ def q_check_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.check_model({name: store(df, folder, name) for name, df in tables.items()})
 
 
+def q_check_faulty_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.check_model(roles.faulty_model(spark, sf_dir))
+
+
 def q_model_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of every row of registers with planted faults."""
     registers = roles.faulty_registers(spark, sf_dir)
@@ -589,6 +593,48 @@ def library_sql() -> dict[str, str]:
             from integrated i join nation n on n.n_nationkey = i.prov_id
             left join unk on unk.dep_id = i.dep_id
             left join since on since.dep_id = i.dep_id""",
+        "check_faulty_model": """
+            with dep as (
+              select c_custkey as id, c_name as name,
+                     case when c_custkey % 50 = 0 then 99 else c_nationkey end as prov from customer),
+            dep2 as (select * from dep union all select * from dep where id % 40 = 0),
+            lib as (select l_orderkey as id, l_partkey as dep, l_linenumber as prov from lineitem
+                    where l_returnflag = 'R')
+            select 'provinces' as table_name, 'key prov_id' as rule, count(*) as n_violations
+              from nation where n_nationkey < 3
+            union all select 'departments', 'key dep_id', count(*) from dep where id % 40 = 0
+            union all select 'levels', 'key level_id', count(*)
+              from (select o_orderpriority from (select distinct o_orderpriority from orders)
+                    group by 1 having count(*) > 1)
+            union all select 'schools', 'key school_id', count(*)
+              from (select o_orderkey from orders group by 1 having count(*) > 1)
+            union all select 'school_levels', 'key school_id,level_id', count(*)
+              from orders where o_orderkey % 79 = 0
+            union all select 'libraries', 'key lib_id', count(*)
+              from (select id from lib group by 1 having count(*) > 1)
+            union all select 'population', 'key dep_id', count(*) from dep where id % 31 = 0
+            union all select 'departments', 'prov_id in provinces', count(distinct prov)
+              from dep where prov not in (select n_nationkey from nation)
+            union all select 'schools', 'dep_id in departments', count(distinct o_orderkey)
+              from orders where o_orderkey % 83 = 0
+            union all select 'school_levels', 'school_id in schools', count(*)
+              from orders where o_orderkey is null
+            union all select 'school_levels', 'level_id in levels', count(distinct o_orderpriority)
+              from orders where o_orderpriority = '5-LOW'
+            union all select 'libraries', 'dep_id in departments', count(distinct dep)
+              from lib where dep not in (select id from dep)
+            union all select 'libraries', 'prov_id in provinces', count(distinct prov)
+              from lib where prov not in (select n_nationkey from nation)
+            union all select 'population', 'dep_id in departments', count(*) from dep where id is null
+            union all select 'departments', '3NF',
+              cast((select count(*) = 0 from (select name from dep2 group by 1
+                                              having count(distinct prov) > 1))
+                   and (select count(*) > 0 from (select name from dep2 group by 1
+                                                  having count(*) > 1)) as bigint)
+              + cast((select count(*) = 0 from (select prov from dep2 group by 1
+                                                having count(distinct name) > 1))
+                     and (select count(*) > 0 from (select prov from dep2 group by 1
+                                                    having count(*) > 1)) as bigint)""",
         "model_losses": f"""
             with {_LINES},
             school as (

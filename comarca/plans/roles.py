@@ -104,6 +104,39 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def faulty_model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Model tables that break most rules, straight from the driver tables.
+
+    Three provinces twice; every 40th department twice and every 50th in no known province; one
+    level missing; every 83rd school in no known department; every 79th school level twice; a
+    library's key is its order and its department the part, of which there are more than
+    departments; every 31st department twice in the population.
+    """
+    prov, dep = provinces(spark, sf_dir), departments(spark, sf_dir)
+    dep = dep.withColumn("prov_id", F.when(F.col("dep_id") % 50 == 0, 99).otherwise(F.col("prov_id")))
+    school = schools(spark, sf_dir)
+    number = F.col("school_id")
+    levels = school.select("school_id", "level_id")
+    people = dep.select("dep_id", F.lit(1).cast("bigint").alias("persons"))
+    return {
+        "provinces": prov.union(prov.where("prov_id < 3")),
+        "departments": dep.union(dep.where("dep_id % 40 = 0")),
+        "levels": spark.createDataFrame(
+            [(v,) for v in LEVELS.values() if v != LEVELS["low"]], "level_id string"
+        ),
+        "schools": school.select(
+            "school_id", F.when(number % 83 == 0, -1 - number).otherwise(F.col("dep_id")).alias("dep_id")
+        ),
+        "school_levels": levels.union(levels.where(number % 79 == 0)),
+        "libraries": table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
+            F.col("l_orderkey").alias("lib_id"),
+            F.col("l_partkey").alias("dep_id"),
+            F.col("l_linenumber").alias("prov_id"),
+        ),
+        "population": people.union(people.where("dep_id % 31 = 0")),
+    }
+
+
 def faulty_registers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """``raw_registers`` with planted faults, each on the rows that a number divides.
 
