@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -15,17 +18,25 @@ from comarca.sources.csv import CSV_OPTIONS
 ROWS_PER_CSV_FILE = 1_000_000
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="comarca-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder for tables written on the way, below ``spark.checkpoint.dir``.
 
     That setting names the folder all executors share. Only a local session
-    without the setting gets a temporary folder of this machine.
+    without the setting gets a temporary folder of this machine, which goes when
+    the process ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="comarca-")
+        shared = _own_folder()
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
