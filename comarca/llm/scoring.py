@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from comarca.llm.attention import COLUMNS, INPUTS, Model, Vocabulary, log_probabilities, pair_counts, train
 from comarca.llm.byte_bpe import chunk_encoder
 from comarca.llm.common import partitions, slices, stored, training_remainder
-from comarca.llm.shingles import _LOWER, _grow, mix
+from comarca.llm.shingles import LOWER_CASE, powers, mix
 
 # The bounded sample the attention weights are fitted on: texts, and ids from the start of each.
 SAMPLE_TEXTS, SAMPLE_IDS = 1500, 1024
@@ -18,7 +18,7 @@ FLUSH_WORDS = 1 << 21
 SLICE_BYTES = 1_000_000
 
 # A-Z in lower case, white space as a space.
-_PLAIN = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in _LOWER)
+_PLAIN = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in LOWER_CASE)
 
 
 def _normal(text: str | None) -> str:
@@ -47,7 +47,7 @@ def _tokenized(docs: DataFrame, path: str, divisor: int, held_out: int) -> DataF
 def _words(ids: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words start in a row of ids, and a 64-bit hash of each; ids tell words apart."""
     starts = np.flatnonzero(spaced[ids])
-    power, inverse = _grow(len(ids) + 1)
+    power, inverse = powers(len(ids) + 1)
     sums = np.zeros(len(ids) + 1, np.uint64)
     np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * power[: len(ids)], out=sums[1:])
     ends = np.append(starts[1:], len(ids))

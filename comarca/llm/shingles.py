@@ -7,26 +7,26 @@ import numpy as np
 WORDS = 5
 SLICE_BYTES = 1_500_000
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER_CASE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_known_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
+    global _known_powers
+    if len(_known_powers[0]) < n:
         size = 1 << max(16, n.bit_length())
         both = []
         for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, factor, np.uint64)
             steps[0] = 1
             both.append(np.multiply.accumulate(steps))
-        _powers = both[0], both[1]
-    return _powers
+        _known_powers = both[0], both[1]
+    return _known_powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,14 +36,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _slice(texts: list[bytes], words: int) -> list[np.ndarray]:
-    raw = np.frombuffer(b" ".join([*texts, b""]).translate(_LOWER), np.uint8)
+    raw = np.frombuffer(b" ".join([*texts, b""]).translate(LOWER_CASE), np.uint8)
     if not len(raw):
         return [np.zeros(0, np.uint64) for _ in texts]
     space = _SPACE[raw]
     before = np.r_[True, space[:-1]]
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(space & ~before)
-    power, inverse = _grow(len(raw) + 1)
+    power, inverse = powers(len(raw) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])))
     hashed = mix((sums[ends] - sums[starts]) * inverse[starts])
     cuts = np.cumsum([len(t) + 1 for t in texts])
