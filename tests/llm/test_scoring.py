@@ -7,7 +7,7 @@ import pytest
 from comarca.llm import attention, scoring
 from comarca.llm.attention import Vocabulary, _forward, _gradients, log_probabilities, pair_counts, train, windows
 from comarca.llm.common import tokenizer_file
-from comarca.llm.scoring import _LOWER, language_scores
+from comarca.llm.scoring import LOWER_CASE, language_scores
 from tests.llm import data
 
 PATH, END = tokenizer_file("byte_bpe_50k.json"), 50256
@@ -99,7 +99,7 @@ def test_gradients():
 
 def check(spark, found):
     got = language_scores(data.frame(spark, found), PATH, END).collect()
-    words = [(r[1] or "").encode().translate(_LOWER).split() for r in found]
+    words = [(r[1] or "").encode().translate(LOWER_CASE).split() for r in found]
     held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2 for r in found]
     counts, ends = Counter(), sum(not h for h in held)
     for w, h in zip(words, held):
