@@ -146,14 +146,23 @@ def token_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     return ranged.mapInArrow(encode, "id long, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
+def _joined_ids(column: pa.BinaryArray, width: int) -> np.ndarray:
+    """The ids of all rows of a batch, where Arrow has them in a row."""
+    if not len(column):
+        return np.zeros(0, f"<u{width}")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(f"<u{width}")
+
+
 def id_counts(tokens: DataFrame, width: int, vocabulary: int) -> np.ndarray:
     """How often each id occurs in all documents; at most a row per id comes back."""
 
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{width}")
-            total += np.bincount(ids, minlength=vocabulary)
+            ids = _joined_ids(batch.column("ids"), width)
+            for at in range(0, len(ids), SEGMENT_IDS):
+                total += np.bincount(ids[at : at + SEGMENT_IDS], minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 
