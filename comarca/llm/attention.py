@@ -18,6 +18,8 @@ WIDTH = 16
 WINDOW, STRIDE = 32, 28
 STEPS, BATCH, RATE = 800, 96, 0.02
 SCORE_IDS = 1 << 14
+# Scores and logits are held to this, so that their exponentials need no maximum taken off first.
+LIMIT = np.float32(80)
 
 
 class Vocabulary:
@@ -168,7 +170,7 @@ def _grid(model: Model, columns: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
 def log_probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """The natural log of each text's probability, given as ids with the end id; every id is scored once.
 
-    Equal to ``_forward``; as the layer sees nothing but an id's class and place, its queries, keys
+    Equal to ``_forward`` but for the limit; as the layer sees nothing but an id's class and place, its queries, keys
     and values are sums of two table rows.
     """
     p, out = model.parts, np.zeros(len(texts))
@@ -182,15 +184,17 @@ def log_probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
         k, v = (tables[n][0][seen] + tables[n][1] for n in ("key", "value"))
         seen, next_, scored = seen[:, skip:], next_[:, skip:], scored[:, skip:]
         q = tables["query"][0][seen] + tables["query"][1][skip:]
-        weight = _softmax(q @ k.transpose(0, 2, 1) + _MASK[skip:])
+        weight = np.clip(q @ k.transpose(0, 2, 1), -LIMIT, LIMIT)
+        weight += _MASK[skip:]
+        np.exp(weight, out=weight)
+        weight /= (weight @ np.ones(WINDOW, np.float32))[..., None]
         logits = (weight @ v) @ mixed
         logits += direct[seen]
         logits += placed[skip:]
+        np.clip(logits, -LIMIT, LIMIT, out=logits)
         picked = np.take_along_axis(logits, model.words.classes[next_][..., None], 2)[..., 0]
-        top = logits.max(-1)
-        logits -= top[..., None]
         np.exp(logits, out=logits)
-        log_p = picked - top - np.log(logits.sum(-1)) + model.within[seen, next_]
+        log_p = picked - np.log(logits @ np.ones(CLASSES, np.float32)) + model.within[seen, next_]
         return np.where(scored, log_p, 0).sum(1, dtype=np.float64)
 
     first = 0
