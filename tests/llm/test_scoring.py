@@ -44,6 +44,15 @@ def test_windows_score_every_id_once():
     assert seen == Counter(range(ends[-1]))
 
 
+def test_scored_ids_of_later_windows_see_nine_ids():
+    model, _ = small_model(0)
+    columns = np.arange(200)
+    _, next_, scored, _ = attention._grid(model, columns, np.array([len(columns)]))
+    for row, picked in zip(next_[1:], scored[1:]):
+        assert np.flatnonzero(picked)[0] + 1 >= 9  # the id before the window is seen too
+    assert sorted(next_[scored]) == columns.tolist()
+
+
 def test_scores_equal_the_plain_forward_pass():
     model, texts = small_model()
     got = log_probabilities(model, texts)
