@@ -206,6 +206,17 @@ def predict(text: Column, samples: dict[str, str]) -> Column:
     return parsed(text)
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter, as ``predict`` tells letters; false for a null text."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        # Lower-casing comes first, as it does in CrossParser.
+        return texts.fillna("").map(lambda t: any(map(str.isalpha, t.lower()))).astype(bool)
+
+    return found(text)
+
+
 def identify(
     docs: DataFrame,
     divisor: int = 4,
@@ -235,7 +246,12 @@ def drop_unidentified(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The documents, all columns unchanged, that have a language: those ``identify`` calls ``und`` go."""
+    """The documents, all columns unchanged, that have a language: null texts and texts without a letter go.
+
+    These are the ones that ``identify`` calls ``und``. Where there is no labelled text to learn from it calls
+    all texts so, and only those without a letter go.
+    """
     held = training_remainder(F.col(id_col), divisor) == held_out
     samples = labelled_sample(docs.filter(~held), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    return docs.filter(predict(F.col(text_col), samples)["lang_pred"] != UNKNOWN)
+    found = predict(F.col(text_col), samples)["lang_pred"] != UNKNOWN if samples else lettered(F.col(text_col))
+    return docs.filter(found)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import pytest
 
@@ -85,3 +86,17 @@ def test_odd_rows(spark):
 def test_nothing_to_learn_from(spark, found):
     got = identify(data.frame(spark, found)).collect()
     assert [(r.doc_id, r.lang_pred, r.score) for r in got] == [(r[0], "und", 0.0) for r in found]
+
+
+@pytest.mark.parametrize("labelled", ["none", "held out"])
+def test_unlabelled_documents_with_a_letter_stay(spark, labelled):
+    texts = ["the thing", "12 ?", None, "", "日本語", "1 a", "\n\t ", "é"]
+    ids = range(len(texts))
+    found = [(i, t, None, "s", 0) for i, t in zip(ids, texts)]
+    if labelled == "held out":
+        only = next(i for i in range(100, 1000) if zlib.crc32(str(i).encode()) % 4 == 2)
+        found.append((only, "all labelled rows are held out", "en", "s", 0))
+    docs = data.frame(spark, found)
+    kept = drop_unidentified(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in found if any(c.isalpha() for c in r[1] or "")]
