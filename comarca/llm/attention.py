@@ -17,6 +17,8 @@ WIDTH = 16
 # Ids of a window, and by how many the next one starts later: the rest is context that is not scored again.
 WINDOW, STRIDE = 32, 24
 STEPS, BATCH, RATE = 1000, 96, 0.02
+# The steps are done in so many rounds, after each of which the weights of all shards of windows are averaged.
+ROUNDS = 4
 SCORE_IDS = 1 << 14
 # Scores and logits are held to this, so that their exponentials need no maximum taken off first.
 LIMIT = np.float32(80)
@@ -113,9 +115,16 @@ def _gradients(p: dict[str, np.ndarray], seen: np.ndarray, next_: np.ndarray, re
     d = _softmax(logits)
     np.put_along_axis(d, next_[..., None], np.take_along_axis(d, next_[..., None], 2) - 1, 2)
     d *= (real / max(real.sum(), 1)).astype(np.float32)[..., None]
-    one_hot = np.eye(INPUTS, dtype=np.float32)[seen].reshape(-1, INPUTS)
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"out": flat(h).T @ flat(d), "bigram": one_hot.T @ flat(d)}
+    order = np.argsort(seen, axis=None, kind="stable")
+    classes, starts = np.unique(seen.ravel()[order], return_index=True)
+
+    def by_class(a):
+        out = np.zeros((INPUTS, a.shape[-1]), a.dtype)
+        out[classes] = np.add.reduceat(flat(a)[order], starts)
+        return out
+
+    g = {"out": flat(h).T @ flat(d), "bigram": by_class(d)}
     dh = d @ p["out"].T
     g["mix"] = flat(z).T @ flat(dh)
     dz = dh @ p["mix"].T
@@ -126,44 +135,79 @@ def _gradients(p: dict[str, np.ndarray], seen: np.ndarray, next_: np.ndarray, re
     for name, part in (("query", dq), ("key", dk), ("value", dv)):
         g[name] = flat(x).T @ flat(part)
         dx += part @ p[name].T
-    g["embed"] = one_hot.T @ flat(dx)
+    g["embed"] = by_class(dx)
     g["place"] = dx.sum(0)
     return g
 
 
 def train(texts: list[np.ndarray], words: Vocabulary, pairs: np.ndarray, end: int, steps: int = STEPS, seed: int = 7) -> Model:
-    """Fits the weights on a sample of texts (ids with the end id) by Adam; the pair counts are of all training texts."""
-    rng = np.random.default_rng(seed)
-    parts, within = _start(rng, words, pairs)
-    model = Model(words, within, end, parts)
-    if not texts:
-        return model
-    column = words.column[np.concatenate(texts)]
-    seen, next_, real, _ = _grid(model, column, np.array([len(t) for t in texts]))
+    """Fits the weights on all windows of these texts (ids with the end id) by Adam."""
+    model = untrained(words, pairs, end, seed)
+    if texts and steps:
+        columns, lengths = words.column[np.concatenate(texts)], np.array([len(t) for t in texts])
+        model.parts = fit(model, packed(words, columns, lengths, end), 0, steps, steps)
+    return model
+
+
+def untrained(words: Vocabulary, pairs: np.ndarray, end: int, seed: int = 7) -> Model:
+    parts, within = _start(np.random.default_rng(seed), words, pairs)
+    return Model(words, within, end, parts)
+
+
+def fit(model: Model, rows: np.ndarray, first_step: int, steps: int, total: int) -> dict[str, np.ndarray]:
+    """The weights after so many more steps by Adam, of ``total``; every one of the packed windows is in a step.
+
+    Where there are too few windows for steps of ``BATCH``, they come again.
+    """
+    parts = {k: v.copy() for k, v in model.parts.items()}
     first = {k: np.zeros_like(v) for k, v in parts.items()}
     second = {k: np.zeros_like(v) for k, v in parts.items()}
+    rows = rows[np.lexsort(rows.T[::-1])]  # whatever order they came in
+    order = np.random.default_rng(first_step + 7).permutation(len(rows))
+    size = max(BATCH, -(-len(rows) // steps))
     for step in range(1, steps + 1):
-        at = rng.integers(0, len(seen), BATCH)
-        rate = RATE * min(1, step / 20) * (1 - step / (steps + 1))
-        for k, g in _gradients(parts, seen[at], words.classes[next_[at]], real[at]).items():
+        at = rows[order[np.arange((step - 1) * size, step * size) % len(rows)]]
+        rate = RATE * min(1, step / 20) * (1 - (first_step + step) / (total + 1))
+        for k, g in _gradients(parts, *_unpacked(model.words, at)).items():
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
             parts[k] -= (rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return model
+    return parts
 
 
-def _grid(model: Model, columns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Input classes that each window sees, columns that come next, which of them it scores, and its text."""
+def packed(words: Vocabulary, columns: np.ndarray, lengths: np.ndarray, end: int, chosen: np.ndarray | None = None) -> np.ndarray:
+    """A row per window, or per chosen one: the column before it, its columns, and the places from and up to which it scores."""
+    before, next_, scored, _ = _places(words, columns, lengths, end, chosen)
+    low = scored.argmax(1)
+    return np.c_[before[:, 0], np.where(np.arange(WINDOW) < (low + scored.sum(1))[:, None], next_, 0), low, low + scored.sum(1)].astype(np.int16)
+
+
+def _unpacked(words: Vocabulary, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    place = np.arange(WINDOW)
+    real = (place >= rows[:, -2:-1]) & (place < rows[:, -1:])
+    return words.inputs[rows[:, :WINDOW]], words.classes[rows[:, 1 : WINDOW + 1]], real
+
+
+def _places(words: Vocabulary, columns: np.ndarray, lengths: np.ndarray, end: int, chosen: np.ndarray | None = None) -> tuple:
+    """Columns before and at each place of a window, which of them it scores, and its text."""
     begin, text, left = windows(lengths)
+    opens = np.r_[True, text[1:] != text[:-1]]
+    if chosen is not None:
+        begin, text, left, opens = begin[chosen], text[chosen], left[chosen], opens[chosen]
     place = np.arange(WINDOW)
     at = np.minimum(begin[:, None] + place, len(columns) - 1)
     next_ = columns[at]
     before = np.empty_like(next_)
     before[:, 1:] = next_[:, :-1]
-    opens = np.r_[True, text[1:] != text[:-1]]
-    before[:, 0] = np.where(opens, model.words.column[model.end], columns[np.maximum(begin - 1, 0)])
+    before[:, 0] = np.where(opens, words.column[end], columns[np.maximum(begin - 1, 0)])
     scored = place < left[:, None]
     scored[~opens, : WINDOW - STRIDE] = False
+    return before, next_, scored, text
+
+
+def _grid(model: Model, columns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Input classes that each window sees, columns that come next, which of them it scores, and its text."""
+    before, next_, scored, text = _places(model.words, columns, lengths, model.end)
     return model.words.inputs[before], next_, scored, text
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comarca.llm.attention import COLUMNS, INPUTS, Model, Vocabulary, log_probabilities, pair_counts, train
+from comarca.llm.attention import (
+    BATCH, COLUMNS, INPUTS, ROUNDS, STEPS, STRIDE, WINDOW, Model, Vocabulary, fit, log_probabilities, packed, pair_counts, untrained, windows,
+)
 from comarca.llm.byte_bpe import chunk_encoder
 from comarca.llm.common import partitions, slices, stored, training_remainder
 from comarca.llm.shingles import LOWER_CASE, powers, mix
 
-# The bounded sample the attention weights are fitted on: texts, and ids from the start of each.
-SAMPLE_TEXTS, SAMPLE_IDS = 1500, 1024
 FLUSH_WORDS = 1 << 21
 SLICE_BYTES = 1_000_000
 
@@ -193,18 +195,95 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return words, np.bincount(where, counts, len(words)).astype(np.int64)
 
 
-def _sample(tokens: DataFrame, width: int, end: int) -> list[np.ndarray]:
-    """Texts not held out, by a hash of the id; the end id follows those that are not cut."""
-    chosen = (
-        tokens.filter("not held_out")
-        .select(F.xxhash64("id").alias("h"), "id", F.substring("ids", 1, SAMPLE_IDS * width).alias("ids"), F.octet_length("ids").alias("n"))
-        .orderBy("h", "id")
-        .limit(SAMPLE_TEXTS)
-    )
-    out = []
-    for row in chosen.collect():
-        ids = np.frombuffer(bytes(row.ids), f"<u{width}").astype(np.int64)
-        out.append(np.append(ids, end) if len(ids) * width == row.n else ids)
+def _fitted(tokens: DataFrame, width: int, words: Vocabulary, pairs: np.ndarray, end: int) -> Model:
+    """Weights fitted on the windows of all training texts, whatever their length.
+
+    Each round deals a part of the windows to shards by a hash of text and place, so that the rounds see all of
+    them once; each shard does the same number of steps, and the mean of its weights, by windows, opens the next round.
+    The number of shards grows with the corpus. A corpus too small for the steps is seen whole in each round.
+    """
+    model = untrained(words, pairs, end)
+    texts = tokens.filter("not held_out").select("id", "ids")
+    more = f"greatest(0, ceil((octet_length(ids) / {width} + 1 - {WINDOW}) / {STRIDE}))"
+    total = texts.agg(F.sum(F.expr(f"1 + {more}"))).first()[0] or 0
+    shards = max(1, -(-total // (STEPS * BATCH)))
+    parts = ROUNDS if total >= STEPS * BATCH else 1
+    for nth in range(ROUNDS if total else 0):
+        model.parts = _round(texts, width, model, nth, parts, int(shards))
+    return model
+
+
+def _round(texts: DataFrame, width: int, model: Model, nth: int, parts: int, shards: int) -> dict[str, np.ndarray]:
+    words, end, steps = model.words, model.end, STEPS // ROUNDS
+    names = sorted(model.parts)
+    # Pieces of the weights, each summed by one task.
+    pieces = 16
+
+    def cut(batches):
+        seen = 0
+        for batch in batches:
+            raws, ids, at = batch.column("ids").to_pylist(), batch.column("id").to_pylist(), 0
+            for run in slices(raws, SLICE_BYTES):
+                texts = [np.append(np.frombuffer(r, f"<u{width}"), end).astype(np.int64) for r in run]
+                # Null ids are told apart by their place, so that no key is hot.
+                keys = [seen + i if ids[at + i] is None else ids[at + i] for i in range(len(run))]
+                keys = mix(np.array(keys, np.int64).astype(np.uint64) ^ (np.array([zlib.crc32(r) for r in run], np.uint64) << np.uint64(32)))
+                at, seen = at + len(run), seen + len(run)
+                lengths = np.array([len(t) for t in texts])
+                begin, text, left = windows(lengths)
+                hashes = mix(keys[text] + left.astype(np.uint64))
+                mine = np.flatnonzero(hashes % np.uint64(parts) == nth % parts)
+                shard = (hashes[mine] // np.uint64(parts) % np.uint64(shards)).astype(np.int64)
+                rows = packed(words, words.column[np.concatenate(texts)], lengths, end, mine)
+                order = np.argsort(shard, kind="stable")
+                rows, found = rows[order], np.unique(shard)
+                cuts = np.append(np.searchsorted(shard[order], found), len(rows))
+                values = [rows[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(found))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(values, pa.binary())], ["shard", "rows"])
+
+    def learn(batches):
+        at, held, total, weight = None, [], 0.0, 0
+        for batch in batches:
+            for shard, rows in zip(batch.column("shard").to_pylist(), batch.column("rows").to_pylist()):
+                if held and shard != at:
+                    total, weight = added(total, weight, held)
+                    held = []
+                at = shard
+                held.append(rows)
+        if held:
+            total, weight = added(total, weight, held)
+        if weight:
+            values = [v.astype("<f4").tobytes() for v in np.array_split(total / weight, pieces)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(pieces), pa.int32()), pa.array(values, pa.binary()), pa.array([weight] * pieces, pa.int64())],
+                ["piece", "part", "weight"],
+            )
+
+    def added(total, weight, held):
+        rows = np.frombuffer(b"".join(held), "<i2").reshape(-1, WINDOW + 3)
+        fitted = fit(model, rows, nth * steps, steps, STEPS)
+        return total + len(rows) * np.concatenate([fitted[n].ravel() for n in names]).astype(float), weight + len(rows)
+
+    def mean(batches):
+        sums, weights = {}, {}
+        for batch in batches:
+            for piece, part, weight in zip(*(batch.column(c).to_pylist() for c in ("piece", "part", "weight"))):
+                sums[piece] = sums.get(piece, 0.0) + weight * np.frombuffer(part, "<f4").astype(float)
+                weights[piece] = weights.get(piece, 0) + weight
+        values = [(sums[p] / weights[p]).astype("<f4").tobytes() for p in sums]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(values, pa.binary())], ["piece", "part"])
+
+    n = partitions(texts.sparkSession)
+    dealt = texts.mapInArrow(cut, "shard int, rows binary").repartition(n, "shard").sortWithinPartitions("shard")
+    learnt = dealt.mapInArrow(learn, "piece int, part binary, weight long").repartition(pieces, "piece")
+    found = {r.piece: bytes(r.part) for r in learnt.mapInArrow(mean, "piece int, part binary").collect()}
+    if not found:  # no window fell into this round
+        return model.parts
+    flat, out, at = np.frombuffer(b"".join(found[p] for p in range(pieces)), "<f4"), {}, 0
+    for name in names:
+        shape = model.parts[name].shape
+        out[name] = flat[at : at + int(np.prod(shape))].reshape(shape).astype(np.float32)
+        at += int(np.prod(shape))
     return out
 
 
@@ -290,8 +369,8 @@ def language_scores(
 
     The model predicts the class of the next subword id out of the ids before it. The id within its
     class follows from how often all training texts have it after the id before, or at all, with
-    one added for every id, so that all ids have a probability. The attention weights are fitted on a sample (``SAMPLE_TEXTS`` texts of up to ``SAMPLE_IDS`` ids); all counts
-    cover the whole corpus. Words are told apart by 64-bit hashes of their ids.
+    one added for every id, so that all ids have a probability. The attention weights are fitted on the windows of all
+    training texts and all counts cover the whole corpus. Words are told apart by 64-bit hashes of their ids.
     """
     encoder = chunk_encoder(path, True)
     width, vocabulary = encoder.dtype.itemsize, len(encoder.spaced)
@@ -302,7 +381,7 @@ def language_scores(
     counts[end_id] += ends
     words = Vocabulary(counts)
     pairs = _pair_counts(tokens, width, words, end_id)
-    model = train(_sample(tokens, width, end_id), words, pairs, end_id)
+    model = _fitted(tokens, width, words, pairs, end_id)
     answers = _word_counts(tokens, width, path)
     sums = answers.filter("block = -1").agg(F.sum("total"), F.sum("different")).first()
     total, different = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)

@@ -1,8 +1,11 @@
+import random
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from comarca.llm import attention, scoring
 from comarca.llm.attention import Vocabulary, _forward, _gradients, log_probabilities, pair_counts, train, windows
@@ -141,3 +144,25 @@ def test_no_training_text_and_empty_table(spark):
     only = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2)
     check(spark, [(only, "a b", None, None, 0)])
     assert language_scores(data.empty(spark), PATH, END).collect() == []
+
+
+def test_weights_learn_from_every_window(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scoring, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(scoring, "STEPS", 20)
+    monkeypatch.setattr(scoring, "BATCH", 1)  # more windows than steps take: several shards, each window in one round
+    found = [(i, data.words(random.Random(i), 600), None, None, 0) for i in range(8)]
+    tokens = scoring._tokenized(data.frame(spark, found).select(F.col("doc_id").alias("id"), "text"), PATH, 7, 2)
+    texts = [np.append(np.frombuffer(bytes(r.ids), "<u2"), END) for r in tokens.filter("not held_out").collect()]
+    assert max(map(len, texts)) > 1024
+    words = Vocabulary(np.bincount(np.concatenate(texts), minlength=END + 1))
+    want = Counter(r.tobytes() for t in texts for r in attention.packed(words, words.column[t], np.array([len(t)]), END))
+
+    def noted(model, rows, *steps):
+        np.save(tmp_path / uuid.uuid4().hex, rows)
+        return model.parts
+
+    monkeypatch.setattr(scoring, "fit", noted)
+    scoring._fitted(tokens, 2, words, pair_counts(words, texts, END), END)
+    runs = [np.load(f) for f in tmp_path.iterdir()]
+    assert len(runs) > 2 * attention.ROUNDS
+    assert Counter(r.tobytes() for rows in runs for r in rows) == want
