@@ -80,7 +80,8 @@ def nearest_codes(
     Codes are cut into segments. In round r all codes are met that differ from the query in exactly
     r bits of some segment. After it every code within segments * (r + 1) - 1 bits has been met, so a
     query is done once its kth distance is no larger. Rounds shuffle the open queries' probes only, and
-    a segment value with many codes is dealt over several tasks.
+    a segment value with many codes is dealt over several tasks. Only the list of such values, at most
+    ``HOT_SHARE`` for each segment, is broadcast.
     """
     n = k + 1
     named = rows.select(F.col(id_col).alias("id"), F.col(code_col).alias("code")).dropna().distinct()
@@ -107,7 +108,7 @@ def nearest_codes(
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
 
     open_ = stored(asked.select("query").distinct().withColumn("within", F.lit(BITS)))
-    found, radius = None, 0
+    found, radius, settled = None, 0, []
     best = Window.partitionBy("query").orderBy("distance", "low")
     nearer = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
     while not open_.isEmpty():
@@ -123,7 +124,7 @@ def nearest_codes(
             *[F.when(F.col("segment") == j, _new_at(j, radius, segments, differing)) for j in range(len(segments))]
         )
         met = (
-            probes.join(index, ["segment", "part", "salt"])
+            probes.join(index.hint("merge"), ["segment", "part", "salt"])
             .filter(fresh & (F.bit_count(differing) <= F.col("within")))
             .select("query", "code", "low", "ids", F.bit_count(differing).alias("distance"))
         )
@@ -141,16 +142,22 @@ def nearest_codes(
         if covered >= BITS or radius > max(b for _, b in segments):
             break
         open_ = stored(
-            open_.join(state, "query", "left")
+            open_.join(state.hint("merge"), "query", "left")
             .filter(F.coalesce("sure", F.lit(0)) < n)
             .select("query", F.when(F.col("ids") >= n, F.col("farthest")).otherwise(F.lit(BITS)).alias("within"))
         )
+        # What a query has found is ranked again only while it is open.
+        still = open_.select("query").hint("merge")
+        settled.append(found.join(still, "query", "left_anti"))
+        found = found.join(still, "query", "left_semi")
+    for done in settled:
+        found = found.unionByName(done)
     if found is None:
         found = index.select(F.col("code").alias("query"), "code", "low", "ids", F.lit(0).alias("distance")).limit(0)
     rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "neighbor_id"))
     return (
-        asked.join(found.drop("ids"), "query")
-        .join(codes, "code")
+        asked.join(found.drop("ids").hint("merge"), "query")
+        .join(codes.hint("merge"), "code")
         .select("query_id", "query", "distance", F.explode("ids").alias("neighbor_id"))
         .filter("query_id != neighbor_id")
         .withColumn("rank", rank)
