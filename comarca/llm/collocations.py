@@ -18,11 +18,11 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 # Text of a task that shares one list of words.
-UNIT_BYTES = 8_000_000
+UNIT_BYTES = 5_000_000
 # A tile is so many bits of left ids by so many of right ids; with this many entries it is counted by address.
 LEFT_BITS, RIGHT_BITS = 4, 10
 CELL_BITS = LEFT_BITS + RIGHT_BITS
-DENSE = 1 << CELL_BITS - 3
+DENSE = 1 << CELL_BITS - 2
 _ID_BYTES = 6
 
 _BREAK = b"."
@@ -134,7 +134,10 @@ def _word_places(units: DataFrame, words: DataFrame) -> DataFrame:
     """The first state: occurrences of frequent words. Breaks and other words leave gaps."""
     asked = units.select("unit", "lang", F.posexplode("words").alias("code", "word"))
     known = words.select("lang", F.col("words")[0].alias("word"), "id")
-    found = asked.join(known.hint("merge"), ["lang", "word"]).groupBy("unit").agg(F.collect_list(F.struct("code", "id")).alias("known"))
+    answered = asked.join(known.hint("merge"), ["lang", "word"], "left")
+    # Every word is answered, those that are not frequent with NULL, which a list leaves out.
+    answer = F.when(F.col("id").isNotNull(), F.struct("code", "id"))
+    found = answered.groupBy("unit").agg(F.collect_list(answer).alias("known"))
 
     def place(batches):
         for row in _rows(batches):
@@ -169,7 +172,7 @@ def tile_counts(left: np.ndarray, right: np.ndarray, n: np.ndarray | None = None
     at = address[number[is_dense]] << CELL_BITS | cell[is_dense]
     weights = None if n is None else n[is_dense]
     table = np.bincount(at, weights, int(dense.sum()) << CELL_BITS).astype(np.int64)
-    some = np.flatnonzero(np.bincount(at, minlength=len(table)))
+    some = np.flatnonzero(table)  # an entry counts 1 or more
     dense_key = np.flatnonzero(dense)[some >> CELL_BITS] << CELL_BITS | some & (1 << CELL_BITS) - 1
     sparse_key, pair = np.unique(key[~is_dense], return_inverse=True)
     sparse_n = np.bincount(pair, None if n is None else n[~is_dense], len(sparse_key)).astype(np.int64)
@@ -317,7 +320,7 @@ def collocations(
     ids; a task counts a tile with many entries by direct address and the others as sorted
     coordinates, and so does the bucket that adds the tasks' sums. Frequent pairs get ids by frequency
     in turn, and pairs of phrases that overlap in all but a word give the next length. The most frequent
-    tile reaches its bucket with at most 16,384 sums per 8 MB of text.
+    tile reaches its bucket with at most 16,384 sums per 5 MB of text.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     units = _units(rows, unit_bytes)
