@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,12 @@ from comarca.functions import (
     email_domain,
     founding_year,
     normalize_text,
+    per_thousand,
     regex_clean,
     standardize_id,
 )
-from comarca.operators import cleaning, departments, distribution, joins, mail, modelling
-from comarca.operators import relationship
+from comarca.operators import cleaning, departments, discovery, distribution, joins, mail, modelling
+from comarca.operators import relationship, selection, synthesis
 from comarca.plans import checks, model, roles
 from comarca.sources import CORRUPT, SCHEMAS, register_model, scan_csv, store, table
 from comarca.sources import work_folder, write_model
@@ -283,6 +286,76 @@ def q_check_foreign_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Driver tables and the columns that may refer to one another.
+KEY_COLUMNS = {
+    "region": ["r_regionkey"],
+    "nation": ["n_nationkey", "n_regionkey"],
+    "customer": ["c_custkey", "c_nationkey"],
+    "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+}
+
+
+def q_discover_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which key columns of five tables refer to which, without being told."""
+    tables = {t: table(spark, sf_dir, t) for t in KEY_COLUMNS}
+    return discovery.discover_references(tables, KEY_COLUMNS)
+
+
+def q_discover_broken_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that hold for nine in ten values or more, as in a register with wrong codes."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_orderkey") % 20 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("l_orderkey"),
+        F.when(F.col("l_partkey") % 5 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("l_partkey"),
+    )
+    tables = {"orders": table(spark, sf_dir, "orders"), "part": table(spark, sf_dir, "part"), "lines": lines}
+    columns = {"orders": ["o_orderkey"], "part": ["p_partkey"], "lines": ["l_orderkey", "l_partkey"]}
+    return discovery.discover_references(tables, columns, 0.9)
+
+
+RULE_TABLES = {"part": 3, "lineitem": 3}
+
+
+def q_discover_rules_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.discover_rules(table(spark, sf_dir, "part"), largest=RULE_TABLES["part"]).frame(spark)
+
+
+def q_discover_rules_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.discover_rules(table(spark, sf_dir, "lineitem"), largest=RULE_TABLES["lineitem"]).frame(spark)
+
+
+def _flat_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with the names of their nation and region in every row."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    placed = placed.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return placed.select("c_custkey", "c_name", "n_nationkey", "n_name", "r_regionkey", "r_name")
+
+
+def _synthesized(spark: SparkSession, sf_dir: str) -> tuple[list[synthesis.Table], dict[str, DataFrame]]:
+    flat = store(_flat_customers(spark, sf_dir), work_folder(spark), "flat")
+    tables = synthesis.synthesize(discovery.discover_rules(flat, largest=2))
+    return tables, synthesis.decompose(flat, tables)
+
+
+def q_synthesized_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables a flat one comes apart into, with their rows: customers, nations and regions again."""
+    tables, parts = _synthesized(spark, sf_dir)
+    counted = [
+        part.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), F.lit(",".join(t.columns)).alias("column_names"), "n_rows"
+        )
+        for t, (name, part) in zip(tables, parts.items())
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def q_recombined_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof that nothing is lost: the joined tables are the flat one."""
+    tables, parts = _synthesized(spark, sf_dir)
+    return synthesis.recombine(parts, tables).select("c_custkey", "c_name", "n_nationkey", "n_name", "r_regionkey", "r_name")
+
+
 # Joins
 
 
@@ -379,6 +452,33 @@ def q_boxplot_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.outliers(counts, "prov_id", "schools")
 
 
+def _province_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = per_thousand(F.col("schools"), F.col("persons"))
+    return _integrated(spark, sf_dir).select("prov_id", "dep_id", rate.alias("schools_per_1000"))
+
+
+def q_rate_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box of schools per 1000 inhabitants, a real value of its own for almost every department."""
+    boxes = selection.value_quartiles(_province_rates(spark, sf_dir), "prov_id", "schools_per_1000")
+    return _rounded(boxes, "q1", "median", "q3")
+
+
+def q_rate_whiskers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = selection.value_whiskers(_province_rates(spark, sf_dir), "prov_id", "schools_per_1000")
+    return _rounded(ends, "low", "high")
+
+
+def q_rate_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beyond = selection.value_outliers(_province_rates(spark, sf_dir), "prov_id", "schools_per_1000")
+    return _rounded(beyond, "schools_per_1000")
+
+
+def q_price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box of line prices per return flag: three groups, each far larger than a task."""
+    boxes = selection.value_quartiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
+    return _rounded(boxes, "q1", "median", "q3")
+
+
 # Scalar functions, relationship
 
 
@@ -557,6 +657,74 @@ def _fd_sql(form: str, lhs: str, rhs: str) -> str:
     """
 
 
+def _references_sql(columns: dict[str, list[str]], tables: dict[str, str], least_share: float) -> str:
+    """Every pair of columns, compared value by value."""
+    named = [(t, c) for t in columns for c in columns[t]]
+    pairs = [
+        f"""
+        select '{t}' as child_table, '{c}' as child_column, '{u}' as parent_table, '{d}' as parent_column,
+               (select count(distinct {c}) from {tables[t]}) as n_values,
+               (select count(distinct {c}) from {tables[t]}
+                where {c} not in (select {d} from {tables[u]} where {d} is not null)) as n_missing,
+               (select count({d}) = count(distinct {d}) from {tables[u]}) as parent_is_key
+        """
+        for t, c in named
+        for u, d in named
+        if (t, c) != (u, d)
+    ]
+    return f"""select * from ({" union all ".join(pairs)})
+               where n_values > 0 and n_values - n_missing >= n_values * {least_share}"""
+
+
+def _rules_sql(name: str, largest: int) -> str:
+    """All sets of columns, grouped one by one, and of what holds the minimal rules."""
+    columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+    sets = []
+    for size in range(largest + 1):
+        for given in combinations(columns, size):
+            others = [c for c in columns if c not in given]
+            same = ", ".join(
+                f"(min({c}) is not distinct from max({c}) and count({c}) in (0, count(*))) as s_{c}" for c in others
+            )
+            listed = ", ".join(f"{{'dependent': '{c}', 'holds': bool_and(s_{c})}}" for c in others)
+            grouped = f"select count(*) as n, {same} from {name}" + (f" group by {', '.join(given)}" if given else "")
+            array = ", ".join(f"'{c}'" for c in given)
+            sets.append(f"select [{array}]::varchar[] as x, max(n) = 1 as is_key, [{listed}] as found from ({grouped})")
+    return f"""
+        with tested as materialized ({" union all ".join(sets)}),
+        keys as (
+          select x from tested where is_key
+            and not exists (select 1 from tested s where s.is_key and len(s.x) < len(tested.x) and list_has_all(tested.x, s.x))
+        ),
+        held as (
+          select x, f.dependent from (select x, unnest(found) as f from tested where not is_key) where f.holds
+        )
+        select 'key' as kind, array_to_string(x, ',') as determinant, '*' as dependent from keys
+        union all
+        select 'dependency', array_to_string(x, ','), dependent from held
+        where not exists (select 1 from held s where s.dependent = held.dependent
+                          and len(s.x) < len(held.x) and list_has_all(held.x, s.x))
+    """
+
+
+_RATE_FENCES = f"""
+{_INTEGRATED},
+rates as (
+  select prov_id, dep_id, case when persons > 0 then cast(schools as double) * 1000 / persons end as rate
+  from integrated
+),
+box as (
+  select prov_id, quantile_cont(rate, 0.25) as q1, quantile_cont(rate, 0.5) as median,
+         quantile_cont(rate, 0.75) as q3
+  from rates where rate is not null group by 1
+)
+"""
+_FLAT = """
+select c_custkey, c_name, n_nationkey, n_name, r_regionkey, r_name
+from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+"""
+
+
 def library_sql() -> dict[str, str]:
     flat = """
     with flat as (
@@ -872,6 +1040,43 @@ def library_sql() -> dict[str, str]:
             select c.prov_id, dep_id, schools
             from counts c join fences f on f.prov_id = c.prov_id
             where schools < f.low or schools > f.high""",
+        "rate_quartiles": f"""
+            with {_RATE_FENCES}
+            select prov_id, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3 from box""",
+        "rate_whiskers": f"""
+            with {_RATE_FENCES}
+            select prov_id, round(min(rate), 6) as low, round(max(rate), 6) as high
+            from rates join box using (prov_id)
+            where rate between q1 - (q3 - q1) * 1.5 and q3 + (q3 - q1) * 1.5 group by 1""",
+        "rate_outliers": f"""
+            with {_RATE_FENCES}
+            select prov_id, dep_id, round(rate, 6) as schools_per_1000
+            from rates join box using (prov_id)
+            where rate < q1 - (q3 - q1) * 1.5 or rate > q3 + (q3 - q1) * 1.5""",
+        "price_quartiles": """
+            select l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) as q1,
+                   round(quantile_cont(l_extendedprice, 0.5), 6) as median,
+                   round(quantile_cont(l_extendedprice, 0.75), 6) as q3
+            from lineitem group by 1""",
+        "discover_references": _references_sql(KEY_COLUMNS, {t: t for t in KEY_COLUMNS}, 1.0),
+        "discover_broken_references": _references_sql(
+            {"orders": ["o_orderkey"], "part": ["p_partkey"], "lines": ["l_orderkey", "l_partkey"]},
+            {"orders": "orders", "part": "part", "lines": """
+              (select case when l_orderkey % 20 = 0 then -l_orderkey else l_orderkey end as l_orderkey,
+                      case when l_partkey % 5 = 0 then -l_partkey else l_partkey end as l_partkey from lineitem)"""},
+            0.9,
+        ),
+        "discover_rules_part": _rules_sql("part", RULE_TABLES["part"]),
+        "discover_rules_lineitem": _rules_sql("lineitem", RULE_TABLES["lineitem"]),
+        "synthesized_tables": f"""
+            with flat as ({_FLAT})
+            select 'c_custkey' as table_name, 'c_custkey,c_name,n_nationkey' as column_names, count(*) as n_rows
+              from (select distinct c_custkey, c_name, n_nationkey from flat)
+            union all select 'n_nationkey', 'n_nationkey,n_name,r_regionkey', count(*)
+              from (select distinct n_nationkey, n_name, r_regionkey from flat)
+            union all select 'r_regionkey', 'r_regionkey,r_name', count(*)
+              from (select distinct r_regionkey, r_name from flat)""",
+        "recombined_tables": _FLAT,
         "email_domain": """
             select doc_id, nullif(lower(regexp_extract(
               text, '@([A-Za-z0-9.-]+[.][A-Za-z]{2,})', 1)), '') as domain from documents""",
