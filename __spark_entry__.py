@@ -806,14 +806,20 @@ def library_sql() -> dict[str, str]:
         "model_losses": f"""
             with {_LINES},
             school as (
-              select o_orderkey as id, o_custkey as dep from orders
+              select o_orderkey as id, '' as again from orders
               where o_custkey in (select c_custkey from customer)
               union all
-              select o_orderkey, o_custkey from orders
+              select o_orderkey, 'a' from orders
               where o_custkey in (select c_custkey from customer)
-                and o_orderkey % 79 = 0 and o_orderkey % 97 <> 0),
+                and o_orderkey % 79 = 0 and o_orderkey % 97 <> 0
+              union all
+              select o_orderkey, 'b' from orders
+              where o_custkey in (select c_custkey from customer)
+                and o_orderkey % 73 = 0 and o_orderkey % 97 <> 0 and o_orderkey % 89 <> 0),
             library as (
-              select l_partkey as id from lineitem join orders on l_orderkey = o_orderkey
+              select l_partkey as id, row_number() over (partition by l_orderkey, l_linenumber, l_partkey,
+                       cast(l_shipdate as date), l_linestatus) as seen
+              from lineitem join orders on l_orderkey = o_orderkey
               where l_returnflag = 'R' and o_custkey in (select c_custkey from customer)),
             person as (select distinct dep_id as id from lines join customer on c_custkey = dep_id),
             fate as (
@@ -821,10 +827,13 @@ def library_sql() -> dict[str, str]:
               union all select 'codes', 'placed' from customer
               union all select 'codes', 'placed' from customer where c_custkey % 10 = 0
               union all select 'population', case when id % 13 = 0 then 'unreadable' else 'placed' end from person
+              union all select 'population', 'duplicate' from person where id % 17 = 0
               union all select 'schools', case when id % 97 = 0 then 'missing code'
                   when id % 89 = 0 then 'unplaced'
-                  when id % 83 = 0 then 'unknown department' else 'placed' end from school
+                  when id % 83 = 0 then 'unknown department'
+                  when again = 'a' then 'duplicate' when again = 'b' then 'conflict' else 'placed' end from school
               union all select 'libraries', case when id % 67 = 0 then 'missing code'
+                  when seen > 1 then 'duplicate' when id % 61 = 0 then 'province only'
                   when id % 71 = 0 then 'unreadable' else 'placed' end from library)
             select register, reason, count(*) as n_rows from fate group by 1, 2""",
         "build_faulty_model": f"""
@@ -834,7 +843,7 @@ def library_sql() -> dict[str, str]:
                        group by 1),
             library as (select o_custkey as dep_id, count(distinct (l_orderkey, l_linenumber, l_partkey)) as n
                         from lineitem join orders on l_orderkey = o_orderkey
-                        where l_returnflag = 'R' and l_partkey % 67 <> 0 group by 1)
+                        where l_returnflag = 'R' and l_partkey % 67 <> 0 and l_partkey % 61 <> 0 group by 1)
             select lpad(cast(i.prov_id as varchar), 2, '0')
                      || lpad(cast(i.dep_id as varchar), 12, '0') as dep_id,
                    'departamento ' || lower(i.dep_name) as dep_name,

@@ -34,16 +34,16 @@ DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy")
 
 
 def _clean(
-    register: DataFrame, prov_width: int, dep_width: int, sentinels: Sequence[str]
+    register: DataFrame, prov_width: int, dep_width: int, sentinels: Sequence[str], but: Sequence[str] = ()
 ) -> DataFrame:
-    """Placeholders to NULL and the two codes to one department id.
+    """Placeholders to NULL, except in columns ``but``, and the two codes to one department id.
 
     Rows whose codes cannot be standardised keep a NULL ``dep_id``.
     """
     prov = standardize_id(F.col("prov_code"), prov_width)
     dep = standardize_id(F.col("dep_code"), dep_width)
     return (
-        null_sentinel(register, register.columns, sentinels)
+        null_sentinel(register, [c for c in register.columns if c not in but], sentinels)
         .withColumns({"prov_id": prov, "dep_id": compose_id(prov, dep)})
         .drop("prov_code", "dep_code")
     )
@@ -60,9 +60,11 @@ def build_model(
     """The model tables by name; ``levels`` maps a flag column to its level name.
 
     Every key is there once: a department has its most frequent name, a school or library
-    that is registered again counts once, and so does a repeated census row. A row needs
-    its department to be used, a library at least its province; ``losses`` counts the others.
+    that is registered again counts once. Census rows that are equal in all columns of the register
+    are one, and the others of a department (and band) are added up. A row needs its department to be
+    used, a library at least its province; ``losses`` counts the others.
     """
+    registers = dict(registers, population=registers["population"].drop(CORRUPT).distinct())
     clean = {
         name: _clean(df.drop(CORRUPT), prov_width, dep_width, sentinels)
         for name, df in registers.items()
@@ -76,6 +78,7 @@ def build_model(
     libraries = null_drop(clean["libraries"], ["lib_code", "prov_id"])
     school_levels = bridge(schools, "school_id", levels, "level_id").distinct()
     population = unify(null_drop(clean["population"], ["dep_id"]), {"persons": "bigint"})
+    grain = [c for c in ("dep_id", "band") if c in population.columns]
     libraries = unify(libraries, {"founded": date_formats}).select(
         F.col("lib_code").alias("lib_id"), "dep_id", "prov_id", "founded", "email"
     )
@@ -88,7 +91,7 @@ def build_model(
         "schools": dedup_rows(schools.select("school_id", "dep_id"), ["school_id"]),
         "school_levels": school_levels,
         "libraries": dedup_rows(libraries, ["lib_id"]),
-        "population": population.drop("prov_id").distinct(),
+        "population": population.groupBy(*grain).agg(F.sum("persons").alias("persons")),
     }
 
 
@@ -103,38 +106,76 @@ def losses(
 
     ``corrupt`` rows did not fit the file's columns (they keep what could be read, and are
     used if that is enough). Of the others those without a ``missing code`` or department are left out
-    (``unplaced``), those of an ``unknown department`` cannot show in any result, and an
-    ``unreadable`` number or date is NULL. The rest is ``placed``.
+    (``unplaced``; a library has its province at least, ``province only``, and is in the model).
+    Rows of an ``unknown department`` cannot show in any result, however often they are there. Of those that can,
+    ``duplicate`` rows say again what a row that is used says, and in ``conflict`` with it is another row
+    of the same school or library. An ``unreadable`` number or date is NULL. The rest is ``placed``.
+
+    Rows that say the same are counted before they meet, so a key costs as many rows as it has
+    different ones.
     """
     codes = _clean(registers["codes"], prov_width, dep_width, sentinels)
     known = codes.dropna(subset=["dep_id"]).select("dep_id").distinct().withColumn("known", F.lit(True))
-    own_code = {"schools": "school_code", "libraries": "lib_code"}
     typed = {"population": {"persons": "bigint"}, "libraries": {"founded": date_formats}}
+    own_code = {"schools": "school_code", "libraries": "lib_code"}
+    # The model takes a key's smallest row by these; every row of the codes is a vote for a name.
+    told_apart = {"schools": ["dep_id"], "libraries": ["dep_id", "prov_id", "founded", "email"]}
     parts = []
     for name, register in registers.items():
-        rows = _clean(register, prov_width, dep_width, sentinels)
+        as_received = [c for c in register.columns if c != CORRUPT]
+        rows = register.withColumn("_received", F.struct(*as_received)) if name == "population" else register
+        rows = _clean(rows, prov_width, dep_width, sentinels, ["_received"])
         corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in rows.columns else F.lit(False)
-        rows = rows.withColumn("is_corrupt", corrupt)
         unreadable = F.lit(False)
+        rows = rows.withColumn("_corrupt", corrupt)
         for column, target in typed.get(name, {}).items():
-            rows = unify(rows.withColumn("given", F.col(column)), {column: target})
-            unreadable = F.col("given").isNotNull() & F.col(column).isNull()
+            rows = unify(rows.withColumn("_given", F.col(column)), {column: target})
+            unreadable = F.col("_given").isNotNull() & F.col(column).isNull()
         code = F.col(own_code[name]).isNull() if name in own_code else F.lit(False)
-        reason = (
-            F.when(F.col("is_corrupt"), "corrupt")
+        place = F.coalesce("dep_id", "prov_id") if name == "libraries" else F.col("dep_id")
+        left_out = (
+            F.when(F.col("_corrupt"), "corrupt")
             .when(code, "missing code")
-            .when(F.col("dep_id").isNull(), "unplaced")
-            .when(unreadable, "unreadable")
-            .otherwise("placed")
+            .when(place.isNull(), "unplaced")
+        )
+        rows = rows.withColumns({"_left_out": left_out, "_unreadable": unreadable})
+        gone = rows.where("_left_out is not null").groupBy(F.col("_left_out").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+        used = rows.where("_left_out is null")
+        if name == "codes":
+            settled = used.groupBy("dep_id", "_unreadable").agg(F.count(F.lit(1)).alias("_placed")).withColumns(
+                {"_duplicate": F.lit(0).cast("bigint"), "_conflict": F.lit(0).cast("bigint")}
+            )
+        else:
+            key, apart = own_code.get(name, "_received"), told_apart.get(name, ["dep_id"])
+            said = used.groupBy(key, *apart, "_unreadable").agg(F.count(F.lit(1)).alias("_n"))
+            taken = said.groupBy(key).agg(
+                F.min(F.struct(*apart, "_unreadable", "_n")).alias("_taken"), F.sum("_n").alias("_all")
+            )
+            settled = taken.select(
+                "_taken.dep_id",
+                "_taken._unreadable",
+                F.lit(1).cast("bigint").alias("_placed"),
+                (F.col("_taken._n") - 1).alias("_duplicate"),
+                (F.col("_all") - F.col("_taken._n")).alias("_conflict"),
+            )
+        summed = settled.groupBy("dep_id", "_unreadable").agg(
+            *[F.sum(c).alias(c) for c in ("_placed", "_duplicate", "_conflict")]
         )
-        counted = rows.withColumn("reason", reason).groupBy("dep_id", "reason").agg(F.count(F.lit(1)).alias("n"))
-        is_known = F.coalesce("known", F.lit(False)) | (F.col("reason") != "placed") & (F.col("reason") != "unreadable")
-        parts.append(
-            counted.join(known, "dep_id", "left")
-            .groupBy(F.when(is_known, F.col("reason")).otherwise("unknown department").alias("reason"))
-            .agg(F.sum("n").alias("n_rows"))
-            .select(F.lit(name).alias("register"), "reason", "n_rows")
+        fate = (
+            F.when(F.col("dep_id").isNull(), "province only")
+            .when(F.col("known").isNull(), "unknown department")
+            .when(F.col("_unreadable"), "unreadable")
+            .otherwise("placed")
         )
+        lost = F.when(F.col("dep_id").isNotNull() & F.col("known").isNull(), F.lit("unknown department"))
+        fates = [
+            F.struct(fate.alias("reason"), F.col("_placed").alias("n_rows")),
+            F.struct(F.coalesce(lost, F.lit("duplicate")).alias("reason"), F.col("_duplicate").alias("n_rows")),
+            F.struct(F.coalesce(lost, F.lit("conflict")).alias("reason"), F.col("_conflict").alias("n_rows")),
+        ]
+        kept = summed.join(known, "dep_id", "left").select(F.inline(F.array(*fates)))
+        counted = gone.unionByName(kept).groupBy("reason").agg(F.sum("n_rows").alias("n_rows")).where("n_rows > 0")
+        parts.append(counted.select(F.lit(name).alias("register"), "reason", "n_rows"))
     return reduce(DataFrame.unionByName, parts)
 
 

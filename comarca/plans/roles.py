@@ -141,9 +141,10 @@ def faulty_registers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """``raw_registers`` with planted faults, each on the rows that a number divides.
 
     Codes: every department again, and every 10th under another name. Population: every 13th
-    department unreadable. Schools: every 97th without its code, every 89th without a
-    department, every 83rd in an unknown one, every 79th registered twice. Libraries: every
-    71st part without a readable date, every 67th without a code.
+    department unreadable, every 17th listed twice. Schools: every 97th without its code, every 89th
+    without a department, every 83rd in an unknown one, every 79th registered twice, every 73rd
+    in an unknown department as well. Libraries: every 71st part without a readable date, every 67th
+    without a code, every 61st without a department.
     """
     raw = raw_registers(spark, sf_dir)
 
@@ -162,14 +163,18 @@ def faulty_registers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "school_code": every(97, "school_code", F.lit("-"), F.col("school_code")),
         }
     )
+    again = F.col("school_code").try_cast("bigint")
+    elsewhere = schools.where((again % 73 == 0) & (F.col("dep_code") != "S/D")).withColumns(
+        {"prov_code": F.lit("99"), "dep_code": F.lit("999999999")}
+    )
+    people = raw["population"].withColumn("persons", every(13, "dep_code", F.lit("1.234"), F.col("persons")))
     return {
         "codes": codes.unionByName(codes).unionByName(renamed),
-        "population": raw["population"].withColumn(
-            "persons", every(13, "dep_code", F.lit("1.234"), F.col("persons"))
-        ),
-        "schools": schools.unionByName(schools.where(F.col("school_code").try_cast("bigint") % 79 == 0)),
+        "population": people.unionByName(people.where(F.col("dep_code").cast("bigint") % 17 == 0)),
+        "schools": schools.unionByName(schools.where(again % 79 == 0)).unionByName(elsewhere),
         "libraries": libraries.withColumns(
             {
+                "dep_code": every(61, "lib_code", F.lit("S/D"), F.col("dep_code")),
                 "founded": every(71, "lib_code", F.lit("around 1960"), F.col("founded")),
                 "lib_code": every(67, "lib_code", F.lit(None).cast("string"), F.col("lib_code")),
             }

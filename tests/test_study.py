@@ -5,7 +5,7 @@ import csv
 import pytest
 
 from comarca.__main__ import read_register, run
-from comarca.plans.model import build_model, unplaced
+from comarca.plans.model import build_model, losses, unplaced
 from comarca.sources import CORRUPT, scan_csv
 
 LEVELS = {"initial": "Initial", "primary": "Primary"}
@@ -178,3 +178,36 @@ def test_results_are_also_csv(spark, results):
     folder = stored.removeprefix("file://").rsplit("/", 2)[0]
     back = scan_csv(spark, f"{folder}/integrate_departments.csv", results["integrate_departments"].schema)
     assert rows(back.drop(CORRUPT)) == rows(results["integrate_departments"])
+
+
+def registers_of(spark, population, schools=(), libraries=()):
+    text = lambda names: ", ".join(f"{n} string" for n in names.split())
+    return {
+        "codes": spark.createDataFrame([("2", "Córdoba", "7", "Uno"), ("2", "Córdoba", "8", "Dos")], text("prov_code prov_name dep_code dep_name")),
+        "population": population,
+        "schools": spark.createDataFrame(list(schools), text("school_code prov_code dep_code initial primary")),
+        "libraries": spark.createDataFrame(list(libraries), text("lib_code prov_code dep_code founded email")),
+    }
+
+
+def test_population_rows_are_told_apart_by_all_columns(spark):
+    """Two age rows of equal size are two; a row that is there twice is one and the other is counted."""
+    people = [("2", "7", "100", "0-4"), ("2", "7", "100", "5-9"), ("2", "7", "50", "10-14"), ("2", "7", "50", "10-14"), ("2", "8", "S/D", "0-4")]
+    found = registers_of(spark, spark.createDataFrame(people, "prov_code string, dep_code string, persons string, age string"))
+    assert rows(build_model(found, LEVELS)["population"]) == {("02007", 250), ("02008", None)}
+    counted = {(r.register, r.reason): r.n_rows for r in losses(found).collect()}
+    assert counted == {("codes", "placed"): 2, ("population", "placed"): 4, ("population", "duplicate"): 1}
+
+
+def test_losses_say_what_the_model_does(spark):
+    people = spark.createDataFrame([("2", "7", "1")], "prov_code string, dep_code string, persons string")
+    schools = [("a", "2", "7", "X", None), ("a", "2", "7", "X", None), ("a", "2", "8", "X", None), ("b", "2", "-", "X", None), ("c", "3", "1", "X", None)]
+    libraries = [("l", "2", "-", "1950-01-01", None), ("m", "2", "8", "in May", None), ("n", "-", "-", None, None), ("m", "2", "8", "in May", None)]
+    found = registers_of(spark, people, schools, libraries)
+    counted = {(r.register, r.reason): r.n_rows for r in losses(found).collect()}
+    assert {k[1]: n for k, n in counted.items() if k[0] == "schools"} == {"placed": 1, "duplicate": 1, "conflict": 1, "unplaced": 1, "unknown department": 1}
+    assert {k[1]: n for k, n in counted.items() if k[0] == "libraries"} == {"province only": 1, "unreadable": 1, "unplaced": 1, "duplicate": 1}
+    model = build_model(found, LEVELS)
+    used = {"placed", "unreadable", "province only", "unknown department"}
+    for name in ("schools", "libraries"):
+        assert model[name].count() == sum(n for (register, reason), n in counted.items() if register == name and reason in used)
