@@ -29,9 +29,9 @@ def exact_groups(
     group_size, kept and text_sha256 of the normalised text.
 
     - Null text counts as empty, so null and empty texts form one group.
-    - Rows that repeat an id together with its text are one document and come back once.
-      One id with different texts is several documents.
-    - Null ids form one document per text; a null id is kept only where its group has no other.
+    - Every row counts and comes back, also one that repeats an id together with its text; all rows
+      that have the id that stays are kept. One id with different texts is in several groups.
+    - Rows with a null id are in the group of their text; they are kept only where it has no other id.
     - Only id and text are read, other columns may have any name. An empty table gives no rows.
 
     Documents are grouped by the hash alone, on slim rows. Whole texts are compared apart:
@@ -40,20 +40,21 @@ def exact_groups(
     """
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("h", hash_of(F.col("norm")))
-    slim = stored(base.select("id", "h", F.sha2("norm", 256).alias("sha")).distinct())
+    slim = stored(base.select("id", "h", F.sha2("norm", 256).alias("sha"), F.monotonically_increasing_id().alias("row")))
     clashes = stored(base.select("h", "norm").distinct().groupBy("h").count().filter("count > 1").select("h"))
     pick = F.max("id") if keep == "max" else F.min("id")
     out = _grouped(slim.join(clashes, "h", "left_anti"), ["h"], pick)
     if not clashes.isEmpty():
         apart = base.join(clashes, "h", "left_semi").select("id", "norm", F.sha2("norm", 256).alias("sha"))
-        out = out.unionByName(_grouped(apart.distinct(), ["norm"], pick))
+        apart = stored(apart.withColumn("row", F.monotonically_increasing_id()))
+        out = out.unionByName(_grouped(apart, ["norm"], pick))
     return out.withColumnRenamed("id", id_col)
 
 
 def _grouped(rows: DataFrame, keys: list[str], pick: Column) -> DataFrame:
     """Hot groups are summed map-side and their rows are dealt over several tasks."""
     groups = rows.groupBy(*keys).agg(pick.alias("keep_id"), F.count("*").alias("group_size"))
-    return salted_join(rows, groups, keys, "group_size", rows.count(), "id").select(
+    return salted_join(rows, groups, keys, "group_size", rows.count(), "row").select(
         "id",
         "keep_id",
         "group_size",

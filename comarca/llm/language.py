@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -203,7 +204,8 @@ def predict(text: Column, samples: dict[str, str]) -> Column:
             scores.append(score)
         return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores or [np.zeros(0)])})
 
-    return parsed(text)
+    # Spark would otherwise run it again for each of the columns made from it.
+    return parsed.asNondeterministic()(text)
 
 
 def lettered(text: Column) -> Column:
@@ -240,18 +242,29 @@ def identify(
 
 def drop_unidentified(
     docs: DataFrame,
+    languages: Sequence[str] | None = None,
+    least_score: float = 0.0,
     divisor: int = 4,
     held_out: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The documents, all columns unchanged, that have a language: null texts and texts without a letter go.
+    """The documents in a wanted language, each labelled with one: a null label becomes the predicted language.
 
-    These are the ones that ``identify`` calls ``und``. Where there is no labelled text to learn from it calls
-    all texts so, and only those without a letter go.
+    Null texts and texts without a letter go, and so do texts whose prediction is none of ``languages`` or
+    scores less than ``least_score`` (0.5 for a tie); as a default all languages and scores stay. Where
+    there is no labelled text to learn from nothing can be predicted: then only texts without a letter
+    go, and null labels stay. All other columns are unchanged.
     """
     held = training_remainder(F.col(id_col), divisor) == held_out
     samples = labelled_sample(docs.filter(~held), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    found = predict(F.col(text_col), samples)["lang_pred"] != UNKNOWN if samples else lettered(F.col(text_col))
-    return docs.filter(found)
+    if not samples:
+        return docs.filter(lettered(F.col(text_col)))
+    found = docs.withColumn("_found_language", predict(F.col(text_col), samples))
+    predicted = F.col("_found_language")["lang_pred"]
+    stays = (predicted != UNKNOWN) & (F.col("_found_language")["score"] >= least_score)
+    if languages is not None:
+        stays &= predicted.isin(*languages)
+    label = F.coalesce(F.col(lang_col), predicted).alias(lang_col)
+    return found.filter(stays).select(*[label if c == lang_col else F.col(c) for c in docs.columns])

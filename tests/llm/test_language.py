@@ -100,3 +100,22 @@ def test_unlabelled_documents_with_a_letter_stay(spark, labelled):
     kept = drop_unidentified(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in found if any(c.isalpha() for c in r[1] or "")]
+
+
+def test_unlabelled_documents_get_the_predicted_language(spark):
+    found = training(160)
+    found = [(i, t, None if i % 5 == 0 else lang, s, n) for i, t, lang, s, n in found] + [(2000, "12 ?", None, "s", 0)]
+    truth = {r[0]: r[2] for r in training(160)}
+    kept = {r.doc_id: r.lang for r in drop_unidentified(data.frame(spark, found)).collect()}
+    assert set(kept) == set(truth)
+    assert all(kept[r[0]] == r[2] for r in found if r[2])
+    assert sum(kept[i] == lang for i, lang in truth.items()) >= 0.98 * len(truth)
+
+
+def test_only_wanted_languages(spark):
+    docs = data.frame(spark, training(160))
+    truth = {r[0]: r[2] for r in training(160)}
+    kept = [r.doc_id for r in drop_unidentified(docs, languages=["de"]).collect()]
+    assert sum(truth[i] == "de" for i in kept) >= 0.98 * len(kept) > 0
+    assert len(kept) >= 0.98 * sum(v == "de" for v in truth.values())
+    assert drop_unidentified(docs, least_score=1.01).count() == 0
