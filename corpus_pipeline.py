@@ -17,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, for which no language can be told, go."""
+    """Documents without a letter, for which no language can be told, go; unlabelled ones get the predicted language."""
     return drop_unidentified(docs)
 
 
