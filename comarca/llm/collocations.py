@@ -191,7 +191,11 @@ _PARTS = ["bucket", "unit", "tiles", "sizes", "cells", "counts"]
 
 
 def _frequent_pairs(state: DataFrame, min_count: int) -> DataFrame:
-    """(unit, pairs): frequent pairs with their counts in rows of unit -1; those each unit has in its own rows."""
+    """(unit, pairs): frequent pairs with ids and counts in rows of unit -1; those each unit has in its own rows.
+
+    A bucket ranks its pairs by frequency, and the ranks of all buckets are dealt out in turn: pairs
+    fall into buckets by the hash of their tile, so the ids follow the frequency without a sort of all.
+    """
     buckets = 4 * partitions(state.sparkSession)
 
     def count(batches):
@@ -217,49 +221,50 @@ def _frequent_pairs(state: DataFrame, min_count: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _PARTS)
 
     def add(batches):
-        for _, rows in gathered(batches, _PARTS):
+        for bucket, rows in gathered(batches, _PARTS):
             sizes = [values_of(r[2], 2).astype(np.int64) for r in rows]
             tile = np.concatenate([np.repeat(np.frombuffer(r[1], "<i8"), s) for r, s in zip(rows, sizes)])
-            cell = np.concatenate([values_of(r[3], 2).astype(np.int64) for r in rows])
+            cells = np.concatenate([values_of(r[3], 2).astype(np.int64) for r in rows])
             n = np.concatenate([values_of(r[4], 4).astype(np.int64) for r in rows])
-            left, right = _pair(tile, cell)
+            left, right = _pair(tile, cells)
             tiles, of, cell, total, pair = tile_counts(left, right, n)
-            often = total >= min_count
-            yield listed(-1, *_pair(tiles[of[often]], cell[often]), total[often])
-            known, at = often[pair], 0
+            often = np.flatnonzero(total >= min_count)
+            often = often[np.argsort(-total[often], kind="stable")]
+            ids = np.full(len(total), -1, np.int64)
+            ids[often] = np.arange(len(often)) * buckets + bucket
+            yield listed(-1, *_pair(tiles[of[often]], cell[often]), ids[often], total[often])
+            known, at = ids[pair], 0
             for unit, own in zip((r[0] for r in rows), sizes):
-                mine = np.flatnonzero(known[at : at + int(own.sum())]) + at
+                mine = np.flatnonzero(known[at : at + int(own.sum())] >= 0) + at
                 at += int(own.sum())
                 if len(mine):
-                    yield listed(unit, left[mine], right[mine], np.zeros(len(mine), np.int64))
+                    yield listed(unit, left[mine], right[mine], known[mine], np.zeros(len(mine), np.int64))
 
-    def listed(unit, left, right, n):
-        pairs = pa.StructArray.from_arrays([pa.array(v.astype(np.int64)) for v in (left, right, n)], ["left", "right", "n"])
-        lists = pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), pairs)
+    def listed(unit, *values):
+        pairs = pa.StructArray.from_arrays([pa.array(v.astype(np.int64)) for v in values], ["left", "right", "id", "n"])
+        lists = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs)
         return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), lists], ["unit", "pairs"])
 
     schema = "bucket int, unit long, tiles binary, sizes binary, cells binary, counts binary"
     dealt = state.mapInArrow(count, schema).repartition(partitions(state.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return stored(dealt.mapInArrow(add, "unit long, pairs array<struct<left: bigint, right: bigint, n: bigint>>"))
+    return stored(dealt.mapInArrow(add, "unit long, pairs array<struct<left: bigint, right: bigint, id: bigint, n: bigint>>"))
 
 
 def _longer(pairs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Phrases a word longer out of frequent pairs of phrases, ranked again."""
+    """Phrases a word longer out of frequent pairs of phrases."""
     left = phrases.select(F.col("id").alias("left"), "lang", "n_all", F.col("words").alias("head"), F.col("pre").alias("p"), F.col("n").alias("n_left"))
     right = phrases.select(F.col("id").alias("right"), F.element_at("words", -1).alias("last"), F.col("suf").alias("s"), F.col("n").alias("n_right"))
     found = pairs.filter("unit < 0").select(F.inline("pairs")).join(left, "left").join(right, "right")
     rows = found.select(
-        "left", "right", "lang", "n_all", "n", F.concat("head", F.array("last")).alias("words"),
+        "id", "left", "right", "lang", "n_all", "n", F.concat("head", F.array("last")).alias("words"),
         F.concat("p", F.array("n_left")).alias("pre"), F.concat("s", F.array("n_right")).alias("suf"),
     )
-    return stored(ranked(rows, F.col("lang"), F.desc("n"), F.col("left"), F.col("right")))
+    return stored(rows)
 
 
-def _longer_places(state: DataFrame, pairs: DataFrame, phrases: DataFrame) -> DataFrame:
+def _longer_places(state: DataFrame, pairs: DataFrame) -> DataFrame:
     """The next state: where the longer frequent phrases stand."""
-    asked = pairs.filter("unit >= 0").select("unit", F.inline("pairs")).drop("n")
-    known = asked.join(phrases.select("left", "right", "id").hint("merge"), ["left", "right"])
-    known = known.groupBy("unit").agg(F.collect_list(F.struct("left", "right", "id")).alias("known"))
+    known = pairs.filter("unit >= 0").groupBy("unit").agg(F.flatten(F.collect_list("pairs")).alias("known"))
 
     def place(batches):
         for row in _rows(batches):
@@ -332,7 +337,7 @@ def collocations(
         if length > 2:
             found.append(_scored(shorter, phrases))
         if length < longest:
-            state = _longer_places(state, pairs, phrases)
+            state = _longer_places(state, pairs)
     scored = _scored(phrases, None)
     for more in found:
         scored = scored.unionByName(more)
