@@ -244,13 +244,14 @@ def drop_unidentified(
     docs: DataFrame,
     languages: Sequence[str] | None = None,
     least_score: float = 0.0,
+    fill_labels: bool = False,
     divisor: int = 4,
     held_out: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The documents in a wanted language, each labelled with one: a null label becomes the predicted language.
+    """The documents in a wanted language; with ``fill_labels`` a null label becomes the predicted language.
 
     Null texts and texts without a letter go, and so do texts whose prediction is none of ``languages`` or
     scores less than ``least_score`` (0.5 for a tie); as a default all languages and scores stay. Where
@@ -266,5 +267,5 @@ def drop_unidentified(
     stays = (predicted != UNKNOWN) & (F.col("_found_language")["score"] >= least_score)
     if languages is not None:
         stays &= predicted.isin(*languages)
-    label = F.coalesce(F.col(lang_col), predicted).alias(lang_col)
-    return found.filter(stays).select(*[label if c == lang_col else F.col(c) for c in docs.columns])
+    label = F.coalesce(F.col(lang_col), predicted) if fill_labels else F.col(lang_col)
+    return found.filter(stays).select(*[label.alias(c) if c == lang_col else F.col(c) for c in docs.columns])

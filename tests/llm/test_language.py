@@ -106,7 +106,7 @@ def test_unlabelled_documents_get_the_predicted_language(spark):
     found = training(160)
     found = [(i, t, None if i % 5 == 0 else lang, s, n) for i, t, lang, s, n in found] + [(2000, "12 ?", None, "s", 0)]
     truth = {r[0]: r[2] for r in training(160)}
-    kept = {r.doc_id: r.lang for r in drop_unidentified(data.frame(spark, found)).collect()}
+    kept = {r.doc_id: r.lang for r in drop_unidentified(data.frame(spark, found), fill_labels=True).collect()}
     assert set(kept) == set(truth)
     assert all(kept[r[0]] == r[2] for r in found if r[2])
     assert sum(kept[i] == lang for i, lang in truth.items()) >= 0.98 * len(truth)

@@ -67,7 +67,7 @@ def test_empty_documents(spark, tmp_path):
 
 def test_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries()) | {"pipeline"} <= set(entry.queries())
     assert set(oracle_sql()) <= set(queries())
 
