@@ -24,7 +24,7 @@ from comarca.functions import (
     standardize_id,
 )
 from comarca.operators import cleaning, departments, discovery, distribution, joins, mail, modelling
-from comarca.operators import relationship, selection, synthesis
+from comarca.operators import placement, refresh, relationship, selection, synthesis
 from comarca.plans import checks, model, roles
 from comarca.sources import CORRUPT, SCHEMAS, register_model, scan_csv, store, table
 from comarca.sources import work_folder, write_model
@@ -210,6 +210,18 @@ def q_standardize_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's product by its name, with misspelt, cut, missing and ambiguous names among them."""
+    rows, products = roles.misspelt_products(spark, sf_dir)
+    return placement.place_rows(rows, products, "p_name", "product").select("p_partkey", "product", "outcome")
+
+
+def q_place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each different name stands for, and how many edits away."""
+    rows, products = roles.misspelt_products(spark, sf_dir)
+    return placement.place_names(rows, products, "p_name", "product")
+
+
 def q_regex_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey", regex_clean(F.col("c_name"), "^Customer#0*").alias("dep_name")
@@ -394,6 +406,45 @@ def q_summary_population_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return departments.summary(roles.departments(spark, sf_dir), rows, rows, roles.LEVELS)
 
 
+def q_summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Country, provinces, levels, and levels of each province, out of one scan of each table."""
+    rows = roles.facts(spark, sf_dir).withColumn("level_schools", F.col("schools"))
+    return departments.totals(roles.departments(spark, sf_dir), rows)
+
+
+_REFRESHED = ["schools", "cents"]
+
+
+def _order_facts(orders: DataFrame) -> DataFrame:
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return orders.select(
+        "o_orderkey", F.col("o_custkey").alias("dep_id"), F.lit(1).cast("bigint").alias("schools"), cents.alias("cents")
+    )
+
+
+def _earlier_state(spark: SparkSession, sf_dir: str) -> refresh.State:
+    """What was kept of the delivery before, written and read again."""
+    earlier = roles.earlier_orders(spark, sf_dir)
+    state = refresh.first_state(earlier, "o_orderkey", ["dep_id"], _REFRESHED, _order_facts)
+    return refresh.store_state(state, work_folder(spark), "earlier")
+
+
+def q_refresh_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of an earlier delivery brought up to this one: those a rebuild would give."""
+    orders, folder = table(spark, sf_dir, "orders"), work_folder(spark)
+    state = refresh.refresh(
+        _earlier_state(spark, sf_dir), orders, "o_orderkey", ["dep_id"], _REFRESHED, _order_facts,
+        keep=lambda name, df: store(df, folder, name),
+    )
+    return state.sums.drop("n_facts")
+
+
+def q_refresh_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that are new, changed or withdrawn since the earlier delivery."""
+    marks = refresh.fingerprints(table(spark, sf_dir, "orders"), "o_orderkey")
+    return refresh.changed_keys(_earlier_state(spark, sf_dir), marks, "o_orderkey")
+
+
 def q_libraries_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return departments.libraries_since(
         roles.departments(spark, sf_dir).select("dep_id"),
@@ -725,6 +776,47 @@ from customer join nation on c_nationkey = n_nationkey join region on n_regionke
 """
 
 
+# Every name compared to every product. Names have no accents here.
+_PLACED = """
+written as (
+  select p_partkey, case when p_partkey % 23 = 0 then p_partkey end as product,
+         p_partkey % length(p_name) + 1 as pos, p_name as n,
+         case when p_partkey % 5 = 0 then substr(n, 1, pos - 1) || substr(n, pos + 1)
+              when p_partkey % 7 = 0 then substr(n, 1, pos - 1) || 'q' || substr(n, pos + 1)
+              when p_partkey % 11 = 0 then 'x' || n || 'x'
+              when p_partkey % 13 = 0 then upper(n)
+              when p_partkey % 17 = 0 then substr(n, 1, 3)
+              when p_partkey % 19 <> 0 then n end as given
+  from part
+),
+received as (
+  select p_partkey, product, lower(trim(regexp_replace(given, ' +', ' ', 'g'))) as name from written
+),
+products as (select lower(p_name) as like_name, min(p_partkey) as product from part group by 1),
+names as (
+  select name,
+         greatest(0, least(2, length(name) // 4, (len(list_distinct([
+           substr(chr(1) || name || chr(2), i, 2) for i in range(1, length(name) + 2)])) - 1) // 2 - 1)) as most
+  from (select distinct name from received where name <> '')
+),
+compared as (
+  select name, most, products.product, levenshtein(name, like_name) as edits from names, products
+),
+best as (select name, most, min(edits) as edits, min_by(product, edits) as product from compared group by 1, 2),
+rivals as (
+  select c.name, count(*) as n from compared c join best b on c.name = b.name and c.edits <= b.edits + 1 group by 1
+),
+placed as (
+  select b.name,
+         case when b.edits = 0 then 'equal' when b.edits > b.most then 'unknown'
+              when r.n = 1 then 'placed' else 'ambiguous' end as outcome,
+         case when outcome in ('equal', 'placed') then b.product end as product,
+         case when outcome <> 'unknown' then cast(b.edits as integer) end as edits
+  from best b join rivals r on b.name = r.name
+)
+"""
+
+
 def library_sql() -> dict[str, str]:
     flat = """
     with flat as (
@@ -761,6 +853,39 @@ def library_sql() -> dict[str, str]:
             from integrated i join nation n on n.n_nationkey = i.prov_id
             left join unk on unk.dep_id = i.dep_id
             left join since on since.dep_id = i.dep_id""",
+        "place_rows": f"""
+            with {_PLACED}
+            select r.p_partkey, coalesce(r.product, p.product) as product,
+                   case when r.product is not null then 'given' else coalesce(p.outcome, 'no name') end as outcome
+            from received r left join placed p on p.name = r.name""",
+        "place_names": f"""
+            with {_PLACED}
+            select name, product, edits, outcome from placed""",
+        "summary_totals": f"""
+            with {_INTEGRATED},
+            leveled as (select c_nationkey as prov_id, o_orderpriority as level_id, count(*) as n
+                        from orders join customer on c_custkey = o_custkey group by 1, 2)
+            select 'country' as grain, cast(null as integer) as prov_id, cast(null as varchar) as level_id,
+                   count(*) as departments, cast(sum(persons) as bigint) as persons,
+                   cast(sum(schools) as bigint) as schools, cast(sum(libraries) as bigint) as libraries
+            from integrated
+            union all
+            select 'province', prov_id, null, count(*), cast(sum(persons) as bigint),
+                   cast(sum(schools) as bigint), cast(sum(libraries) as bigint)
+            from integrated group by prov_id
+            union all
+            select 'level', null, level_id, null, null, cast(sum(n) as bigint), null from leveled group by level_id
+            union all
+            select 'province and level', prov_id, level_id, null, null, n, null from leveled""",
+        "refresh_sums": """
+            select o_custkey as dep_id, count(*) as schools,
+                   cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) as cents
+            from orders group by 1""",
+        "refresh_changes": """
+            select o_orderkey, case when o_orderkey % 11 = 0 then 'new' else 'changed' end as change
+            from orders where o_orderkey % 11 = 0 or o_orderkey % 7 = 0 or o_orderkey % 13 = 0
+            union all
+            select -1 - o_orderkey, 'withdrawn' from orders where o_orderkey % 5 = 0""",
         "check_faulty_model": """
             with dep as (
               select c_custkey as id, c_name as name,

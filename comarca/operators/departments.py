@@ -144,3 +144,45 @@ def scatter(dep: DataFrame, *facts: DataFrame) -> DataFrame:
         .join(dep.select("dep_id"), "dep_id", "left_semi")
         .select("dep_id", "level_id", "schools", "persons")
     )
+
+
+def totals(dep: DataFrame, *facts: DataFrame) -> DataFrame:
+    """(grain, prov_id, level_id, departments, persons, schools, libraries): the sums of every grain in one pass.
+
+    ``grain`` is country, province, level or province and level. Facts are those of ``integrate``; those of a level
+    have it in ``level_id`` and their schools in ``level_schools``, so that a school with several levels counts
+    once in each and, by a fact with ``schools``, once in the total. Departments, persons and libraries
+    have no level and are NULL where there is one. Only known departments count, and
+    every province that has one is there.
+
+    The grouping sets run over sums per province and level, not over facts.
+    """
+    sums = [*MEASURES, "level_schools"]
+    empty = dep.select("dep_id", F.lit(None).cast("string").alias("level_id"), *[F.lit(0).cast("bigint").alias(m) for m in sums])
+    per_level = stack(empty, *facts).groupBy("dep_id", "level_id").agg(*[F.sum(m).alias(m) for m in sums])
+    known = dep.select("dep_id", "prov_id")
+    per_province = (
+        per_level.join(known, "dep_id")
+        .groupBy("prov_id", "level_id")
+        # A department has one row without a level, which its empty fact has made.
+        .agg(F.count_if(F.col("level_id").isNull()).alias("departments"), *[F.sum(m).alias(m) for m in sums])
+    )
+    prov, level = F.col("prov_id"), F.col("level_id")
+    grouped = per_province.groupingSets([[prov, level], [prov], [level], []], prov, level).agg(
+        F.grouping_id(prov, level).alias("_left_out"), *[F.sum(m).alias(m) for m in ("departments", *sums)]
+    )
+    has_level = F.col("_left_out").isin(0, 2)
+    grains = F.element_at(F.array(*map(F.lit, ("province and level", "province", "level", "country"))), F.col("_left_out").cast("int") + 1)
+
+    def zero_filled(measure: str) -> Column:
+        return F.when(~has_level, F.coalesce(measure, F.lit(0))).alias(measure)
+
+    return grouped.where(~has_level | F.col("level_id").isNotNull()).select(
+        grains.alias("grain"),
+        "prov_id",
+        "level_id",
+        zero_filled("departments"),
+        zero_filled("persons"),
+        F.when(has_level, F.coalesce("level_schools", F.lit(0))).otherwise(F.coalesce("schools", F.lit(0))).alias("schools"),
+        zero_filled("libraries"),
+    )

@@ -11,6 +11,8 @@ population     prov_code, dep_code, persons, and band if it is given per band
 schools        school_code, prov_code, dep_code, one flag column per level
 libraries      lib_code, prov_code, dep_code, founded, email
 =============  ==============================================================
+
+A register may also have prov_name and dep_name, by which ``recover_codes`` places rows without codes.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from comarca.functions import compose_id, normalize_text, standardize_id
 from comarca.operators.cleaning import null_drop, null_sentinel, since_tally, unify
 from comarca.operators.modelling import bridge, dedup_rows, dim_by_key
+from comarca.operators.placement import place_rows
 from comarca.sources import CORRUPT, register_model, write_model
 
 PROV_WIDTH = 2
@@ -95,6 +98,45 @@ def build_model(
     }
 
 
+def recover_codes(
+    registers: Mapping[str, DataFrame],
+    prov_width: int = PROV_WIDTH,
+    dep_width: int = DEP_WIDTH,
+    sentinels: Sequence[str] = SENTINELS,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The registers with codes for rows that only name their place, and (register, outcome, n_rows).
+
+    A register with a column ``dep_name``, and maybe ``prov_name``, has codes that cannot be read filled from
+    the names: first the province, then the department among those of its province (see ``place_names``;
+    what is ambiguous or unknown keeps its codes as received). The name columns go. ``outcome`` is that of the
+    department: ``given`` if it could be read. Other registers, and the codes, come back as they are.
+    """
+    codes = _clean(registers["codes"].drop(CORRUPT), prov_width, dep_width, sentinels)
+    provinces = dim_by_key(codes.dropna(subset=["prov_id", "prov_name"]), "prov_id", ["prov_name"])
+    places = dim_by_key(codes.dropna(subset=["dep_id", "dep_name"]), "dep_id", ["dep_name", "prov_id"])
+    recovered, parts = dict(registers), []
+    for name, register in registers.items():
+        if name == "codes" or "dep_name" not in register.columns:
+            continue
+        prov = standardize_id(F.col("prov_code"), prov_width)
+        dep = compose_id(prov, standardize_id(F.col("dep_code"), dep_width))
+        names = [c for c in ("prov_name", "dep_name") if c in register.columns]
+        rows = null_sentinel(register.withColumns({"prov_id": prov, "dep_id": dep}), names, sentinels)
+        if "prov_name" in names:
+            rows = place_rows(rows, provinces, "prov_name", "prov_id").drop("outcome")
+        rows = place_rows(rows, places, "dep_name", "dep_id", within="prov_id")
+        parts.append(rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("register"), "outcome", "n_rows"))
+        recovered[name] = rows.withColumns(
+            {
+                "prov_code": F.coalesce("prov_id", "prov_code"),
+                "dep_code": F.coalesce(F.substring("dep_id", prov_width + 1, dep_width), "dep_code"),
+            }
+        ).select(*[c for c in register.columns if c not in names])
+    if not parts:
+        return recovered, registers["codes"].sparkSession.createDataFrame([], "register string, outcome string, n_rows bigint")
+    return recovered, reduce(DataFrame.unionByName, parts)
+
+
 def losses(
     registers: Mapping[str, DataFrame],
     prov_width: int = PROV_WIDTH,

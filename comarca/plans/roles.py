@@ -232,3 +232,42 @@ def raw_registers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.concat(F.lit("lib@"), "l_linestatus", F.lit(".Example.org")).alias("email"),
         ),
     }
+
+
+def misspelt_products(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that name their product, and the products (product, p_name): every name with its smallest key.
+
+    Of the rows every 5th lacks a letter, every 7th has a wrong one, every 11th two that are too many, every 13th
+    is in capitals, every 17th is cut, every 19th has no name, and every 23rd knows its product.
+    """
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    key, name = F.col("p_partkey"), F.col("p_name")
+    at = (key % F.char_length(name)).cast("int") + 1
+    before, after = F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.char_length(name))
+    written = (
+        F.when(key % 5 == 0, F.concat(before, after))
+        .when(key % 7 == 0, F.concat(before, F.lit("q"), after))
+        .when(key % 11 == 0, F.concat(F.lit("x"), name, F.lit("x")))
+        .when(key % 13 == 0, F.concat(F.lit("  "), F.upper(name)))
+        .when(key % 17 == 0, F.substring(name, F.lit(1), F.lit(3)))
+        .when(key % 19 != 0, name)
+    )
+    products = part.groupBy("p_name").agg(F.min("p_partkey").alias("product"))
+    return part.select("p_partkey", written.alias("p_name"), F.when(key % 23 == 0, key).alias("product")), products
+
+
+def earlier_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as an earlier delivery had them.
+
+    Every 11th was not there yet, every 7th was another customer's, every 13th had another price,
+    and for every 5th there was one more that has been withdrawn since.
+    """
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    before = orders.where(key % 11 != 0).withColumns(
+        {
+            "o_custkey": F.when(key % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")),
+            "o_totalprice": F.when(key % 13 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")),
+        }
+    )
+    return before.union(orders.where(key % 5 == 0).withColumn("o_orderkey", -1 - key))

@@ -10,7 +10,7 @@ from comarca.operators import departments, distribution, mail, relationship
 from comarca.operators.cleaning import filter_since
 from comarca.plans.checks import check_model, unknown_keys
 from comarca.plans.model import DATE_FORMATS, SENTINELS, build_model, founding_dates, losses
-from comarca.plans.model import store_model, unplaced
+from comarca.plans.model import recover_codes, store_model, unplaced
 from comarca.sources import write_model
 
 # Fixed value: libraries are counted from this founding year on.
@@ -48,6 +48,9 @@ def study(
     domains = mail.library_domains(model["libraries"], "lib_id", "email", "dep_id")
     return {
         "summary_population_levels": departments.summary(dep, people, by_level, levels, bands),
+        "summary_totals": departments.totals(
+            dep, people, schools, by_level.withColumnRenamed("schools", "level_schools"), libraries
+        ),
         "libraries_since": departments.libraries_since(dep, recent),
         "integrate_departments": integrated,
         "top_email_domain": mail.top_domain(domains),
@@ -89,6 +92,7 @@ def run_study(
     and CSV. ``cleaning`` are the code widths and placeholders of ``build_model``. A stage reads what the one before has written, so a lost executor
     costs the tasks of one stage and nothing is cleaned or counted twice.
     """
+    registers, recovered = recover_codes(registers, **cleaning)
     model = build_model(registers, levels, date_formats=date_formats, **cleaning)
     stored = store_model(spark, model, f"{directory}/model")
     results: dict[str, DataFrame] = {}
@@ -98,6 +102,7 @@ def run_study(
             results[name] = write_model(df, f"{directory}/results", name)
         return results[name]
 
+    keep("recovered_codes", recovered)
     keep("unplaced", unplaced(registers, **cleaning))
     keep("losses", losses(registers, date_formats=date_formats, **cleaning))
     sentinels = cleaning.get("sentinels", SENTINELS)

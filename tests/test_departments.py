@@ -256,3 +256,20 @@ def test_correlation_of_a_constant_is_null(spark):
     df = spark.range(0, 1000, 1, 7).selectExpr("0.1D + 0 * id as x", "cast(id as double) as y")
     assert relationship.relationship_corr(df, "x", "y").first() == (1000, None)
     assert relationship.relationship_corr(df.where("y < 0"), "x", "y").first() == (0, None)
+
+
+def test_totals_of_every_grain(spark):
+    dep = spark.createDataFrame([(1, "a", 10), (2, "b", 10), (3, "c", 20), (4, "d", 30)], "dep_id int, dep_name string, prov_id int")
+    people = spark.createDataFrame([(1, 100), (1, 50), (2, None), (9, 1000)], "dep_id int, persons bigint")
+    schools = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (9, 1)], "dep_id int, schools bigint")
+    by_level = spark.createDataFrame(
+        [(1, "x", 1), (1, "y", 1), (2, "x", 1), (9, "x", 1), (3, None, 1)], "dep_id int, level_id string, level_schools bigint"
+    )
+    libraries = spark.createDataFrame([(3, 2), (None, 5)], "dep_id int, libraries bigint")
+    got = {tuple(r) for r in departments.totals(dep, people, schools, by_level, libraries).collect()}
+    assert got == {
+        ("country", None, None, 4, 150, 3, 2),
+        ("province", 10, None, 2, 150, 2, 0), ("province", 20, None, 1, 0, 1, 2), ("province", 30, None, 1, 0, 0, 0),
+        ("level", None, "x", None, None, 2, None), ("level", None, "y", None, None, 1, None),
+        ("province and level", 10, "x", None, None, 2, None), ("province and level", 10, "y", None, None, 1, None),
+    }
