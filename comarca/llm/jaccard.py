@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comarca.llm.common import salted_join, stored
 from comarca.llm.components import components
-from comarca.llm.shared import class_name, classes_of, shared_tokens
+from comarca.llm.shared import class_name, classes_of, shared_tokens, texts_of
 from comarca.llm.shingles import WORDS, shingle_sets
 
 # Similarity as a fraction, so that the comparison is one of whole numbers.
@@ -57,6 +58,22 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def _signed(texts: list[str | None], words: int):
+    for tokens in shingle_sets(texts, words):
+        yield _signature(tokens) if len(tokens) else None
+
+
+def _signature_column(text: Column, words: int) -> Column:
+    """A struct of n, 0 for a text without a shingle, and a and b as in ``_signatures``."""
+
+    @F.pandas_udf("n long, a long, b long")
+    def signature(texts: pd.Series) -> pd.DataFrame:
+        found = [(len(t), *_signature(t)) if len(t) else (0, 0, 0) for t in shingle_sets([t or None for t in texts], words)]
+        return pd.DataFrame(found, columns=["n", "a", "b"], dtype="int64")
+
+    return signature.asNondeterministic()(text)
+
+
 def _prefixes(docs: DataFrame, shift: int, words: int, at_least) -> DataFrame:
     """(token, x, pos, n): the prefix tokens that two classes or more have, and where they stand.
 
@@ -264,8 +281,8 @@ def similar_groups(
     - Null texts and texts without a word have no shingle and are linked with nothing.
     - Equal sets, such as copies and texts that differ in white space, are one class from the start
       and are never expanded into pairs. Repeated rows of one id come back as often as they are there.
-    - A null id is no name for a class: its document gets the component of its class's other documents,
-      else null. An id with several texts stands for each of them.
+    - A null id is no name for a component but links like any other: its document gets the smallest id reachable,
+      null if there is none. An id with several texts stands for each of them.
     - Texts of any length are read whole. Other columns may have any name. An empty table gives no rows.
 
     Joins with what grows with the input are merge joins at every size. Links are found on classes. In a few rounds every class is first compared to one other
@@ -273,12 +290,17 @@ def similar_groups(
     then all pairs that are left between different components are looked up by adaptive
     prefixes and verified. No link is lost: pairs are only skipped within a component.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim, labelled = _labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, at_least)
+    return _per_document(slim, labelled).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _labelled(docs: DataFrame, words: int, at_least) -> tuple[DataFrame, DataFrame]:
+    """The signatures of (id, text), and (a, b, copies, component_id, leads): one class of each component leads."""
     slim = _signatures(docs, words)
     classes, shift = classes_of(slim)
     prefixes = _prefixes(docs, shift, words, at_least)
-    wanted = stored(_hopeful(prefixes, at_least).join(classes.select("x", "rep").hint("merge"), "x"))
-    texts = stored(docs.join(wanted.hint("merge"), docs["id"] == wanted["rep"]).select("x", "text"))
+    wanted = stored(_hopeful(prefixes, at_least).join(classes.select("x", "rep", "a", "b").hint("merge"), "x"))
+    texts = stored(texts_of(docs, wanted, lambda texts: _signed(texts, words)).select("x", "text"))
     # The longest prefix of all, the whole set, for those that are left: enough of it must be shared.
     least = F.expr(f"(n * {at_least[0]} + {at_least[1] - 1}) div {at_least[1]}")
     counts = _shared_counts(texts, shift, words)
@@ -297,13 +319,17 @@ def similar_groups(
             .withColumn("root", F.coalesce("root", "x"))
         )
     named = classes.join(roots.withColumnRenamed("node", "x").hint("merge"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
-    labelled = salted_join(named, smallest, ["root"], "members", classes.count(), "x").select("a", "b", "copies", "component_id")
-    some = salted_join(slim.filter("n > 0"), stored(labelled), ["a", "b"], "copies", slim.count(), "id")
-    none = slim.filter("n = 0").withColumn("component_id", F.col("id"))
-    return some.select("id", "n", "component_id").union(none.select("id", "n", "component_id")).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"
+    smallest = named.groupBy("root").agg(
+        F.min("rep").alias("component_id"), F.min("x").alias("lead"), F.count("*").alias("members")
     )
+    labelled = salted_join(named, smallest, ["root"], "members", classes.count(), "x")
+    return slim, stored(labelled.select("a", "b", "copies", "component_id", (F.col("x") == F.col("lead")).alias("leads")))
+
+
+def _per_document(slim: DataFrame, labelled: DataFrame) -> DataFrame:
+    some = salted_join(slim.filter("n > 0"), labelled, ["a", "b"], "copies", slim.count(), "id")
+    none = slim.filter("n = 0").withColumn("component_id", F.col("id"))
+    return some.select("id", "n", "component_id").union(none.select("id", "n", "component_id"))
 
 
 def drop_similar(
@@ -313,7 +339,19 @@ def drop_similar(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The documents, all columns unchanged, whose id is the smallest of their component (see ``similar_groups``)."""
-    groups = similar_groups(docs, words, at_least, id_col, text_col)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"))
-    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """The documents, all columns unchanged, whose id is the smallest of their component (see ``similar_groups``).
+
+    Of a component none of whose documents has an id one row stays, and so do all rows without an id and
+    without a word.
+    """
+    slim, labelled = _labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, at_least)
+    kept = _per_document(slim, labelled).filter("id = component_id").select(F.col("id").alias("_kept"))
+    named = docs.join(kept.hint("merge"), docs[id_col] == kept["_kept"], "left_semi")
+    sign = "_near_copy_sign"
+    unnamed = docs.filter(F.col(id_col).isNull()).withColumn(sign, _signature_column(F.col(text_col), words))
+    empty = unnamed.filter(F.col(sign)["n"] == 0).drop(sign)
+    lone = labelled.filter("component_id is null and leads").select(F.struct("a", "b").alias("_lone"))
+    bits = F.struct(F.col(sign)["a"].alias("a"), F.col(sign)["b"].alias("b"))
+    signed = unnamed.filter(F.col(sign)["n"] > 0).withColumn(sign, bits)
+    first = signed.join(lone.hint("merge"), signed[sign] == lone["_lone"], "left_semi").dropDuplicates([sign]).drop(sign)
+    return named.unionByName(empty).unionByName(first)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comarca.llm.common import partitions, salted_join, slices, stored
-from comarca.llm.shared import class_name, classes_of, shared_tokens
+from comarca.llm.shared import class_name, classes_of, shared_tokens, texts_of
 from comarca.llm.shingles import mix
 from comarca.llm.suffixes import sorted_suffixes
 
@@ -92,8 +92,8 @@ def _repeated_anchors(docs: DataFrame, shift: int, length: int) -> DataFrame:
 
 def _texts(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows (x, ...) with the text of each x."""
-    named = stored(rows.join(classes.select("x", "rep").hint("merge"), "x"))
-    return docs.join(named.hint("merge"), docs["id"] == named["rep"]).drop("id", "rep")
+    named = stored(rows.join(classes.select("x", "rep", "a", "b").hint("merge"), "x"))
+    return texts_of(docs, named, lambda texts: (_digest(t.encode("utf-8", "surrogatepass")) for t in texts))
 
 
 def _snippets(texts: DataFrame, shift: int, length: int, shards: int) -> DataFrame:
@@ -226,8 +226,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     - Null and empty texts have no byte. Texts shorter than ``length`` keep all. Equal texts remove
       each other whole.
-    - Repeated rows of one id count as copies. A null id is allowed; a class all of whose ids are null is
-      not compared with others beyond its copies.
+    - Repeated rows of one id count as copies. Texts with a null id count like all others.
     - Texts of any length are read whole. Other columns may have any name. An empty table gives no rows.
 
     Equal texts are one class. Of each class the windows whose anchor occurs elsewhere

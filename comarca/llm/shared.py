@@ -27,7 +27,10 @@ def class_name(a: int, b: int, shift: int) -> int:
 
 
 def classes_of(slim: DataFrame) -> tuple[DataFrame, int]:
-    """(a, b, rep, n, copies, x): classes of rows (id, n, a, b) with n > 0 by their 128 bits, and the shift of their names."""
+    """(a, b, rep, n, copies, x): classes of rows (id, n, a, b) with n > 0 by their 128 bits, and the shift of their names.
+
+    ``rep`` is the smallest id, null if no document of the class has one.
+    """
     classes = stored(
         slim.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"))
     )
@@ -38,6 +41,28 @@ def classes_of(slim: DataFrame) -> tuple[DataFrame, int]:
     raise ValueError("no shift gives unique names")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, sign: Callable[[list[str | None]], Iterable[tuple[int, int] | None]]) -> DataFrame:
+    """The rows of ``wanted`` (a, b, rep, ...), without these three, and the text of each one's class.
+
+    It is fetched by the class's smallest id, or by its 128 bits, which ``sign`` makes, where none of its documents has an id.
+    An id with several texts brings all of them.
+    """
+
+    def signed(batches):
+        for batch in batches:
+            texts, found = batch.column("text").to_pylist(), {}
+            for text, bits in zip(texts, sign(texts)):
+                if bits is not None:
+                    found.setdefault(bits, text)
+            columns = [pa.array([bits[i] for bits in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found.values(), pa.string())], ["a", "b", "text"])
+
+    by_id = docs.join(wanted.hint("merge"), docs["id"] == wanted["rep"]).drop("id", "rep", "a", "b")
+    unnamed = docs.filter("id is null").select("text").mapInArrow(signed, "a long, b long, text string").dropDuplicates(["a", "b"])
+    by_bits = unnamed.join(wanted.filter("rep is null").hint("merge"), ["a", "b"]).drop("rep", "a", "b")
+    return by_id.unionByName(by_bits)
+
+
 def _planes(values: np.ndarray, dtype: str, keep: int) -> bytes:
     """The lowest bytes of each value, byte by byte, which compresses better than value by value."""
     return np.ascontiguousarray(values.astype(dtype).view(np.uint8).reshape(len(values), -1)[:, :keep].T).tobytes()

@@ -38,11 +38,12 @@ def brute(found):
     for i, (name, _) in enumerate(sets):
         if name is not None:
             smallest[top(i)] = min(name, smallest[top(i)] if smallest[top(i)] is not None else name)
-    return sorted((str(name), len(s), smallest[top(i)] if s else name) for i, (name, s) in enumerate(sets))
+    return sorted(((str(name), len(s), smallest[top(i)] if s else name) for i, (name, s) in enumerate(sets)), key=str)
 
 
 def got(df):
-    return sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in df.select("doc_id", "n_shingles", "component_id").collect())
+    rows = df.select("doc_id", "n_shingles", "component_id").collect()
+    return sorted(((str(r.doc_id), r.n_shingles, r.component_id) for r in rows), key=str)
 
 
 def test_equals_brute_force(spark):
@@ -109,3 +110,25 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     want = {(i, top(i)) for i in root if top(i) != i}
     assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_texts_without_an_id_link_others(spark):
+    rng = random.Random(3)
+    words = data.words(rng, 60).split()
+    changed = lambda some, at: [*some[:at], "other", *some[at + 1 :]]
+    middle = changed(words, 30)
+    chain = [words, middle, changed(middle, 40)]
+    assert [r[2] for r in brute([(1, " ".join(chain[0]), 0), (9, " ".join(chain[2]), 0)])] == [1, 9]
+    alone = data.words(rng, 60).split()
+    found = [(1, " ".join(chain[0])), (None, " ".join(chain[1])), (9, " ".join(chain[2])), (None, " ".join(chain[1]).upper())]
+    found += [(None, " ".join(alone)), (None, " ".join(changed(alone, 20))), (None, " ".join(alone)), (None, None), (None, " "), (4, "a b")]
+    docs = data.frame(spark, [(*r, None, f"s{i}", 0) for i, r in enumerate(found)])
+    assert got(similar_groups(docs)) == brute(found)
+    assert {r.component_id for r in similar_groups(docs).collect() if r.doc_id in (1, 9)} == {1}
+    kept = drop_similar(docs.withColumnsRenamed({"source": "a"}))
+    assert kept.columns == [c if c != "source" else "a" for c in docs.columns]
+    stays = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(map(str, [s for s in stays if s[0] is not None])) == sorted(map(str, [found[0], found[9]]))
+    unnamed = [t for name, t in stays if name is None]
+    assert len(unnamed) == 3 and sorted(map(str, unnamed))[0] == " " and None in unnamed
+    assert set(unnamed) - {None, " "} < {found[4][1], found[5][1]}

@@ -33,7 +33,17 @@ def check(spark, found, length=200):
 
 
 def test_all_awkward_rows(spark):
-    check(spark, [r if len(r[1] or "") < 20_000 else (r[0], r[1][:20_000], *r[2:]) for r in data.rows()])
+    check(spark, data.rows())
+
+
+def test_passages_that_only_texts_without_an_id_share(spark):
+    rng = random.Random(9)
+    passage, other = data.words(rng, 70), data.words(rng, 70)
+    some = lambda: data.words(rng, 20)
+    found = [(1, f"{some()} {passage} {some()}", None, None, 0), (None, f"{passage} {some()}", None, None, 0)]
+    found += [(None, f"{some()} {other}", None, None, 0), (None, f"{other} {some()}", None, None, 0), (2, some(), None, None, 0)]
+    found += [found[1], (3, f"{some()} {other}", None, None, 0)]
+    check(spark, found)
 
 
 @pytest.mark.parametrize("length", [32, 100, 255])
