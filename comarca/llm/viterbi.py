@@ -23,6 +23,9 @@ UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 400_000
 SLICE_CHARS = 2_000_000
 GRID_CELLS = 1 << 20
+# A longer word, as a text without spaces is, has no others of its length to advance with; its places are looked up together.
+LONG_WORD = 256
+PLACES = 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,6 +148,57 @@ class PieceModel:
             out[i] = self._with_bytes(words[i], flat[cuts[i] : cuts[i + 1]].tolist())
         return out
 
+    def segment_long(self, word: str) -> bytes:
+        """Ids of one word, the same as ``segment`` finds, in time and memory in proportion to its length.
+
+        The substrings before ``PLACES`` ends at a time are looked up together, one length of a piece
+        after the other; then only the hits take part in the maxima, end by end, with the same sums in the same order.
+        """
+        n = len(word)
+        codes = mix(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+        best, taken, back = [0.0] * (n + 1), np.full(n + 1, -1, np.int64), np.ones(n + 1, np.int32)
+        for low in range(1, n + 1, PLACES):
+            high = min(low + PLACES, n + 1)
+            ends, sizes, ids, scores = ([], [], [], [])
+            ahead = np.arange(low, high)
+            hashes = np.zeros(len(ahead), np.uint64)
+            for size in range(1, min(self.longest, high - 1) + 1):
+                if ahead[0] < size:
+                    ahead, hashes = ahead[1:], hashes[1:]
+                hashes = hashes + codes[ahead - size] * self.powers[size - 1]
+                if size in self.keys:
+                    keys = self.keys[size]
+                    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                    hit = np.flatnonzero(keys[at] == hashes)
+                    ends.append(ahead[hit])
+                    sizes.append(np.full(len(hit), size))
+                    ids.append(self.ids[size][at[hit]])
+                    scores.append(self.scores[size][at[hit]])
+            if ends:
+                ends, sizes, ids, scores = (np.concatenate(v) for v in (ends, sizes, ids, scores))
+                order = np.lexsort((-sizes, ends))
+                ends, sizes, ids, scores = (v[order] for v in (ends, sizes, ids, scores))
+            cuts = np.searchsorted(ends, np.arange(low, high + 1)).tolist()
+            size_of, score_of, chosen = list(map(int, sizes)), list(map(float, scores)), np.full(high - low, -1)
+            for end in range(low, high):
+                top, which = -np.inf, -1
+                for i in range(cuts[end - low], cuts[end - low + 1]):
+                    score = best[end - size_of[i]] + score_of[i]
+                    if score > top:
+                        top, which = score, i
+                if best[end - 1] + self.unknown_score > top:
+                    top, which = best[end - 1] + self.unknown_score, -1
+                best[end] = top
+                chosen[end - low] = which
+            some = np.flatnonzero(chosen >= 0)
+            if len(some):
+                taken[low + some], back[low + some] = ids[chosen[some]], sizes[chosen[some]]
+        steps, end = [], n
+        while end:
+            steps.append(int(taken[end]) if taken[end] >= 0 else -1 - end)
+            end -= int(back[end])
+        return self._with_bytes(word, steps[::-1])
+
     def _with_bytes(self, word: str, steps: list[int]) -> bytes:
         ids: list[int] = []
         for s in steps:
@@ -185,7 +239,10 @@ class PieceModel:
         for word in words:
             by_length.setdefault(len(word) + 1, []).append(word)
         for length, group in by_length.items():
-            lanes = max(1, GRID_CELLS // length)
+            if length > LONG_WORD:
+                self.words.update((w, self.segment_long(SPACE + w)) for w in group)
+                continue
+            lanes = GRID_CELLS // length
             for at in range(0, len(group), lanes):
                 run = group[at : at + lanes]
                 self.words.update(zip(run, self.segment([SPACE + w for w in run])))

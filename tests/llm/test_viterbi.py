@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -99,3 +100,22 @@ def test_documents(spark):
     want = sorted((r[0] or -1, zlib.crc32((r[1] or "").encode())) for r in found)
     assert sorted((r.doc_id or -1, r.decoded_crc32) for r in rows) == want
     assert sentencepiece_ids(data.empty(spark), PATH).collect() == []
+
+
+@pytest.mark.parametrize("alphabet", ["abcdeing", "日本語中文字学校生国", "a", "ab中ß🙂.\n" + LITERAL, "㐀"])
+def test_a_word_of_any_length_is_segmented_the_same_alone(model, alphabet, monkeypatch):
+    monkeypatch.setattr(viterbi, "PLACES", 100)
+    rng = random.Random(6)
+    for n in (1, 2, 99, 100, 101, 700):
+        word = SPACE + "".join(rng.choice(alphabet) for _ in range(n))
+        assert model.segment_long(word) == model.segment([word])[0]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnop", "日本語中文字学校生国"])
+def test_long_text_without_spaces(model, alphabet):
+    rng = random.Random(7)
+    text = "".join(rng.choice(alphabet) for _ in range(100_000))
+    begin = time.process_time()
+    ids = np.frombuffer(model.encode([text])[0], model.dtype)
+    assert time.process_time() - begin < 2
+    assert model.decode(ids) == text
