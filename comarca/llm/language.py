@@ -35,7 +35,7 @@ def labelled_sample(
 ) -> dict[str, str]:
     """At most ``texts`` excerpts of ``chars`` characters for each language of the labelled rows.
 
-    Rows are chosen by a hash of the id. The counts of all rows per language give the share
+    Rows, and the place in a text where its excerpt begins, are chosen by hashes of id and text. The counts of all rows per language give the share
     of hashes to look at, so that no more than a few hundred rows per language are sorted.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -48,6 +48,7 @@ def labelled_sample(
         [(lang, min(1.0, 4 * texts / n)) for lang, n in counts.items()], "lang string, share double"
     )
     h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31))
+    begin = F.pmod(F.xxhash64(F.lit("begin"), "id", "text"), F.greatest(F.char_length("text") - (chars - 1), F.lit(1))).cast("int") + 1
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     picked = (
         rows.withColumn("h", h)
@@ -55,7 +56,7 @@ def labelled_sample(
         .filter(F.col("h") < F.col("share") * (1 << 31))
         .withColumn("nth", first)
         .filter(F.col("nth") <= texts)
-        .select("lang", "nth", F.substring("text", 1, chars).alias("text"))
+        .select("lang", "nth", F.substring("text", begin, F.lit(chars)).alias("text"))
     )
     found: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.lang, r.nth)):
@@ -100,7 +101,10 @@ def _letters() -> np.ndarray:
 class CrossParser:
     """Counts, for each language, the phrases a text falls into when read with that language's sample.
 
-    A phrase is the longest piece that occurs in the sample. One table holds the automata of
+    A phrase is the longest piece that occurs in the sample; a text is parsed in windows of ``WINDOW`` symbols, each of
+    which starts a phrase in every language. In a sample of m symbols phrases of a text of its own language
+    are expected to be log m long, over the entropy, so a count times log m is the measure that samples of different
+    sizes have in common. One table holds the automata of
     all languages side by side; an entry is the row of the next state, with a bit set where
     the phrase ends and the symbol starts another one.
     """
@@ -112,8 +116,10 @@ class CrossParser:
         self.symbol[[ord(c) for c in alphabet]] = np.arange(2, 2 + len(alphabet))
         self.pad = 2 + len(alphabet)
         width, tables, self.start, rows = self.pad + 1, [], [], 0
+        self.weight = []
         for lang in self.languages:
             symbols, _ = self._symbols([samples[lang]])
+            self.weight.append(np.log(max(len(symbols), 2)))
             states = suffix_automaton(symbols.tolist())
             base = rows * width
             table = np.zeros((len(states), width), np.int32)
@@ -166,12 +172,12 @@ class CrossParser:
         return out
 
     def best(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The language with the fewest phrases, the first by name on a tie, and a score of 0 to 1."""
+        """The language with the fewest normalised phrases, the first by name on a tie, and a score of 0 to 1."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        counts = self.phrases(texts)
+        counts = self.phrases(texts) * np.array(self.weight)
         letters = counts[:, 0] > 0
-        order = np.sort(counts, axis=1).astype(float)
+        order = np.sort(counts, axis=1)
         with np.errstate(invalid="ignore"):
             score = order[:, 1] / (order[:, 0] + order[:, 1]) if counts.shape[1] > 1 else np.ones(len(texts))
         at = counts.argmin(1)
@@ -189,7 +195,7 @@ def predict(text: Column, samples: dict[str, str]) -> Column:
 
     Null texts and texts without a letter are ``und`` with score 0, and so is everything if
     there is no labelled sample. Otherwise the score is the share of the second best
-    language's phrases among those of the two best: 0.5 for a tie, 1 if there is one language.
+    language's normalised phrases among those of the two best: 0.5 for a tie, 1 if there is one language.
     Texts of any length are read whole. The samples (``SAMPLE_TEXTS`` times ``SAMPLE_CHARS``
     characters per language) travel with the function, each worker builds its automata once.
     """

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from comarca.llm.language import WINDOW, CrossParser, drop_unidentified, identify, suffix_automaton
+from comarca.llm.language import WINDOW, CrossParser, drop_unidentified, identify, labelled_sample, suffix_automaton
 from tests.llm import data
 
 
@@ -119,3 +119,30 @@ def test_only_wanted_languages(spark):
     assert sum(truth[i] == "de" for i in kept) >= 0.98 * len(kept) > 0
     assert len(kept) >= 0.98 * sum(v == "de" for v in truth.values())
     assert drop_unidentified(docs, least_score=1.01).count() == 0
+
+
+@pytest.mark.parametrize("few, chars", [(2, 300), (3, 60)])
+@pytest.mark.parametrize("rare", ["en", "de"])
+def test_a_language_with_few_or_short_labelled_texts(spark, rare, few, chars):
+    found, labelled = [], 0
+    for i, text, lang, source, n in training(300):
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang == rare:
+            labelled += 1
+            text, lang = text[:chars], lang if labelled <= few else None
+        found.append((i, text, lang, source, n))
+    truth = {r[0]: r[2] for r in training(300)}
+    got = [r for r in identify(data.frame(spark, found)).collect() if r.held_out]
+    for lang in ("en", "de"):
+        right = [r.lang_pred == lang for r in got if truth[r.doc_id] == lang]
+        assert len(right) > 20 and sum(right) >= 0.98 * len(right)
+
+
+def test_a_common_header_does_not_fill_the_samples(spark):
+    header = "this is the same notice in front of all pages of the site whatever the language of the page is " * 4
+    found = [(i, header + t + " " + t + " " + t, *rest) for i, t, *rest in training(200)]
+    samples = labelled_sample(data.frame(spark, found))
+    assert all(len(set(s.split("\n"))) > 40 for s in samples.values())
+    got = identify(data.frame(spark, found)).collect()
+    truth = {r[0]: r[2] for r in found}
+    held = [r.lang_pred == truth[r.doc_id] for r in got if r.held_out]
+    assert sum(held) >= 0.98 * len(held)
