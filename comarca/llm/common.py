@@ -11,9 +11,8 @@ from comarca.sources import work_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A key is hot if it holds at least this share of the rows, so there are at most HOT_SHARE hot keys.
+# A key is hot if it holds at least one in so many rows, or one in as many as there are shuffle partitions if those are more.
 HOT_SHARE = 256
-SALTS = 64
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +67,13 @@ def salted_join(
     """Inner join with the left rows of hot keys dealt over several tasks.
 
     ``right[weight]`` is the number of left rows of the key and ``total`` the number of all left
-    rows. At most ``HOT_SHARE`` keys can reach total / HOT_SHARE rows, so the broadcast list of hot
-    keys has at most so many rows at any size of input. A key is dealt over as many tasks, up
-    to ``SALTS``, as it has such shares, and its right rows are copied as often.
+    rows. A share is a task's mean part of them, or less, and no more keys can reach one than there are
+    shares, so the broadcast list of hot keys has at most as many rows as there are shuffle partitions,
+    or ``HOT_SHARE``. A key is dealt over as many tasks as it has shares, and its right rows are
+    copied as often: the copies of all hot keys are no more than the shares.
     """
-    salts = F.least(F.lit(SALTS), F.greatest(F.lit(1), F.expr(f"int({weight} * {HOT_SHARE} div {max(total, 1)})")))
+    shares = max(HOT_SHARE, partitions(left.sparkSession))
+    salts = F.greatest(F.lit(1), F.expr(f"int({weight} * {shares} div {max(total, 1)})"))
     hot = right.select(*keys, salts.alias("_salts")).filter("_salts > 1").groupBy(*keys).agg(F.max("_salts").alias("_salts"))
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(salt_by), "_salts"), F.lit(0)).cast("int")
