@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from comarca.llm.blocks import bytes_of, gathered, values_of
-from comarca.llm.common import SALTS, partitions, stored
+from comarca.llm.common import partitions, stored
 from comarca.llm.shingles import LOWER_CASE, mix
 
 UNKNOWN = "und"
 MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
+# The first of a language are found in so many parts of it before they meet.
+TOP_PARTS = 64
 # Text of a task that shares one list of words.
 UNIT_BYTES = 5_000_000
 # A tile is so many bits of left ids by so many of right ids; with this many entries it is counted by address.
@@ -344,7 +346,7 @@ def collocations(
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     if top is not None:  # the first of each of many parts of a language, before they meet
         part = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))
-        scored = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("nth", part)
+        scored = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS))).withColumn("nth", part)
         scored = scored.filter(F.col("nth") <= top).drop("salt", "nth")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
     scored = scored.withColumn("rank", rank)

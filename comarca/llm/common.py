@@ -38,6 +38,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_shares(spark: SparkSession) -> int:
+    """A key is hot if it holds more than one of so many shares of all rows; it is dealt over a task for each."""
+    return max(HOT_SHARE, partitions(spark))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -72,7 +77,7 @@ def salted_join(
     or ``HOT_SHARE``. A key is dealt over as many tasks as it has shares, and its right rows are
     copied as often: the copies of all hot keys are no more than the shares.
     """
-    shares = max(HOT_SHARE, partitions(left.sparkSession))
+    shares = hot_shares(left.sparkSession)
     salts = F.greatest(F.lit(1), F.expr(f"int({weight} * {shares} div {max(total, 1)})"))
     hot = right.select(*keys, salts.alias("_salts")).filter("_salts > 1").groupBy(*keys).agg(F.max("_salts").alias("_salts"))
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn(

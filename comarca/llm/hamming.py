@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from comarca.llm.common import HOT_SHARE, SALTS, stored
+from comarca.llm.common import hot_shares, stored
 
 BITS = 64
 
@@ -80,13 +80,13 @@ def nearest_codes(
     Codes are cut into segments. In round r all codes are met that differ from the query in exactly
     r bits of some segment. After it every code within segments * (r + 1) - 1 bits has been met, so a
     query is done once its kth distance is no larger. Rounds shuffle the open queries' probes only, and
-    a segment value with many codes is dealt over several tasks. Only the list of such values, at most
-    ``HOT_SHARE`` for each segment, is broadcast.
+    a segment value with many codes is dealt over as many tasks as it holds shares of them (``hot_shares``).
+    Only the list of such values, at most one a share for each segment, is broadcast.
     """
-    n = k + 1
+    n, shares = k + 1, hot_shares(rows.sparkSession)
     named = rows.select(F.col(id_col).alias("id"), F.col(code_col).alias("code")).dropna().distinct()
     first = F.row_number().over(Window.partitionBy("code", "deal").orderBy("id"))
-    dealt = named.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    dealt = named.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(shares)))
     # The smallest ids of a code, taken in each of many parts of it first.
     few = dealt.withColumn("nth", first).filter(F.col("nth") <= n).groupBy("code").agg(F.collect_list("id").alias("ids"))
     codes = stored(few.select("code", F.slice(F.array_sort("ids"), 1, n).alias("ids")))
@@ -100,12 +100,13 @@ def nearest_codes(
         size.alias("ids"),
         F.posexplode(F.array(*[_part(F.col("code"), a, b) for a, b in segments])).alias("segment", "part"),
     )
-    # At most HOT_SHARE values of a segment can hold that share of all codes, which are in it once each.
-    hot = index.groupBy("segment", "part").count().filter((F.col("count") > 1) & (F.col("count") * HOT_SHARE >= n_codes))
-    hot = F.broadcast(stored(hot.select("segment", "part", F.lit(True).alias("hot"))))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("code"), F.lit(SALTS))).otherwise(0).cast("int")
-    index = stored(index.join(hot, ["segment", "part"], "left").withColumn("salt", salt).drop("hot"))
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    # A code is in each segment once, so no more values of a segment can hold a share of all codes than there are shares.
+    tasks = F.expr(f"int(count * {shares} div {max(n_codes, 1)})").alias("tasks")
+    hot = index.groupBy("segment", "part").count().select("segment", "part", tasks).filter("tasks > 1")
+    hot = F.broadcast(stored(hot))
+    salt = F.coalesce(F.pmod(F.xxhash64("code"), "tasks"), F.lit(0)).cast("int")
+    index = stored(index.join(hot, ["segment", "part"], "left").withColumn("salt", salt).drop("tasks"))
+    salts = F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)
 
     open_ = stored(asked.select("query").distinct().withColumn("within", F.lit(BITS)))
     found, radius, settled = None, 0, []
@@ -118,7 +119,7 @@ def nearest_codes(
                 near = _at_radius(_part(F.col("query"), a, bits), bits, radius)
                 probe = open_.select("query", "within", F.lit(j).alias("segment"), F.explode(near).alias("part"))
                 probes = probe if probes is None else probes.union(probe)
-        probes = probes.join(hot, ["segment", "part"], "left").withColumn("salt", F.explode(salts)).drop("hot")
+        probes = probes.join(hot, ["segment", "part"], "left").withColumn("salt", F.explode(salts)).drop("tasks")
         differing = F.col("query").bitwiseXOR(F.col("code"))
         fresh = F.coalesce(
             *[F.when(F.col("segment") == j, _new_at(j, radius, segments, differing)) for j in range(len(segments))]
