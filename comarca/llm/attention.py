@@ -109,33 +109,53 @@ def _forward(p: dict[str, np.ndarray], seen: np.ndarray) -> tuple:
     return x, q, k, v, weight, z, h, h @ p["out"] + p["bigram"][seen]
 
 
-def _gradients(p: dict[str, np.ndarray], seen: np.ndarray, next_: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-    x, q, k, v, weight, z, h, logits = _forward(p, seen)
-    scale = np.float32(WIDTH**-0.5)
-    d = _softmax(logits)
-    np.put_along_axis(d, next_[..., None], np.take_along_axis(d, next_[..., None], 2) - 1, 2)
-    d *= (real / max(real.sum(), 1)).astype(np.float32)[..., None]
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    order = np.argsort(seen, axis=None, kind="stable")
-    classes, starts = np.unique(seen.ravel()[order], return_index=True)
+def _row_sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The rows added up by their place among ``n``."""
+    width = rows.shape[1]
+    cell = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(cell, rows.ravel(), n * width).reshape(n, width).astype(rows.dtype)
 
-    def by_class(a):
-        out = np.zeros((INPUTS, a.shape[-1]), a.dtype)
-        out[classes] = np.add.reduceat(flat(a)[order], starts)
-        return out
 
-    g = {"out": flat(h).T @ flat(d), "bigram": by_class(d)}
+def _gradients(p: dict[str, np.ndarray], seen: np.ndarray, next_: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+    """Those of the mean loss of the real places; logits are made for these alone, the others are context.
+
+    Equal to those of ``_forward`` but for the limit.
+    """
+    flat = lambda a: a.reshape(-1, a.shape[-1])
+    n, scale = max(int(real.sum()), 1), np.asarray(WIDTH**-0.5, p["embed"].dtype)
+    where, all_seen = np.flatnonzero(real), seen.ravel()
+    x = p["embed"][seen] + p["place"]
+    projections = np.concatenate([p["query"], p["key"], p["value"]], 1)
+    q, k, v = (part.reshape(x.shape) for part in np.split(flat(x) @ projections, 3, 1))
+    weight = (q * scale) @ k.transpose(0, 2, 1)
+    np.clip(weight, -LIMIT, LIMIT, out=weight)
+    weight += _MASK
+    np.exp(weight, out=weight)
+    weight /= (weight @ np.ones(WINDOW, weight.dtype))[..., None]
+    z = weight @ v
+    z_real = flat(z)[where]
+    h = flat(x)[where] + z_real @ p["mix"]
+    d = h @ p["out"]
+    d += p["bigram"][all_seen[where]]
+    np.clip(d, -LIMIT, LIMIT, out=d)
+    np.exp(d, out=d)
+    d *= (1 / (d @ np.ones(CLASSES, d.dtype)) / n).astype(d.dtype)[:, None]
+    d[np.arange(len(where)), next_.ravel()[where]] -= 1 / n
+    g = {"out": h.T @ d, "bigram": _row_sums(all_seen[where], d, INPUTS)}
     dh = d @ p["out"].T
-    g["mix"] = flat(z).T @ flat(dh)
-    dz = dh @ p["mix"].T
-    dweight = dz @ v.transpose(0, 2, 1)
-    dscore = weight * (dweight - (dweight * weight).sum(-1, keepdims=True)) * scale
-    dq, dk, dv = dscore @ k, dscore.transpose(0, 2, 1) @ q, weight.transpose(0, 2, 1) @ dz
-    dx = dh.copy()
-    for name, part in (("query", dq), ("key", dk), ("value", dv)):
-        g[name] = flat(x).T @ flat(part)
-        dx += part @ p[name].T
-    g["embed"] = by_class(dx)
+    g["mix"] = z_real.T @ dh
+    dz, dx = np.zeros_like(x), np.zeros_like(x)
+    flat(dz)[where] = dh @ p["mix"].T
+    flat(dx)[where] = dh
+    dscore = dz @ v.transpose(0, 2, 1)
+    dscore -= (dz * z).sum(-1, keepdims=True)  # the mean of the row under its weights
+    dscore *= weight
+    dscore *= scale
+    dv = weight.transpose(0, 2, 1) @ dz
+    parts = np.concatenate([flat(dscore @ k), flat(dscore.transpose(0, 2, 1) @ q), flat(dv)], 1)
+    g |= zip(("query", "key", "value"), np.split(flat(x).T @ parts, 3, 1))
+    dx += (parts @ projections.T).reshape(x.shape)
+    g["embed"] = _row_sums(all_seen, flat(dx), INPUTS)
     g["place"] = dx.sum(0)
     return g
 
@@ -169,9 +189,18 @@ def fit(model: Model, rows: np.ndarray, first_step: int, steps: int, total: int)
         at = rows[order[np.arange((step - 1) * size, step * size) % len(rows)]]
         rate = RATE * min(1, step / 20) * (1 - (first_step + step) / (total + 1))
         for k, g in _gradients(parts, *_unpacked(model.words, at)).items():
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            parts[k] -= (rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            first[k] *= np.float32(0.9)
+            first[k] += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            second[k] *= np.float32(0.99)
+            second[k] += g
+            np.sqrt(second[k], out=g)
+            g *= np.float32((1 - 0.99**step) ** -0.5)
+            g += np.float32(1e-8)
+            np.divide(first[k], g, out=g)
+            g *= np.float32(rate / (1 - 0.9**step))
+            parts[k] -= g
     return parts
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +217,8 @@ def _fitted(tokens: DataFrame, width: int, words: Vocabulary, pairs: np.ndarray,
 def _round(texts: DataFrame, width: int, model: Model, nth: int, parts: int, shards: int) -> dict[str, np.ndarray]:
     words, end, steps = model.words, model.end, STEPS // ROUNDS
     names = sorted(model.parts)
+    # What is in a class takes no part in the fit, so the counts stay here.
+    fitting = replace(model, within=np.empty(0, np.float32))
     # Pieces of the weights, each summed by one task.
     pieces = 16
 
@@ -261,7 +264,7 @@ def _round(texts: DataFrame, width: int, model: Model, nth: int, parts: int, sha
 
     def added(total, weight, held):
         rows = np.frombuffer(b"".join(held), "<i2").reshape(-1, WINDOW + 3)
-        fitted = fit(model, rows, nth * steps, steps, STEPS)
+        fitted = fit(fitting, rows, nth * steps, steps, STEPS)
         return total + len(rows) * np.concatenate([fitted[n].ravel() for n in names]).astype(float), weight + len(rows)
 
     def mean(batches):
