@@ -588,6 +588,18 @@ def q_relationship_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_relationship_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(
+        relationship.relationship_kendall(_integrated(spark, sf_dir), "schools", "libraries"), "tau"
+    )
+
+
+def q_relationship_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = relationship.log_rates(_integrated(spark, sf_dir))
+    found = relationship.relationship_interval(points, "dep_id", "log_schools", "log_libraries")
+    return _rounded(found, "low", "high")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: population, schools and libraries of every department."""
     return q_integrate_departments(spark, "/root/testdata/sf0.001")
@@ -1243,6 +1255,36 @@ def library_sql() -> dict[str, str]:
                      rank() over (order by libraries) + (count(*) over (partition by libraries) - 1) / 2.0 as b
               from integrated)
             select count(*) as n, round(corr(a, b), 6) as rho from ranked""",
+        "relationship_kendall": f"""
+            with {_INTEGRATED},
+            pairs as (
+              select sign(a.schools - b.schools) as x, sign(a.libraries - b.libraries) as y
+              from integrated a join integrated b on a.dep_id < b.dep_id)
+            select (select count(*) from integrated) as n,
+                   round(cast(sum(x * y) as double)
+                         / nullif(sqrt(cast(sum(x * x) as double)) * sqrt(cast(sum(y * y) as double)), 0), 6) as tau
+            from pairs""",
+        "relationship_interval": f"""
+            with {_RATES},
+            points as (select dep_id, log10(s) as x, log10(l) as y from rates where s > 0 and l > 0),
+            digests as (
+              select x, y, four, md5('7:' || dep_id || ':' || four) as digest
+              from points, unnest(range(50)) as t(four)),
+            draws as (
+              select x, y, four * 4 + nth as replicate, cast('0x' || substr(digest, cast(1 + 8 * nth as bigint), 8) as bigint) as u
+              from digests, unnest(range(4)) as t(nth)),
+            weighted as (
+              select x, y, replicate, {" + ".join(f"(u >= {upto})::int" for upto in relationship.POISSON_UPTO)} as w from draws),
+            sums as (
+              select replicate, cast(sum(w) as double) as n, sum(w * x) as a, sum(w * y) as b,
+                     sum(w * x * x) as aa, sum(w * y * y) as bb, sum(w * x * y) as ab
+              from weighted group by replicate),
+            found as (
+              select 'r' as statistic, (n * ab - a * b) / nullif(sqrt((n * aa - a * a) * (n * bb - b * b)), 0) as value from sums
+              union all select 'slope', (n * ab - a * b) / nullif(n * aa - a * a, 0) from sums)
+            select statistic, count(value) as n_replicates, round(quantile_cont(value, 0.025), 6) as low,
+                   round(quantile_cont(value, 0.975), 6) as high
+            from found group by statistic""",
         "relationship_corr": f"""
             with {_INTEGRATED}
             select count(*) as n, round(covar_pop(schools, libraries)

@@ -70,6 +70,10 @@ def study(
         "relationship_spearman": relationship.relationship_spearman(
             integrated, "schools", "libraries"
         ),
+        "relationship_kendall": relationship.relationship_kendall(integrated, "schools", "libraries"),
+        "relationship_interval": relationship.relationship_interval(
+            relationship.loglog_points(integrated), "dep_id", "log_schools", "log_libraries"
+        ),
         "relationship_corr": relationship.relationship_corr(
             relationship.rates(integrated), "schools_per_1000", "libraries_per_1000"
         ),

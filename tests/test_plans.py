@@ -21,7 +21,7 @@ def plan(spark):
 
 
 # These order sums of provinces, or distinct counts, in one task: neither grows with the registers.
-ORDERS_SUMS = {"rank_provinces", "relationship_spearman"}
+ORDERS_SUMS = {"rank_provinces", "relationship_spearman", "relationship_kendall"}
 SLOW = ("build_model", "check_model", "scan_csv", "scan_csv_latin1", "sink_model_csv")
 # These return the rules they have found, a row each, and no plan of the search.
 SLOW += ("discover_rules_part", "discover_rules_lineitem")
