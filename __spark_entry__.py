@@ -23,7 +23,7 @@ from comarca.functions import (
     regex_clean,
     standardize_id,
 )
-from comarca.operators import cleaning, departments, discovery, distribution, joins, mail, modelling
+from comarca.operators import cleaning, departments, discovery, distribution, formats, joins, mail, modelling
 from comarca.operators import placement, refresh, relationship, selection, synthesis
 from comarca.plans import checks, model, roles
 from comarca.sources import CORRUPT, SCHEMAS, register_model, scan_csv, store, table
@@ -600,6 +600,31 @@ def q_relationship_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, "low", "high")
 
 
+def _as_received(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Two registers with dates in several formats and placeholders among them."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    founded = (
+        F.when(key % 50 == 0, "s/d").when(key % 3 == 0, F.date_format(day, "dd/MM/yyyy"))
+        .when(key % 3 == 1, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "yyyy"))
+    )
+    status = F.when(key % 40 == 0, "N/A").otherwise(F.concat(F.col("o_orderstatus"), F.lit("-"), (key % 7000).cast("string")))
+    key, day = F.col("l_orderkey"), F.col("l_shipdate")
+    opened = F.when(key % 30 == 0, "99/99/9999").when(key % 2 == 0, F.date_format(day, "yyyy.MM.dd")).otherwise(F.date_format(day, "d/M/yyyy"))
+    return {
+        "schools": table(spark, sf_dir, "orders").select(founded.alias("founded"), status.alias("code")),
+        "libraries": table(spark, sf_dir, "lineitem").select(opened.alias("opened"), F.col("l_returnflag").alias("flag")),
+    }
+
+
+def q_mine_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats and placeholders of the text columns of two registers."""
+    found = [
+        formats.mine_formats(df, df.columns).select(F.lit(name).alias("register"), "*")
+        for name, df in _as_received(spark, sf_dir).items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: population, schools and libraries of every department."""
     return q_integrate_departments(spark, "/root/testdata/sf0.001")
@@ -1255,6 +1280,48 @@ def library_sql() -> dict[str, str]:
                      rank() over (order by libraries) + (count(*) over (partition by libraries) - 1) / 2.0 as b
               from integrated)
             select count(*) as n, round(corr(a, b), 6) as rho from ranked""",
+        "mine_formats": r"""
+            with texts as (
+              select 'schools' as register, 'founded' as column_name,
+                     case when o_orderkey % 50 = 0 then 's/d' when o_orderkey % 3 = 0 then strftime(o_orderdate, '%d/%m/%Y')
+                          when o_orderkey % 3 = 1 then strftime(o_orderdate, '%Y-%m-%d') else strftime(o_orderdate, '%Y') end as value
+              from orders
+              union all
+              select 'schools', 'code', case when o_orderkey % 40 = 0 then 'N/A' else o_orderstatus || '-' || (o_orderkey % 7000) end from orders
+              union all
+              select 'libraries', 'opened',
+                     case when l_orderkey % 30 = 0 then '99/99/9999' when l_orderkey % 2 = 0 then strftime(l_shipdate, '%Y.%m.%d')
+                          else strftime(l_shipdate, '%-d/%-m/%Y') end
+              from lineitem
+              union all select 'libraries', 'flag', l_returnflag from lineitem),
+            shaped as (
+              select register, column_name, value,
+                     regexp_replace(regexp_replace(regexp_replace(value, '\p{Nd}', '9', 'g'), '\p{Ll}', 'a', 'g'), '[\p{Lu}\p{Lt}\p{Lo}\p{Lm}]', 'A', 'g') as p0
+              from texts where value is not null),
+            wider as (
+              select *, regexp_replace(regexp_replace(regexp_replace(p0, '9+', '9+', 'g'), 'a+', 'a+', 'g'), 'A+', 'A+', 'g') as p1,
+                     count(*) over (partition by register, column_name) as total,
+                     count(*) over (partition by register, column_name, p0) as n0
+              from shaped),
+            kinds as (
+              select register, column_name, p0, count(distinct value) as different from shaped group by all),
+            most as (select register, column_name, max(different) as most from kinds group by all),
+            judged as (
+              select w.*, regexp_replace(p1, '([9aA][+])+', 'w+', 'g') as p2,
+                     different = 1 and most > 1 and n0 >= total * 0.005 as is_placeholder,
+                     n0 >= total * 0.02 or (different = 1 and most > 1 and n0 >= total * 0.005) as ok0
+              from wider w join kinds using (register, column_name, p0) join most using (register, column_name)),
+            one as (
+              select *, not ok0 and count(*) filter (where not ok0) over (partition by register, column_name, p1) >= total * 0.02 as ok1
+              from judged),
+            two as (
+              select *, not ok0 and not ok1 and count(*) filter (where not ok0 and not ok1)
+                     over (partition by register, column_name, p2) >= total * 0.02 as ok2
+              from one)
+            select register, column_name, cast(case when ok0 then 0 when ok1 then 1 when ok2 then 2 else 3 end as bigint) as level,
+                   case when ok0 then p0 when ok1 then p1 when ok2 then p2 else '*' end as pattern,
+                   count(*) as n_rows, count(distinct value) as n_values, min(value) as example, is_placeholder
+            from two group by all""",
         "relationship_kendall": f"""
             with {_INTEGRATED},
             pairs as (
