@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,6 +15,10 @@ from comarca.sources import store, work_folder
 
 # Rows that may refute a key or a dependency before all rows are asked.
 PROBE_ROWS = 5_000
+# Of so many values of a column one is asked with all its rows, before all values are.
+EVERY_VALUE = 128
+# Rows times sets of columns that one task groups.
+TASK_CELLS = 500_000
 
 
 def discover_references(
@@ -102,16 +107,25 @@ class Rules:
 Wanted = Mapping[tuple[str, ...], set[str]]
 
 
-def _tested(df: DataFrame, wanted: Wanted) -> dict[tuple[str, ...], tuple[int, set[str]]]:
+def _tested(
+    df: DataFrame, wanted: Wanted, lead: str | None = None, tasks: int = 1
+) -> dict[tuple[str, ...], tuple[int, set[str]]]:
     """For each set of columns the rows of its largest group, and which of the columns asked for it determines.
 
     One aggregation for all sets, over rows of fixed width: the set, 128 bits of its values, and 64 bits
     of each column asked for. A group has one value of a column if the smallest and the largest agree.
     Numbers per set are all that comes back.
+
+    With ``lead``, a column of every set, the table's own rows are dealt out by it to ``tasks`` tasks, and
+    each task groups what it has by all sets: a row is moved once, not once per set.
     """
     sets = [(s, sorted(rest)) for s, rest in wanted.items()]
     slots = max(len(rest) for _, rest in sets)
     used = sorted({c for s, rest in sets for c in (*s, *rest)})
+    own = []
+    if lead:
+        own = ["_lead"]
+        df = df.select(F.hash(lead).alias("_lead"), *used).repartition(tasks, "_lead")
     # A hash passes over NULL, so whether there is one is hashed too.
     halves = [F.xxhash64(F.lit(salt), c, F.col(c).isNull()).alias(f"{c} {salt}") for c in used for salt in (0, 1)]
 
@@ -123,7 +137,7 @@ def _tested(df: DataFrame, wanted: Wanted) -> dict[tuple[str, ...], tuple[int, s
         asked = [F.col(f"`{c} 0`") for c in rest] + [F.lit(0).cast("bigint")] * (slots - len(rest))
         named = [v.alias(f"v{j}") for j, v in enumerate(asked)]
         cells.append(F.struct(F.lit(i).alias("i"), half(s, 0).alias("x"), half(s, 1).alias("y"), *named))
-    groups = df.select(*halves).select(F.inline(F.array(*cells))).groupBy("i", "x", "y").agg(
+    groups = df.select(*own, *halves).select(*own, F.inline(F.array(*cells))).groupBy(*own, "i", "x", "y").agg(
         F.count(F.lit(1)).alias("n"),
         *[f(f"v{j}").alias(f"{name}{j}") for j in range(slots) for f, name in ((F.min, "low"), (F.max, "high"))],
     )
@@ -146,11 +160,12 @@ class _Probes:
     """Some rows of a table, by which most rules are refuted before all rows are asked.
 
     A few thousand rows refute what few values decide. For the rest two rows must agree in columns of many
-    values, so for each column all rows of some of its values are kept, chosen by hash.
+    values, so for each column all rows of some of its values are kept, chosen by hash. What these leave is
+    asked of more values of a column, and last of all rows.
     """
 
     def __init__(self, df: DataFrame, columns: Sequence[str], n_rows: int, probe_rows: int):
-        self.columns, self.size = columns, probe_rows
+        self.rows, self.columns, self.n_rows, self.size = df, columns, n_rows, probe_rows
         every = F.lit(max(1, n_rows // probe_rows))
         chosen = [F.when(F.pmod(F.xxhash64(c), every) == 0, F.lit(i)) for i, c in enumerate(columns)]
         lead = F.explode(F.filter(F.array(*chosen), lambda i: i.isNotNull())).alias("_lead")
@@ -159,17 +174,49 @@ class _Probes:
         self.any = store(_spread(df.limit(probe_rows)), work_folder(spark), "any")
         values = df.agg(*[F.approx_count_distinct(c) for c in columns]).first()
         self.n_values = dict(zip(columns, values))
+        # About the share of the rows that a column's most frequent value has; it only decides how rows are dealt out.
+        cells = [F.struct(F.lit(i).alias("i"), F.hash(c).alias("x")) for i, c in enumerate(columns)]
+        counts = df.sample(min(1.0, 20 * probe_rows / n_rows), seed=0).select(F.inline(F.array(*cells))).groupBy("i", "x").count()
+        shares = counts.groupBy("i").agg((F.max("count") / F.sum("count")).alias("share")).collect()
+        self.share = dict.fromkeys(columns, 1.0) | {columns[row["i"]]: row["share"] for row in shares}
 
     def left(self, wanted: Wanted) -> Wanted:
         """The sets that may still be a key or determine one of the columns they are asked for."""
         wanted = self._after(self.any, wanted)
-        by_lead: dict[str, dict] = {}
-        for s, rest in wanted.items():
-            by_lead.setdefault(max(s, key=self.n_values.__getitem__), {})[s] = rest
-        out = {}
-        for c, part in by_lead.items():
+        left = {}
+        for c, part in self._by_lead(wanted).items():
             rows = self.alike.where(F.col("_lead") == self.columns.index(c)).drop("_lead")
-            out |= self._after(_spread(rows.limit(4 * self.size)), part)  # a frequent value can be in it
+            left |= self._after(_spread(rows.limit(4 * self.size)), part)  # a frequent value can be in it
+        if self.n_rows < 4 * self.size * EVERY_VALUE:
+            return left
+        out = {}
+        for c, part in self._by_lead(left).items():
+            out |= self._after(self.rows.where(F.pmod(F.xxhash64(c), F.lit(EVERY_VALUE)) == 0), part)
+        return out
+
+    def settled(self, wanted: Wanted) -> dict[tuple[str, ...], tuple[int, set[str]]]:
+        """What all rows say of the sets, as ``_tested`` gives it."""
+        least = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = {}
+        for lead, part in self._dealt(wanted).items():
+            found |= _tested(self.rows, part, lead, max(least, self.n_rows * len(part) // TASK_CELLS))
+        return found
+
+    def _by_lead(self, wanted: Wanted) -> dict[str, Wanted]:
+        """The sets by their column of most values."""
+        out: dict[str, dict] = {}
+        for s, rest in wanted.items():
+            out.setdefault(max(s, key=self.n_values.__getitem__), {})[s] = rest
+        return out
+
+    def _dealt(self, wanted: Wanted) -> dict[str | None, Wanted]:
+        """The sets by few columns that deal the rows out evenly; under None those that have no such column."""
+        left, out = dict(wanted), {}
+        while left:
+            cells = self.n_rows * len(left)
+            in_sets = Counter(c for s in left for c in s if self.share[c] * cells <= 4 * TASK_CELLS)
+            lead = max(in_sets, key=lambda c: (in_sets[c], self.n_values[c]), default=None)
+            out[lead] = {s: left.pop(s) for s in list(left) if lead is None or lead in s}
         return out
 
     def _after(self, rows: DataFrame, wanted: Wanted) -> Wanted:
@@ -194,9 +241,9 @@ def discover_rules(
 
     The lattice of column sets is searched level by level. A set that holds a key, or a column that its
     others determine, cannot be minimal and is left out with all above it. The others of a level are
-    tested together, in one aggregation: first on some rows, which can only refute, then what is
-    left on all rows, so the full test is made for little more than the rules that hold. Values of a
-    set are told apart by 128-bit hashes.
+    tested together: first on some rows, which can only refute, then what is left on all rows, so the
+    full test is made for little more than the rules that hold. For that the rows are dealt out by a
+    few columns, not once per set. Values of a set are told apart by 128-bit hashes.
     """
     columns = list(columns or df.columns)
     if len(columns) > 63:
@@ -222,7 +269,7 @@ def discover_rules(
             wanted = probes.left(wanted)
         if not wanted:
             continue
-        found = _tested(df, wanted)
+        found = probes.settled(wanted) if probes else _tested(df, wanted)
         for s, rest in wanted.items():
             most, holds = found[s]
             if most == 1:

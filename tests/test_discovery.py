@@ -3,6 +3,7 @@ from itertools import combinations
 
 import pytest
 
+from comarca.operators import discovery
 from comarca.operators.discovery import Rules, discover_references, discover_rules
 from comarca.operators.synthesis import closure, decompose, minimal_cover, recombine, synthesize
 
@@ -52,6 +53,29 @@ def test_rules_equal_brute_force(spark, n, probe):
     assert len(found.dependencies) == len(dependencies)
 
 
+@pytest.mark.parametrize("cells", [1_000_000, 40])
+def test_rows_dealt_out_by_a_column_equal_brute_force(spark, monkeypatch, cells):
+    """With few cells allowed in a task only even columns deal rows out, and the other sets go on their own."""
+    monkeypatch.setattr(discovery, "EVERY_VALUE", 2)
+    monkeypatch.setattr(discovery, "TASK_CELLS", cells)
+    rows = relation(3, 150)
+    found = discover_rules(spark.createDataFrame(rows, TYPES), largest=3, probe_rows=7)
+    keys, dependencies = brute_rules(rows, COLUMNS, 3)
+    assert set(found.keys) == keys and set(found.dependencies) == dependencies
+
+
+def test_rows_are_dealt_out_once_for_all_sets(spark, monkeypatch):
+    rows = relation(4, 150)
+    df = spark.createDataFrame(rows, TYPES)
+    sets = [s for s in combinations(COLUMNS[:6], 3) if "city" in s]  # city has NULL
+    wanted = {s: set(COLUMNS) - set(s) for s in sets}
+    dealt = []
+    one = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *by: dealt.append((self.count(), by)) or one(self, *by))
+    assert discovery._tested(df, wanted, "city", 4) == discovery._tested(df, wanted)
+    assert dealt == [(150, (4, "_lead"))]
+
+
 def test_repeated_rows_leave_no_key(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "a int, b string")
     found = discover_rules(df)
