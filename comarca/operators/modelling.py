@@ -108,34 +108,66 @@ def fd_profile(
     ``n_violating`` groups of ``lhs`` have several values of ``rhs``: zero means
     that the dependency holds. ``n_repeated`` groups have several rows: zero
     means that ``lhs`` is itself a candidate key. NULL counts as a value.
+
+    A row is a few numbers per ``lhs``: 128 bits of its values, and 64 bits of each
+    ``rhs``, of which a group keeps the smallest and the largest. Rows are dealt out
+    before, as a single task may read a whole file of short rows and would keep all
+    their groups.
     """
+    asked: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for lhs, rhs in dependencies:
+        asked.setdefault(tuple(lhs), []).append(tuple(rhs))
+    slots = range(max(len(sides) for sides in asked.values()))
+    used = sorted({c for lhs, rhs in dependencies for c in (*lhs, *rhs)})
 
-    def values(cols: Sequence[str]) -> Column:
-        return F.array(*[F.col(c).cast("string") for c in cols])
+    def bits(salt: int, cols: Sequence[str]) -> Column:
+        # A hash passes over NULL, so whether there is one is hashed too.
+        cells = [(F.col(c).cast("string"), F.col(c).isNull()) for c in cols]
+        return F.xxhash64(F.lit(salt), *[part for cell in cells for part in cell])
 
-    def label(side: int) -> Column:
-        names = F.array(*[F.lit(",".join(d[side])) for d in dependencies])
-        return F.get(names, F.col("test"))
+    def label(names: Sequence[str | None]) -> Column:
+        return F.get(F.array(*[F.lit(n).cast("string") for n in names]), F.col("test"))
 
     tested = [
-        F.struct(F.lit(i).alias("test"), values(lhs).alias("x"), values(rhs).alias("y"))
-        for i, (lhs, rhs) in enumerate(dependencies)
+        F.struct(
+            F.lit(i).alias("test"),
+            bits(0, lhs).alias("x"),
+            bits(1, lhs).alias("x_more"),
+            *[bits(2, sides[j] if j < len(sides) else ()).alias(f"y{j}") for j in slots],
+        )
+        for i, (lhs, sides) in enumerate(asked.items())
     ]
-    return (
-        df.select(F.inline(F.array(*tested)))
-        .groupBy("test", "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("test", "x")
-        .agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_rows"))
-        .groupBy("test")
+    # Rows that are alike go to one task only as far as one task has read them.
+    place = F.hash(F.spark_partition_id(), *[F.col(c).cast("string") for c in used])
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = (
+        df.select(*used, place.alias("_place"))
+        .repartition(tasks, "_place")
+        .select(F.inline(F.array(*tested)))
+        .groupBy("test", "x", "x_more")
         .agg(
-            F.count(F.lit(1)).alias("n_groups"),
-            F.count_if(F.col("n_values") > 1).alias("n_violating"),
-            F.count_if(F.col("n_rows") > 1).alias("n_repeated"),
+            F.count(F.lit(1)).alias("n_rows"),
+            *[f(f"y{j}").alias(f"{name}{j}") for j in slots for f, name in ((F.min, "low"), (F.max, "high"))],
         )
-        .select(
-            label(0).alias("lhs"), label(1).alias("rhs"), "n_groups", "n_violating", "n_repeated"
+    )
+    counts = groups.groupBy("test").agg(
+        F.count(F.lit(1)).alias("n_groups"),
+        F.count_if(F.col("n_rows") > 1).alias("n_repeated"),
+        *[F.count_if(F.col(f"low{j}") != F.col(f"high{j}")).alias(f"n{j}") for j in slots],
+    )
+    sides = [
+        F.struct(
+            label([",".join(rhs[j]) if j < len(rhs) else None for rhs in asked.values()]).alias("rhs"),
+            F.col(f"n{j}").alias("n_violating"),
+        )
+        for j in slots
+    ]
+    return (
+        counts.select(
+            label([",".join(lhs) for lhs in asked]).alias("lhs"), "n_groups", "n_repeated", F.inline(F.array(*sides))
         )
+        .where("rhs is not null")
+        .select("lhs", "rhs", "n_groups", "n_violating", "n_repeated")
     )
 
 

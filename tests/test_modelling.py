@@ -1,3 +1,5 @@
+import random
+
 from comarca.operators import modelling
 
 
@@ -75,3 +77,36 @@ def test_foreign_key_reports_both_sides(spark):
     assert rows(modelling.check_foreign_key(child, "k", parent, "id")) == [
         (2, "childless", 1), (7, "orphan", 2)
     ]
+
+
+def profile(table, columns, dependencies):
+    out = set()
+    for lhs, rhs in dependencies:
+        groups = {}
+        for row in table:
+            cells = dict(zip(columns, row))
+            groups.setdefault(tuple(cells[c] for c in lhs), []).append(tuple(cells[c] for c in rhs))
+        several = sum(len(set(values)) > 1 for values in groups.values())
+        repeated = sum(len(values) > 1 for values in groups.values())
+        out.add((",".join(lhs), ",".join(rhs), len(groups), several, repeated))
+    return out
+
+
+def test_profile_equals_brute_force(spark):
+    rng = random.Random(3)
+    table = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "", "x", "y"]), i // 3, rng.random() > 0.5) for i in range(90)]
+    df = spark.createDataFrame(table, "a int, b string, c int, d boolean")
+    dependencies = [(["a"], ["b"]), (["a"], ["d"]), (["a", "b"], ["c"]), (["c"], ["a", "b"]), (["b"], ["a"]), (["c"], ["c"])]
+    got = {tuple(r) for r in modelling.fd_profile(df, dependencies).collect()}
+    assert got == profile(table, "abcd", dependencies)
+
+
+def test_profile_deals_rows_out_before_it_groups_them(spark):
+    """One task reads the rows; else it would keep a group for each row and dependency."""
+    df = spark.range(1000).coalesce(1).selectExpr("id as a", "id % 7 as b", "id % 3 as c")
+    groups = modelling.fd_profile(df, [(["a"], ["b"]), (["b"], ["c"])])
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("HashAggregate(keys=[test"):]
+    assert "REPARTITION_BY_NUM" in below
+    assert "array" not in below.split("\n")[0]
+    assert {tuple(r) for r in groups.collect()} == {("a", "b", 1000, 0, 0), ("b", "c", 7, 7, 7)}
