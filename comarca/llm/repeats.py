@@ -17,7 +17,11 @@ from comarca.llm.suffixes import sorted_suffixes
 LENGTH = 200
 # Bytes of an anchor; every string of the length has the anchor whose hash is its smallest.
 ANCHOR = 32
-SLICE_BYTES = 2_000_000
+# Bytes hashed together, so few that the arrays stay in the processor's cache.
+SLICE_BYTES = 250_000
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+# An odd factor for each doubling of the hashed bytes, all different, so that every byte has a weight of its own.
+_FACTORS = mix(np.arange(1, 1 + ANCHOR.bit_length() - 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _digest(raw: bytes) -> tuple[int, int]:
@@ -60,10 +64,10 @@ def _anchor_runs(raws: list[bytes], length: int):
     if len(raw) < length:
         yield from (none for _ in raws)
         return
-    hashes, reach = mix(raw.astype(np.uint64) + np.uint64(1)), 1
-    while reach < ANCHOR:
-        hashes = mix(hashes[:-reach] * np.uint64(0xD6E8FEB86659FD93) + hashes[reach:])
-        reach *= 2
+    hashes = _BYTE[raw]
+    for level, factor in enumerate(_FACTORS):
+        hashes = hashes[: -(1 << level)] * factor + hashes[1 << level :]
+    hashes = mix(hashes)
     place = np.arange(len(hashes), dtype=np.uint64)
     least = _sliding_min((hashes >> np.uint64(32) << np.uint64(32)) | place, length - ANCHOR + 1)
     where = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -97,9 +101,10 @@ def _texts(docs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _snippets(texts: DataFrame, shift: int, length: int, shards: int) -> DataFrame:
-    """(shard, token, snippet, xs, starts): the bytes of each run of windows whose anchor is repeated.
+    """(shard, token, snippet, lead, xs, starts): the bytes of each run of windows whose anchor is repeated.
 
-    Equal snippets of a batch of texts are sent once, with all places they have.
+    Equal snippets of a batch of texts are sent once, with all places they have. The anchor is ``lead``
+    bytes into the snippet.
     """
 
     def cut(batches):
@@ -113,19 +118,35 @@ def _snippets(texts: DataFrame, shift: int, length: int, shards: int) -> DataFra
                         continue
                     keep = np.flatnonzero(np.isin(at, repeated))
                     tokens = (hashes[keep] & np.uint64((1 << 48) - 1)).tolist()
-                    for token, a, b in zip(tokens, first[keep].tolist(), last[keep].tolist()):
-                        places = found.setdefault((token, raw[a : b + length]), ([], []))
+                    for token, p, a, b in zip(tokens, at[keep].tolist(), first[keep].tolist(), last[keep].tolist()):
+                        places = found.setdefault((token, raw[a : b + length], p - a), ([], []))
                         places[0].append(x)
                         places[1].append(a)
-            rows = [(t % shards, t, s, np.array(x, "<i8").tobytes(), np.array(a, "<i8").tobytes()) for (t, s), (x, a) in found.items()]
+            rows = [(t % shards, t, s, p, np.array(x, "<i8").tobytes(), np.array(a, "<i8").tobytes()) for (t, s, p), (x, a) in found.items()]
             if rows:
-                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _SNIPPET)
 
-    return texts.mapInArrow(cut, "shard int, token long, snippet binary, xs binary, starts binary")
+    return texts.mapInArrow(cut, "shard int, token long, snippet binary, lead int, xs binary, starts binary")
 
 
-_SNIPPET = ["shard", "token", "snippet", "xs", "starts"]
+_SNIPPET = ["shard", "token", "snippet", "lead", "xs", "starts"]
+
+
+def alike_snippets(snippets: list[tuple[bytes, int]], length: int = LENGTH) -> list[int]:
+    """Which of several different (snippet, lead) of one anchor may have a window in common with another.
+
+    All windows of a snippet have its anchor, at most once in the same place of a window. So a common window
+    has the bytes that reach from the anchor over half of the rest of the window, to one side or the other.
+    """
+    half = (length - ANCHOR + 1) // 2
+    seen: dict[tuple[bool, bytes], list[int]] = {}
+    for i, (snippet, lead) in enumerate(snippets):
+        if lead >= half:
+            seen.setdefault((False, snippet[lead - half : lead + ANCHOR]), []).append(i)
+        if lead + ANCHOR + half <= len(snippet):
+            seen.setdefault((True, snippet[lead : lead + ANCHOR + half]), []).append(i)
+    return sorted({i for some in seen.values() if len(some) > 1 for i in some})
 
 
 def repeated_windows(snippets: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -152,7 +173,8 @@ def _spans(snippets: DataFrame, length: int) -> DataFrame:
     """(x, begin, end): stretches of the texts that repeated windows cover, a shard at a time.
 
     Windows with equal bytes have the same anchor, so an anchor whose snippets are all equal
-    needs no sorting: they repeat each other if they have two places.
+    needs no sorting: they repeat each other if they have two places. Of an anchor's different snippets
+    those are sorted that agree with another one beside the anchor.
     """
 
     def sort(batches):
@@ -163,19 +185,20 @@ def _spans(snippets: DataFrame, length: int) -> DataFrame:
                     yield solve(held)
                     held = {}
                 shard = row[0]
-                places = held.setdefault(row[1], {}).setdefault(row[2], set())
-                places.update(zip(np.frombuffer(row[3], "<i8").tolist(), np.frombuffer(row[4], "<i8").tolist()))
+                places = held.setdefault(row[1], {}).setdefault(row[2:4], set())
+                places.update(zip(np.frombuffer(row[4], "<i8").tolist(), np.frombuffer(row[5], "<i8").tolist()))
         if held:
             yield solve(held)
 
     def solve(held):
         out, open_ = [], []
         for group in held.values():
-            for snippet, places in group.items():
+            for (snippet, _), places in group.items():
                 if len(places) > 1:
                     out += [(x, a, a + len(snippet)) for x, a in places]
             if len(group) > 1:
-                open_ += group.items()
+                some = list(group.items())
+                open_ += [(some[i][0][0], some[i][1]) for i in alike_snippets(list(group), length)]
         if open_:
             for (_, places), twin in zip(open_, repeated_windows([s for s, _ in open_], length)):
                 if len(places) > 1 or not twin.any():

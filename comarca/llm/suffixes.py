@@ -75,8 +75,14 @@ class _Text:
 
 def _refined(rank: np.ndarray, members: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Splits groups of equal rank by the keys; a rank is the number of smaller elements. Members still tied come back."""
-    order = np.lexsort((keys, rank[members]))
-    members, keys, old = members[order], keys[order], rank[members][order]
+    old = rank[members]
+    if not len(old) or old[0] == old.max() == old.min():
+        order = np.argsort(keys)
+    elif int(keys.min()) >= 0 and int(keys.max()) < 1 << 32 and int(old.max()) < 1 << 31:
+        order = np.argsort(old << 32 | keys)
+    else:
+        order = np.lexsort((keys, old))
+    members, keys, old = members[order], keys[order], old[order]
     group = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
     fresh = np.r_[True, (old[1:] != old[:-1]) | (keys[1:] != keys[:-1])]
     part = np.flatnonzero(fresh)

@@ -68,6 +68,18 @@ def test_a_passage_in_every_text_and_runs_of_one_character(spark):
     check(spark, found)
 
 
+def test_only_snippets_that_agree_beside_the_anchor_are_sorted():
+    rng = random.Random(2)
+    some = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    anchor, before, after = some(32), some(100), some(120)
+    tail = before[-60:] + anchor + after[:108]
+    snippets = [(some(168) + anchor + some(168), 168), (some(90) + tail, 150), (some(40) + tail + some(20), 100)]
+    snippets += [(some(130) + anchor + after[:70], 130), (before[-84:] + anchor + some(84), 84), (before + anchor + some(90), 100)]
+    assert repeats.alike_snippets(snippets) == [1, 2, 4, 5]
+    twins = repeated_windows([s for s, _ in snippets])
+    assert [bool(t.any()) for t in twins] == [False, True, True, False, False, False]
+
+
 def test_windows_that_overlap_themselves():
     assert [w.tolist() for w in repeated_windows([b"aaaaa", b"bcd", b"abcd", b"xbc"], 3)] == [
         [True] * 3, [True], [False, True], [False]]
