@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-SLICE_BYTES = 1_500_000
+# Bytes of texts hashed together: a worker keeps the memory that its largest arrays took.
+SLICE_BYTES = 400_000
 
 LOWER_CASE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)

@@ -132,3 +132,17 @@ def test_texts_without_an_id_link_others(spark):
     unnamed = [t for name, t in stays if name is None]
     assert len(unnamed) == 3 and sorted(map(str, unnamed))[0] == " " and None in unnamed
     assert set(unnamed) - {None, " "} < {found[4][1], found[5][1]}
+
+
+def test_shingles_of_many_texts_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(8)
+    texts = [data.words(rng, 400) for _ in range(1500)]
+    for _ in shingle_sets(texts[:300]):  # the powers that are kept
+        pass
+    tracemalloc.start()
+    n = sum(len(s) for s in shingle_sets(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 500_000 and peak < 40_000_000
