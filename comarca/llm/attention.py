@@ -20,6 +20,8 @@ STEPS, BATCH, RATE = 1000, 96, 0.02
 # The steps are done in so many rounds, after each of which the weights of all shards of windows are averaged.
 ROUNDS = 4
 SCORE_IDS = 1 << 14
+# Windows scored in one product, so that the logits stay in cache.
+SCORE_WINDOWS = 96
 # Scores and logits are held to this, so that their exponentials need no maximum taken off first.
 LIMIT = np.float32(80)
 
@@ -116,46 +118,115 @@ def _row_sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(cell, rows.ravel(), n * width).reshape(n, width).astype(rows.dtype)
 
 
-def _gradients(p: dict[str, np.ndarray], seen: np.ndarray, next_: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+class Room:
+    """Arrays by name, filled anew in every step: fresh ones of their size are page faults each time."""
+
+    def __init__(self):
+        self._held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self._held or len(self._held[name]) < size:
+            self._held[name] = np.empty(size, dtype)
+        return self._held[name][:size].reshape(shape)
+
+
+# Rounds of so few rows are not worth a call, nor are more rounds than these.
+FEW, MOST = 16, 64
+
+
+def _rounds(at: np.ndarray, n: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """An order of places whose rows ``_round_sums`` adds up by their value ``at``, below ``n``.
+
+    First come rounds, each with the next place of every value that has one left, frequent values first; then what is
+    left of the most frequent ones, value by value. Also returns the values, the lengths of the rounds, and of what is left.
+    """
+    count = np.bincount(at, minlength=n)
+    values = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+    rank = np.empty(n, np.int16)
+    rank[values] = np.arange(len(values))
+    order, count = np.argsort(rank[at], kind="stable"), count[values]
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    wide = np.bincount(nth)
+    wide = wide[: min(MOST, np.count_nonzero(wide >= FEW))]
+    order = order[np.argsort(np.minimum(nth, len(wide)).astype(np.int16), kind="stable")]
+    return order, (values, wide, count[count > len(wide)] - len(wide))
+
+
+def _round_sums(rows: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Rows in the order of ``_rounds``, added up by their value."""
+    values, wide, left = runs
+    sums, at = np.zeros((len(values), rows.shape[1]), rows.dtype), 0
+    for size in wide.tolist():
+        sums[:size] += rows[at : at + size]
+        at += size
+    for i, size in enumerate(left.tolist()):
+        sums[i] += rows[at : at + size].sum(0)
+        at += size
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[values] = sums
+    return out
+
+
+def _flat(a: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, a.shape[-1])
+
+
+def _gradients(
+    p: dict[str, np.ndarray], seen: np.ndarray, next_: np.ndarray, real: np.ndarray, room: Room | None = None
+) -> dict[str, np.ndarray]:
     """Those of the mean loss of the real places; logits are made for these alone, the others are context.
 
-    Equal to those of ``_forward`` but for the limit.
+    Equal to those of ``_forward`` but for the limit. Real places are in an order in which those of one class add up fast.
     """
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    n, scale = max(int(real.sum()), 1), np.asarray(WIDTH**-0.5, p["embed"].dtype)
-    where, all_seen = np.flatnonzero(real), seen.ravel()
-    x = p["embed"][seen] + p["place"]
-    projections = np.concatenate([p["query"], p["key"], p["value"]], 1)
-    q, k, v = (part.reshape(x.shape) for part in np.split(flat(x) @ projections, 3, 1))
-    weight = (q * scale) @ k.transpose(0, 2, 1)
+    kind, room = p["embed"].dtype, room or Room()
+    n, scale = max(int(real.sum()), 1), np.asarray(WIDTH**-0.5, kind)
+    all_seen, where = seen.ravel(), np.flatnonzero(real)
+    order, runs = _rounds(all_seen[where], INPUTS)
+    where = where[order]
+    x = np.take(p["embed"], seen, 0, out=room("x", (*seen.shape, WIDTH), kind), mode="clip")
+    x += p["place"]
+    projections = np.concatenate([p["query"] * scale, p["key"], p["value"]], 1)
+    qkv = np.matmul(x, projections, out=room("qkv", (*seen.shape, 3 * WIDTH), kind))
+    q, k, v = np.split(qkv, 3, 2)
+    # Weights are left unscaled; what they make and what comes back is divided by their sums.
+    weight = np.matmul(q, k.transpose(0, 2, 1), out=room("weight", (*seen.shape, WINDOW), kind))
     np.clip(weight, -LIMIT, LIMIT, out=weight)
     weight += _MASK
     np.exp(weight, out=weight)
-    weight /= (weight @ np.ones(WINDOW, weight.dtype))[..., None]
-    z = weight @ v
-    z_real = flat(z)[where]
-    h = flat(x)[where] + z_real @ p["mix"]
-    d = h @ p["out"]
-    d += p["bigram"][all_seen[where]]
+    part = (1 / (weight @ np.ones(WINDOW, kind)))[..., None]
+    z = np.matmul(weight, v, out=room("z", x.shape, kind))
+    z *= part
+    z_real = np.take(_flat(z), where, 0)
+    h = np.take(_flat(x), where, 0)
+    h += z_real @ p["mix"]
+    d = np.matmul(h, p["out"], out=room("d", (len(where), CLASSES), kind))
+    d += np.take(p["bigram"], all_seen[where], 0, out=room("bigram", d.shape, kind), mode="clip")
     np.clip(d, -LIMIT, LIMIT, out=d)
     np.exp(d, out=d)
-    d *= (1 / (d @ np.ones(CLASSES, d.dtype)) / n).astype(d.dtype)[:, None]
+    d *= (1 / (d @ np.ones(CLASSES, kind)) / n)[:, None]
     d[np.arange(len(where)), next_.ravel()[where]] -= 1 / n
-    g = {"out": h.T @ d, "bigram": _row_sums(all_seen[where], d, INPUTS)}
+    g = {"out": h.T @ d, "bigram": _round_sums(d, runs, INPUTS)}
     dh = d @ p["out"].T
     g["mix"] = z_real.T @ dh
-    dz, dx = np.zeros_like(x), np.zeros_like(x)
-    flat(dz)[where] = dh @ p["mix"].T
-    flat(dx)[where] = dh
-    dscore = dz @ v.transpose(0, 2, 1)
-    dscore -= (dz * z).sum(-1, keepdims=True)  # the mean of the row under its weights
+    dz, dx = room("dz", x.shape, kind), room("dx", x.shape, kind)
+    dz.fill(0)
+    dx.fill(0)
+    _flat(dz)[where] = dh @ p["mix"].T
+    _flat(dx)[where] = dh
+    dz *= part
+    dscore = np.matmul(dz, v.transpose(0, 2, 1), out=room("dscore", weight.shape, kind))
+    dscore -= np.einsum("ijk,ijk->ij", dz, z)[..., None]  # the mean of the row under its weights
     dscore *= weight
-    dscore *= scale
-    dv = weight.transpose(0, 2, 1) @ dz
-    parts = np.concatenate([flat(dscore @ k), flat(dscore.transpose(0, 2, 1) @ q), flat(dv)], 1)
-    g |= zip(("query", "key", "value"), np.split(flat(x).T @ parts, 3, 1))
-    dx += (parts @ projections.T).reshape(x.shape)
-    g["embed"] = _row_sums(all_seen, flat(dx), INPUTS)
+    parts = room("parts", qkv.shape, kind)
+    dq, dk, dv = np.split(parts, 3, 2)
+    np.matmul(dscore, k, out=dq)
+    np.matmul(dscore.transpose(0, 2, 1), q, out=dk)
+    np.matmul(weight.transpose(0, 2, 1), dz, out=dv)
+    g |= zip(("query", "key", "value"), np.split(_flat(x).T @ _flat(parts), 3, 1))
+    g["query"] = g["query"] * scale
+    dx += np.matmul(parts, projections.T, out=room("back", x.shape, kind))
+    g["embed"] = _row_sums(all_seen, _flat(dx), INPUTS)
     g["place"] = dx.sum(0)
     return g
 
@@ -179,28 +250,32 @@ def fit(model: Model, rows: np.ndarray, first_step: int, steps: int, total: int)
 
     Where there are too few windows for steps of ``BATCH``, they come again.
     """
-    parts = {k: v.copy() for k, v in model.parts.items()}
-    first = {k: np.zeros_like(v) for k, v in parts.items()}
-    second = {k: np.zeros_like(v) for k, v in parts.items()}
+    names, parts, room = sorted(model.parts), {}, Room()
+    weights = np.concatenate([model.parts[n].ravel() for n in names])
+    cuts = np.cumsum([model.parts[n].size for n in names])[:-1]
+    for name, piece in zip(names, np.split(weights, cuts)):
+        parts[name] = piece.reshape(model.parts[name].shape)
+    # Running sums of the gradients and of their squares, not scaled to means.
+    first, second, g = (np.zeros_like(weights) for _ in range(3))
     rows = rows[np.lexsort(rows.T[::-1])]  # whatever order they came in
     order = np.random.default_rng(first_step + 7).permutation(len(rows))
     size = max(BATCH, -(-len(rows) // steps))
     for step in range(1, steps + 1):
         at = rows[order[np.arange((step - 1) * size, step * size) % len(rows)]]
         rate = RATE * min(1, step / 20) * (1 - (first_step + step) / (total + 1))
-        for k, g in _gradients(parts, *_unpacked(model.words, at)).items():
-            first[k] *= np.float32(0.9)
-            first[k] += np.float32(0.1) * g
-            g *= g
-            g *= np.float32(0.01)
-            second[k] *= np.float32(0.99)
-            second[k] += g
-            np.sqrt(second[k], out=g)
-            g *= np.float32((1 - 0.99**step) ** -0.5)
-            g += np.float32(1e-8)
-            np.divide(first[k], g, out=g)
-            g *= np.float32(rate / (1 - 0.9**step))
-            parts[k] -= g
+        found = _gradients(parts, *_unpacked(model.words, at), room)
+        np.concatenate([found[n].ravel() for n in names], out=g)
+        first *= np.float32(0.9)
+        first += g
+        g *= g
+        second *= np.float32(0.99)
+        second += g
+        scale = (0.01 / (1 - 0.99**step)) ** 0.5
+        np.sqrt(second, out=g)
+        g += np.float32(1e-8 / scale)
+        np.divide(first, g, out=g)
+        g *= np.float32(0.1 * rate / (1 - 0.9**step) / scale)
+        weights -= g
     return parts
 
 
@@ -246,29 +321,33 @@ def log_probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     Equal to ``_forward`` but for the limit; as the layer sees nothing but an id's class and place, its queries, keys
     and values are sums of two table rows.
     """
-    p, out = model.parts, np.zeros(len(texts))
-    tables = {n: (p["embed"] @ p[n], p["place"] @ p[n]) for n in ("query", "key", "value")}
-    tables["query"] = tuple(t / np.float32(WIDTH**0.5) for t in tables["query"])
+    p, out, room = model.parts, np.zeros(len(texts)), Room()
+    projections = np.concatenate([p["query"] / np.float32(WIDTH**0.5), p["key"], p["value"]], 1)
+    by_class, by_place = p["embed"] @ projections, p["place"] @ projections
     direct = p["bigram"] + p["embed"] @ p["out"]
-    placed, mixed = p["place"] @ p["out"], p["mix"] @ p["out"]
 
     def scores(seen, next_, scored, skip):
         """Log-probability of what each window scores; its first ``skip`` places are context alone."""
-        k, v = (tables[n][0][seen] + tables[n][1] for n in ("key", "value"))
-        seen, next_, scored = seen[:, skip:], next_[:, skip:], scored[:, skip:]
-        q = tables["query"][0][seen] + tables["query"][1][skip:]
-        weight = np.clip(q @ k.transpose(0, 2, 1), -LIMIT, LIMIT)
+        kind = by_class.dtype
+        qkv = np.take(by_class, seen, 0, out=room("qkv", (*seen.shape, 3 * WIDTH), kind), mode="clip")
+        qkv += by_place
+        q, k, v = np.split(qkv, 3, 2)
+        q, seen, next_ = q[:, skip:], seen[:, skip:], next_[:, skip:].ravel()
+        weight = np.matmul(q, k.transpose(0, 2, 1), out=room("weight", (*seen.shape, WINDOW), kind))
+        np.clip(weight, -LIMIT, LIMIT, out=weight)
         weight += _MASK[skip:]
         np.exp(weight, out=weight)
-        weight /= (weight @ np.ones(WINDOW, np.float32))[..., None]
-        logits = (weight @ v) @ mixed
-        logits += direct[seen]
-        logits += placed[skip:]
+        z = weight @ v
+        z /= (weight @ np.ones(WINDOW, kind))[..., None]
+        h, before = z @ p["mix"] + p["place"][skip:], seen.ravel()
+        logits = np.matmul(_flat(h), p["out"], out=room("logits", (seen.size, CLASSES), kind))
+        logits += np.take(direct, before, 0, out=room("direct", logits.shape, kind), mode="clip")
         np.clip(logits, -LIMIT, LIMIT, out=logits)
-        picked = np.take_along_axis(logits, model.words.classes[next_][..., None], 2)[..., 0]
+        log_p = logits[np.arange(seen.size), model.words.classes[next_]]
         np.exp(logits, out=logits)
-        log_p = picked - np.log(logits @ np.ones(CLASSES, np.float32)) + model.within[seen, next_]
-        return np.where(scored, log_p, 0).sum(1, dtype=np.float64)
+        log_p -= np.log(logits @ np.ones(CLASSES, kind))
+        log_p += model.within[before, next_]
+        return np.where(scored[:, skip:], log_p.reshape(seen.shape), 0).sum(1, dtype=np.float64)
 
     first = 0
     while first < len(texts):
@@ -282,8 +361,8 @@ def log_probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
         seen, next_, scored, text = _grid(model, model.words.column[ids], lengths)
         opens = np.r_[True, text[1:] != text[:-1]]
         for chosen, skip in ((np.flatnonzero(opens), 0), (np.flatnonzero(~opens), WINDOW - STRIDE)):
-            for i in range(0, len(chosen), SCORE_IDS // WINDOW):
-                at = chosen[i : i + SCORE_IDS // WINDOW]
+            for i in range(0, len(chosen), SCORE_WINDOWS):
+                at = chosen[i : i + SCORE_WINDOWS]
                 total += np.bincount(text[at], scores(seen[at], next_[at], scored[at], skip), last - first)
         out[first:last] = total
         first = last

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import uuid
 import zlib
 from collections import Counter
@@ -109,6 +110,53 @@ def test_gradients():
         assert g[at] == pytest.approx(slope, rel=1e-2), name
 
 
+@pytest.mark.parametrize("places", [0, 1, 40, 3000])
+def test_sums_in_rounds(places):
+    rng = np.random.default_rng(4)
+    at, rows = rng.zipf(1.3, places) % 700, rng.normal(size=(places, 5))
+    order, runs = attention._rounds(at, 700)
+    assert sorted(order) == list(range(places))
+    want = np.zeros((700, 5))
+    np.add.at(want, at, rows)
+    assert np.allclose(attention._round_sums(rows[order], runs, 700), want)
+
+
+def packed_windows(model, texts):
+    columns, lengths = model.words.column[np.concatenate(texts)], np.array([len(t) for t in texts])
+    return attention.packed(model.words, columns, lengths, END)
+
+
+def test_a_step_fills_the_same_arrays_again():
+    model, texts = small_model(0)
+    batch = attention._unpacked(model.words, np.resize(packed_windows(model, texts), (attention.BATCH, attention.WINDOW + 3)))
+    room = attention.Room()
+    _gradients(model.parts, *batch, room)
+    tracemalloc.start()
+    _gradients(model.parts, *batch, room)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # 8.7 MB before, on windows of sf0.1, given back and faulted in again in every step
+
+
+def test_fit_is_plain_adam():
+    model, texts = small_model(0)
+    rows = packed_windows(model, texts)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    order = np.random.default_rng(7).permutation(len(rows))
+    want = {k: v.astype(float) for k, v in model.parts.items()}
+    first, second = ({k: np.zeros_like(v) for k, v in want.items()} for _ in range(2))
+    for step in range(1, 6):
+        at = rows[order[np.arange((step - 1) * attention.BATCH, step * attention.BATCH) % len(rows)]]
+        for k, g in _gradients(want, *attention._unpacked(model.words, at)).items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            rate = attention.RATE * step / 20 * (1 - step / 101)
+            want[k] = want[k] - rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    got = attention.fit(model, packed_windows(model, texts)[::-1], 0, 5, 100)
+    for k in want:
+        assert got[k].dtype == np.float32 and np.allclose(got[k], want[k], atol=1e-4), k
+
+
 def check(spark, found):
     got = language_scores(data.frame(spark, found), PATH, END).collect()
     words = [(r[1] or "").encode().translate(LOWER_CASE).split() for r in found]
