@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comarca.llm.blocks import fresh_blocks
-from comarca.llm.common import partitions, stored
-
-# Distinct chunks a task remembers; beyond that it starts afresh with its next block.
-CACHE_CHUNKS = 400_000
-JOINED = 400
+from comarca.llm.common import release_memory, slices, stored
+
+# What a task remembers of distinct chunks, in bytes; beyond that it goes on with those it met most often, so many bytes of them.
+CACHE_BYTES, KEPT_BYTES = 80_000_000, 56_000_000
+# Of a chunk, besides its characters, its groups and its links.
+CHUNK_BYTES = 300
+# Texts of a block; their links go from the first pass to the second as one row.
+BLOCK_BYTES = 1_500_000
+# New chunks are aligned side by side, so many characters at a time.
+LEARNT = 120_000
 # Products are made for so many entries at a time.
-SLICE = 1 << 22
+SLICE = 1 << 18
 
 # A space between two other characters; neither tokenizer has a token that reaches across its left side.
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
+_BREAK = re.compile(r" (?=\S)(?<=\S )")
 _MARK = "▁"
 
 
@@ -139,12 +145,27 @@ class Pair:
         return piece.replace(_MARK, " ").encode("utf-8", "surrogatepass")
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.fine: list[bool] = []
-        self.groups: list[str] = []
+        self.number = _Numbers()
+        self.groups: list[bytes] = []
+        self.fine = np.zeros(0, bool)
         self.sums = np.zeros((0, 5), np.int64)  # per chunk: A tokens, B tokens, groups, overlaps, shared pairs
         self.link_sizes = np.zeros(0, np.int64)
         self.links = np.zeros(0, np.int64)  # A id << 32 | B id, chunk after chunk
+        self.bytes = np.zeros(0, np.int64)  # per chunk: what it takes to remember it
+        self.met = np.zeros(0, np.int64)  # and how often it came, half as much with every time that room was made
+
+    def make_room(self) -> None:
+        """Forgets the chunks met least often if all of them take more than they may. Numbers change."""
+        if self.bytes.sum() <= CACHE_BYTES:
+            return
+        often = np.argsort(-self.met, kind="stable")
+        kept = np.sort(often[: np.searchsorted(np.cumsum(self.bytes[often]), KEPT_BYTES, "right")])
+        at = _runs(self.link_sizes, kept)
+        chunks = list(self.number)
+        self.number = _Numbers((chunks[n], i) for i, n in enumerate(kept.tolist()))
+        self.groups = [self.groups[n] for n in kept.tolist()]
+        self.fine, self.sums, self.links, self.link_sizes = self.fine[kept], self.sums[kept], self.links[at], self.link_sizes[kept]
+        self.bytes, self.met = self.bytes[kept], self.met[kept] // 2
 
     def chunks(self, text: str) -> list[str]:
         """The text cut where a token of both must end; each chunk has a space in front of it."""
@@ -157,30 +178,32 @@ class Pair:
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks of all texts by number, and how many each text has. A mark in a text is no space: -1, no chunks."""
-        known, new, out, sizes = self.number, [], [], []
+        known, out, sizes = self.number, [], []
+        before = len(known)
         for text in texts:
             if _MARK in text:
                 sizes.append(-1)
                 continue
             parts = self.chunks(text)
             sizes.append(len(parts))
-            for part in parts:
-                n = known.get(part)
-                if n is None:
-                    n = known[part] = len(known)
-                    new.append(part)
-                out.append(n)
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
-        return np.array(out, np.int64), np.array(sizes, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
+            out += map(known.__getitem__, parts)
+        found = [self._learn(run) for run in slices(islice(known, before, None), LEARNT)]
+        for groups, _ in found:
+            self.groups += groups
+        held = (self.fine, self.sums, self.link_sizes, self.links, self.bytes, self.met)
+        self.fine, self.sums, self.link_sizes, self.links, self.bytes, self.met = map(np.concatenate, zip(held, *(f for _, f in found)))
+        out = np.array(out, np.int64)
+        self.met += np.bincount(out, minlength=len(self.met))
+        return out, np.array(sizes, np.int64)
+
+    def _learn(self, chunks: list[str]) -> tuple[list[bytes], tuple[np.ndarray, ...]]:
+        """The groups of new chunks, and what else is held of each."""
         raw = [b" " + c.encode("utf-8", "surrogatepass") for c in chunks]
         a = [e.ids for e in self.byte_level.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
         b = self.pieces.encode(chunks, num_threads=1)
-        fine = [x == y == z for x, y, z in zip(raw, self.a_bytes.joined(a), self.b_bytes.joined(b))]
-        a = [ids if ok else [] for ids, ok in zip(a, fine)]
-        b = [ids if ok else [] for ids, ok in zip(b, fine)]
+        fine = np.array([x == y == z for x, y, z in zip(raw, self.a_bytes.joined(a), self.b_bytes.joined(b))], bool)
+        for i in np.flatnonzero(~fine).tolist():
+            a[i], b[i] = [], []
         found = Alignment(self._tokens(a, self.a_bytes), self._tokens(b, self.b_bytes))
         n, a_of, b_of = len(chunks), _owner(a), _owner(b)
         overlaps, shared, links, owners = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
@@ -196,19 +219,26 @@ class Pair:
         group_owner = a_of[np.searchsorted(found.a.ends, found.cuts)]
         sums = [np.fromiter(map(len, a), np.int64, n), np.fromiter(map(len, b), np.int64, n)]
         sums += [np.bincount(group_owner, minlength=n), overlaps, shared]
-        self.sums = np.concatenate((self.sums, np.stack(sums, 1)))
-        self.links = np.concatenate((self.links, *links))
-        self.link_sizes = np.concatenate((self.link_sizes, np.bincount(link_owner, minlength=n)))
-        self.groups += _written(found, group_owner, n)
-        self.fine += fine
+        sizes, groups = np.bincount(link_owner, minlength=n), _written(found, group_owner, n)
+        taken = CHUNK_BYTES + 8 * sizes + np.fromiter(map(len, raw), np.int64, n) + np.fromiter(map(len, groups), np.int64, n)
+        links = np.concatenate(links) if links else np.zeros(0, np.int64)
+        return groups, (fine, np.stack(sums, 1), sizes, links, taken, np.zeros(n, np.int64))
 
     @staticmethod
     def _tokens(rows: list[list[int]], table: _Bytes) -> Tokens:
-        ids = np.array([i for r in rows for i in r], np.int64)
+        ids = np.fromiter(chain.from_iterable(rows), np.int64)
         firsts = np.cumsum([0, *map(len, rows)])[:-1]
         return Tokens(ids, firsts, table.lengths[ids])
 
 
+class _Numbers(dict):
+    """Chunks by number; one that is looked up and not there gets the next."""
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        return n
+
+
 class _Bytes:
     """The bytes of every id."""
 
@@ -230,15 +260,30 @@ def _owner(rows: list[list[int]]) -> np.ndarray:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
-def _written(found: Alignment, owner: np.ndarray, n: int) -> list[str]:
+def _written(found: Alignment, owner: np.ndarray, n: int) -> list[bytes]:
     """For every chunk ``a1,a2|b1;a3|b2``: its groups, with ids in order."""
-    texts = []
-    for tokens, of in ((found.a, found.a_group), (found.b, found.b_group)):
-        ids, cuts = list(map(str, tokens.ids.tolist())), np.searchsorted(of, np.arange(len(found.cuts) + 1)).tolist()
-        texts.append([",".join(ids[i:j]) if j - i > 1 else ids[i] for i, j in zip(cuts, cuts[1:])])
-    groups = [f"{x}|{y}" for x, y in zip(*texts)]
+    a, b = found.a.ids, found.b.ids
+    i, j = (np.searchsorted(of, np.arange(len(found.cuts) + 1)) for of in (found.a_group, found.b_group))
+    single = (np.diff(i) == 1) & (np.diff(j) == 1)
+    groups = np.empty(len(single), object)
+    pairs, which = np.unique((a[i[:-1][single]] << 32) | b[j[:-1][single]], return_inverse=True)
+    groups[single] = np.array([f"{p >> 32}|{p & 0xFFFFFFFF}" for p in pairs.tolist()], object)[which]
+    several = np.flatnonzero(~single)
+    sides = []
+    for ids, cuts in ((a, i), (b, j)):
+        names = list(map(str, ids[_runs(np.diff(cuts), several)].tolist()))
+        ends = np.cumsum([0, *np.diff(cuts)[several].tolist()]).tolist()
+        sides.append([",".join(names[x:y]) for x, y in zip(ends, ends[1:])])
+    groups[several] = [f"{x}|{y}" for x, y in zip(*sides)]
+    groups = groups.tolist()
     cuts = np.searchsorted(owner, np.arange(n + 1)).tolist()
-    return [";".join(groups[i:j]) if j - i != 1 else groups[i] for i, j in zip(cuts, cuts[1:])]
+    return [(";".join(groups[i:j]) if j - i != 1 else groups[i]).encode() for i, j in zip(cuts, cuts[1:])]
+
+
+def _runs(sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of these runs' values, one run after another, among those of all runs of such sizes."""
+    starts, many = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    return np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
 
 
 def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -259,57 +304,58 @@ _DOC_SCHEMA = "id: bigint, " + ", ".join(f"{c}: bigint" for c in _DOC[1:7]) + ",
 
 
 def _aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """A row per block: its documents but for counts over all, its chunks, and the pairs of ids they link.
+    """A row per block: its documents but for counts over all, the pairs of ids they link, and the links.
 
-    ``docs`` (a list of structs), ``chunks`` and ``sizes`` (chunk numbers within the block, and how many each
-    document has), ``link_sizes`` and ``links`` (per chunk, indexes into ``pairs``), ``pairs`` with their number
-    of links in the block.
+    ``docs`` (a list of structs), ``pairs`` with their number of links in the block, and ``links`` (indexes into
+    ``pairs``, document after document, as many as its n_links; of two bytes where these do).
     """
 
     def align(batches):
         pair = tokenizer_pair(byte_path, piece_path)
-        for block, ids, texts in fresh_blocks(batches, "id", "text"):
-            if len(pair.number) > CACHE_CHUNKS:
-                pair.forget()
+        for block, ids, texts in fresh_blocks(batches, "id", "text", BLOCK_BYTES):
+            pair.make_room()
+            release_memory()
             numbers, sizes = pair.numbers(texts)
-            fine = np.array(pair.fine, bool)
             owner = np.repeat(np.arange(len(texts)), np.maximum(sizes, 0))
             wrong = np.zeros(len(texts), bool)
-            wrong[owner[~fine[numbers]]] = True
-            numbers, owner = numbers[~wrong[owner]], owner[~wrong[owner]]
+            wrong[owner[~pair.fine[numbers]]] = True
+            numbers = numbers[~wrong[owner]]
             sizes = np.where(wrong, 0, np.maximum(sizes, 0))
             cuts = np.concatenate(([0], np.cumsum(sizes)))
-            sums = _sums(pair.sums[numbers], cuts)
-            used, local, times = np.unique(numbers, return_inverse=True, return_counts=True)
-            starts = np.cumsum(pair.link_sizes) - pair.link_sizes
-            many = pair.link_sizes[used]
-            at = np.repeat(starts[used] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            pairs, index = np.unique(pair.links[at], return_inverse=True)
-            n = np.bincount(index, np.repeat(times, many), len(pairs)).astype(np.int64)
-            links = _sums(pair.link_sizes[numbers], cuts)
+            sums = [_sums(pair.sums[numbers, i], cuts).tolist() for i in range(5)]
+            n_links = _sums(pair.link_sizes[numbers], cuts).tolist()
+            occurs = np.zeros(len(pair.link_sizes), bool)
+            occurs[numbers] = True
+            used = np.flatnonzero(occurs)
+            pairs, index = np.unique(pair.links[_runs(pair.link_sizes, used)], return_inverse=True)
+            index = index.astype(_width(len(pairs)))
+            links = index[_runs(np.where(occurs, pair.link_sizes, 0), numbers)]
+            n = np.bincount(links, minlength=len(pairs))
             shas, cuts, names = [], cuts.tolist(), pair.groups
             for a, b in zip(cuts, cuts[1:]):
-                written = ";".join(map(names.__getitem__, numbers[a:b].tolist()))
-                shas.append(hashlib.sha256(written.encode()).hexdigest() if b > a else "")
-            rows = zip(ids, *(sums[:, i].tolist() for i in range(3)), links.tolist(), *(sums[:, i].tolist() for i in (3, 4)), shas)
+                written = b";".join(map(names.__getitem__, numbers[a:b].tolist()))
+                shas.append(hashlib.sha256(written).hexdigest() if b > a else "")
+            rows = zip(ids, *sums[:3], n_links, *sums[3:], shas)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block]),
                     pa.array([[dict(zip(_DOC, r)) for r in rows]], _DOC_TYPE),
-                    pa.array([local.astype("<u4").tobytes()]),
-                    pa.array([sizes.astype("<u4").tobytes()]),
-                    pa.array([many.astype("<u4").tobytes()]),
-                    pa.array([index.astype("<u4").tobytes()]),
+                    pa.array([links.tobytes()]),
                     pa.array([[{"a": int(p >> 32), "b": int(p & 0xFFFFFFFF), "n": int(c)} for p, c in zip(pairs.tolist(), n.tolist())]],
                              pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))),
                 ],
-                ["block", "docs", "chunks", "sizes", "link_sizes", "links", "pairs"],
+                ["block", "docs", "links", "pairs"],
             )
 
-    schema = f"block long, docs array<struct<{_DOC_SCHEMA}>>, chunks binary, sizes binary, link_sizes binary, links binary"
+    schema = f"block long, docs array<struct<{_DOC_SCHEMA}>>, links binary"
     return stored(docs.mapInArrow(align, f"{schema}, pairs array<struct<a: int, b: int, n: bigint>>"))
 
 
+def _width(pairs: int) -> str:
+    """The type of indexes into so many pairs."""
+    return "<u2" if pairs <= 1 << 16 else "<u4"
+
+
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """(a, b, count, best): how many links hold each pair of ids, and whether that is the most of its B id."""
     pairs = blocks.select(F.inline("pairs")).groupBy("a", "b").agg(F.sum("n").alias("count"))
@@ -336,8 +382,8 @@ def aligned_tokens(
 
     Tokens and bytes (and tokens and groups) make up incidence matrices; row products A times B
     transposed give the links. Both tokenizers end a token before a single space between words, so texts are
-    cut there and each distinct chunk is aligned once per task, many side by side in one product.
-    A block of texts sums the links of each pair of ids; the counts of all documents come back to the
+    cut there and each distinct chunk is aligned once as long as a task remembers it, many side by side in one
+    product. A block of texts sums the links of each pair of ids; the counts of all documents come back to the
     block, a row for each pair it has.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -351,7 +397,7 @@ def aligned_tokens(
             for i in range(batch.num_rows):
                 yield _counted({c: batch.column(c)[i] for c in batch.schema.names})
 
-    columns = ["docs", "chunks", "sizes", "link_sizes", "links", "known"]
+    columns = ["docs", "links", "known"]
     schema = "id long, " + ", ".join(f"{c} long" for c in _DOC[1:7]) + ", groups_sha256 string, n_best long, count_sum long"
     found = blocks.join(known.hint("merge"), "block", "left").select(*columns).mapInArrow(count, schema)
     kind = docs.schema[id_col].dataType
@@ -361,18 +407,14 @@ def aligned_tokens(
 
 def _counted(row: dict) -> pa.RecordBatch:
     """The documents of a block, with what all documents' links say about theirs."""
-    chunks, sizes, many, links = (
-        np.frombuffer(row[c].as_py(), "<u4").astype(np.int64) for c in ("chunks", "sizes", "link_sizes", "links")
-    )
-    best = total = np.zeros(len(many), np.int64)
-    if len(links):
+    docs = row["docs"].values
+    cuts = np.concatenate(([0], np.cumsum(docs.field("n_links").to_numpy())))
+    n_best = count_sum = np.zeros(len(docs), np.int64)
+    if cuts[-1]:
         known = row["known"].values
         order = np.lexsort((known.field("b").to_numpy(), known.field("a").to_numpy()))  # as the block numbers its pairs
         count = known.field("count").to_numpy()[order]
-        top = known.field("best").to_numpy(zero_copy_only=False)[order]
-        cuts = np.concatenate(([0], np.cumsum(many)))
-        best, total = _sums(top[links], cuts), _sums(count[links], cuts)
-    cuts = np.concatenate(([0], np.cumsum(sizes)))
-    n_best, count_sum = _sums(best[chunks], cuts), _sums(total[chunks], cuts)
-    docs = row["docs"].values
+        best = known.field("best").to_numpy(zero_copy_only=False)[order]
+        links = np.frombuffer(row["links"].as_py(), _width(len(order)))
+        n_best, count_sum = _sums(best[links], cuts), _sums(count[links], cuts)
     return pa.RecordBatch.from_arrays([*[docs.field(c) for c in _DOC], pa.array(n_best), pa.array(count_sum)], [*_DOC, "n_best", "count_sum"])

@@ -15,19 +15,23 @@ from comarca.llm.common import partitions
 from comarca.sources import work_folder
 
 BLOCK_BYTES = 3_000_000
+# Rows of a batch that become Python's at a time; a text takes up to four bytes a character there.
+ROWS = 256
 
 
 def fresh_blocks(batches: Iterator[pa.RecordBatch], ids: str, texts: str, size: int = BLOCK_BYTES):
     """Yields (block, ids, texts) of about so many bytes, a text never cut; block numbers are unique in the job."""
     block, held_ids, held, so_far = TaskContext.get().partitionId() << 33, [], [], 0
     for batch in batches:
-        for i, text in zip(batch.column(ids).to_pylist(), batch.column(texts).to_pylist()):
-            held_ids.append(i)
-            held.append(text or "")
-            so_far += len(held[-1])
-            if so_far >= size:
-                yield block, held_ids, held
-                block, held_ids, held, so_far = block + 1, [], [], 0
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            for i, text in zip(part.column(ids).to_pylist(), part.column(texts).to_pylist()):
+                held_ids.append(i)
+                held.append(text or "")
+                so_far += len(held[-1])
+                if so_far >= size:
+                    yield block, held_ids, held
+                    block, held_ids, held, so_far = block + 1, [], [], 0
     if held:
         yield block, held_ids, held
 

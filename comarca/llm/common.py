@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,14 @@ def training_remainder(doc_id: Column, divisor: int) -> Column:
     return F.pmod(crc, F.lit(divisor))
 
 
+def release_memory() -> None:
+    """Gives back to the system what Arrow and, where it can, the C library hold of memory that was freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(texts: list[str], chars: int):
     """Runs of texts of about so many characters, so that a batch's arrays stay small."""
     run, size = [], 0

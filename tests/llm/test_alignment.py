@@ -2,11 +2,14 @@ import hashlib
 import random
 from collections import Counter
 from itertools import product as all_pairs
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
+from comarca.llm import alignment, blocks
 from comarca.llm.alignment import Csr, aligned_tokens, product, tokenizer_pair
 from comarca.llm.common import tokenizer_file
 from tests.llm.data import empty, frame, rows, words
@@ -101,3 +104,37 @@ def test_chunks_align_as_whole_texts(spark):
 
 def test_empty(spark):
     assert aligned_tokens(empty(spark), A, B).count() == 0
+
+
+def blocks_of(monkeypatch, texts):
+    """Blocks of a task that gets these texts, made in this process, each with the pair of tokenizers after it."""
+    monkeypatch.setattr(alignment, "stored", lambda found: found)
+    monkeypatch.setattr(blocks, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    align = alignment._aligned(SimpleNamespace(mapInArrow=lambda f, schema: f), A, B)
+    tokenizer_pair.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    for found in align([batch]):
+        yield found.to_pylist()[0], tokenizer_pair(A, B)
+
+
+def test_remembered_chunks_are_bounded(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(["often", *("".join(rng.choices("abcdefghij", k=90)) for _ in range(20)), "often"]) for _ in range(300)]
+    whole = [doc for block, _ in blocks_of(monkeypatch, texts) for doc in block["docs"]]
+    for name, limit in (("BLOCK_BYTES", 20_000), ("CACHE_BYTES", 300_000), ("KEPT_BYTES", 100_000)):
+        monkeypatch.setattr(alignment, name, limit, raising=False)
+    parts, most = [], 0
+    for block, pair in blocks_of(monkeypatch, texts):
+        parts += block["docs"]
+        most = max(most, sum(map(len, pair.number)) + sum(map(len, pair.groups)))
+        assert "often" in pair.number and len(pair.groups) == len(pair.number) == len(pair.fine)
+    assert parts == whole
+    assert most < 600_000, most  # all of them: over 2,000,000
+
+
+def test_blocks_take_two_bytes_a_link(monkeypatch):
+    texts = ["one and two and three of them"] * 200 + [None, "", "naïve 🙂 text"]
+    ((block, _),) = blocks_of(monkeypatch, texts)
+    links = sum(doc["n_links"] for doc in block["docs"])
+    assert links == sum(pair["n"] for pair in block["pairs"]) > 1000
+    assert sum(len(v) for v in block.values() if isinstance(v, bytes)) == 2 * links
